@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators import audit as A
+from ledgerline.operators import dashboard as D
 from ledgerline.operators import groups as G
 from ledgerline.operators import joins as J
 from ledgerline.operators import reports as R
 from ledgerline.plans.registry import register
+from ledgerline.schema import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS
 from ledgerline.sources.testdata import ledger_from_testdata
 
 # Fixed query parameters.
@@ -437,3 +440,169 @@ def q_split_non_members(spark, sf):
              .unionByName(L.group_expenses.select("geid", "uid")).distinct())
     return (parts.join(L.group_expenses.select("geid", "gid"), "geid")
             .join(L.user_group, ["uid", "gid"], "left_anti").select("geid", "uid"))
+
+
+# ---------------------------------------------------------------- D1-D9
+
+AS_OF = "2001-07-15"
+PIVOT_CATEGORIES = ["1-urgent", "2-high", "3-medium", "4-not specified", "5-low"]
+
+_TOP_DIM = """
+SELECT uid, {col}, "count" FROM (
+  SELECT e.uid, {col}, COUNT(*) AS "count",
+         row_number() OVER (PARTITION BY e.uid ORDER BY COUNT(*) DESC, MAX(e.date) DESC, {col}) AS rn
+  FROM expenses e JOIN categories c ON e.cid = c.cid JOIN payment_methods p ON e.pid = p.pid
+  GROUP BY e.uid, {col}
+) WHERE rn = 1
+"""
+
+
+@register("dash_top_category", _TOP_DIM.format(col="c.category_name").replace(
+    "SELECT uid, c.category_name,", "SELECT uid, category_name,"))
+def q_dash_top_category(spark, sf):
+    return D.top_category(ledger(spark, sf))
+
+
+@register("dash_top_method", _TOP_DIM.format(col="p.method").replace(
+    "SELECT uid, p.method,", "SELECT uid, method,"))
+def q_dash_top_method(spark, sf):
+    return D.top_method(ledger(spark, sf))
+
+
+@register("dash_month_totals", f"""
+SELECT uid, this_month, last_month,
+       CASE WHEN last_month > 0 THEN (this_month - last_month) / last_month * 100 END AS pct_change
+FROM (
+  SELECT uid,
+    COALESCE(CAST(SUM(CASE WHEN date >= DATE '2001-07-01' THEN CAST(amount AS DECIMAL(18,6)) END) AS DOUBLE), 0.0) AS this_month,
+    COALESCE(CAST(SUM(CASE WHEN date >= DATE '2001-06-01' AND date < DATE '2001-07-01'
+                           THEN CAST(amount AS DECIMAL(18,6)) END) AS DOUBLE), 0.0) AS last_month
+  FROM expenses GROUP BY uid
+)
+""")
+def q_dash_month_totals(spark, sf):
+    return D.month_totals(ledger(spark, sf), AS_OF)
+
+
+@register("dash_category_totals", f"""
+SELECT e.uid, c.category_name, {_money('e.amount')} AS total
+FROM expenses e JOIN categories c ON e.cid = c.cid GROUP BY e.uid, c.category_name
+""")
+def q_dash_category_totals(spark, sf):
+    return D.category_totals(ledger(spark, sf))
+
+
+@register("dash_monthly_totals", f"""
+SELECT uid, strftime(date, '%Y-%m') AS month, {_money('amount')} AS total
+FROM expenses GROUP BY uid, strftime(date, '%Y-%m')
+""")
+def q_dash_monthly_totals(spark, sf):
+    return D.monthly_totals(ledger(spark, sf))
+
+
+@register("dash_recent", """
+SELECT e.uid, e.eid, e.amount, c.category_name, p.method, e.date, e.description
+FROM expenses e JOIN categories c ON e.cid = c.cid JOIN payment_methods p ON e.pid = p.pid
+QUALIFY row_number() OVER (PARTITION BY e.uid ORDER BY e.date DESC, e.eid DESC) <= 5
+""")
+def q_dash_recent(spark, sf):
+    return D.recent(ledger(spark, sf))
+
+
+_PIVOT_COLS = ",\n".join(
+    f"""  CAST(SUM(CASE WHEN c.category_name = '{n}' THEN CAST(e.amount AS DECIMAL(18,6)) END) AS DOUBLE) AS "{n}" """
+    for n in PIVOT_CATEGORIES)
+
+
+@register("monthly_category_pivot", f"""
+SELECT e.uid, strftime(e.date, '%Y-%m') AS month,
+{_PIVOT_COLS}
+FROM expenses e JOIN categories c ON e.cid = c.cid
+GROUP BY e.uid, strftime(e.date, '%Y-%m')
+""")
+def q_monthly_category_pivot(spark, sf):
+    return D.monthly_category_pivot(ledger(spark, sf), PIVOT_CATEGORIES)
+
+
+# ---------------------------------------------------------------- C1-C5
+
+# SQL text of the CHECK constraints (fixed values; same rules as schema.check_constraints)
+_CHECK_SQL = {
+    "users": [("role_in_admin_user", "role IN ('Admin', 'User')")],
+    "categories": [("category_name_lower", "category_name = lower(category_name)")],
+    "tags": [("tag_name_lower", "tag_name = lower(tag_name)")],
+    "expenses": [("amount_non_negative", "amount >= 0")],
+    "group_expenses": [("amount_non_negative", "amount >= 0")],
+    "split_users": [("split_amount_non_negative", "split_amount >= 0")],
+}
+
+
+def _audit_not_null_sql() -> str:
+    parts = []
+    for table, schema in SCHEMAS.items():
+        for f in schema:
+            if not f.nullable:
+                parts.append(f"""SELECT '{table}' AS table_name, 'not_null:{f.name}' AS constraint_name,
+                    COUNT(*) FILTER (WHERE "{f.name}" IS NULL) AS violations FROM "{table}" """)
+    return "\nUNION ALL\n".join(parts)
+
+
+def _audit_unique_sql() -> str:
+    parts = []
+    keys = [(t, k, "pk") for t, k in PRIMARY_KEYS.items()] + [(t, k, "unique") for t, k in UNIQUE_KEYS.items()]
+    for table, key, kind in keys:
+        cols = ", ".join(key)
+        parts.append(f"""SELECT '{table}' AS table_name, '{kind}:{','.join(key)}' AS constraint_name,
+            CAST(COALESCE(SUM(n), 0) AS BIGINT) AS violations
+            FROM (SELECT {cols}, COUNT(*) AS n FROM "{table}" GROUP BY {cols} HAVING COUNT(*) > 1)""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _audit_check_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{table}' AS table_name, 'check:{name}' AS constraint_name,
+            COUNT(*) FILTER (WHERE NOT ({cond})) AS violations FROM "{table}" """
+        for table, checks in _CHECK_SQL.items() for name, cond in checks)
+
+
+def _audit_fk_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{t}' AS table_name, 'fk:{c}->{p}.{pc}' AS constraint_name, COUNT(*) AS violations
+            FROM "{t}" x WHERE x.{c} IS NOT NULL
+              AND NOT EXISTS (SELECT 1 FROM "{p}" y WHERE y.{pc} = x.{c})"""
+        for t, c, p, pc in FOREIGN_KEYS)
+
+
+_SPLIT_BALANCE_SQL = """
+SELECT 'split_users' AS table_name, 'balance:sum(split_amount)=amount' AS constraint_name,
+       COUNT(*) AS violations
+FROM group_expenses ge
+LEFT JOIN (SELECT geid, CAST(SUM(CAST(split_amount AS DECIMAL(18,6))) AS DOUBLE) AS shares
+           FROM split_users GROUP BY geid) s ON s.geid = ge.geid
+WHERE abs(COALESCE(s.shares, 0.0) - ge.amount) > 0.01
+"""
+
+
+@register("audit_not_null", _audit_not_null_sql())
+def q_audit_not_null(spark, sf):
+    return A.not_null(ledger(spark, sf))
+
+
+@register("audit_unique", _audit_unique_sql())
+def q_audit_unique(spark, sf):
+    return A.unique(ledger(spark, sf))
+
+
+@register("audit_check", _audit_check_sql())
+def q_audit_check(spark, sf):
+    return A.check(ledger(spark, sf))
+
+
+@register("audit_foreign_keys", _audit_fk_sql())
+def q_audit_foreign_keys(spark, sf):
+    return A.foreign_keys(ledger(spark, sf))
+
+
+@register("audit_split_balance", _SPLIT_BALANCE_SQL)
+def q_audit_split_balance(spark, sf):
+    return A.split_balance(ledger(spark, sf))
