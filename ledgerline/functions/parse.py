@@ -27,6 +27,9 @@ def parse_amount(c) -> Column:
 
 
 def parse_date(c) -> Column:
-    """'YYYY-M-D' (unpadded month/day allowed) -> date; NULL for impossible dates."""
-    t = strip(_c(c))
-    return F.when(t.rlike(DATE_PATTERN), F.try_to_date(t, F.lit("yyyy-M-d")))
+    """'YYYY-M-D' (unpadded month/day allowed) -> date; NULL for impossible dates.
+
+    Like strptime, surrounding blanks are not accepted.
+    """
+    t = _c(c)
+    return F.when(t.rlike(DATE_PATTERN), F.try_to_date(t, "yyyy-M-d"))

@@ -40,3 +40,20 @@ def month(c) -> Column:
 
 def has_duplicates(arr) -> Column:
     return F.size(F.array_distinct(_c(arr))) != F.size(_c(arr))
+
+
+def float_text(c) -> Column:
+    """Double -> text as Python's str(float) prints it (plain notation below 1e16).
+
+    Spark prints 1e7 and above in scientific notation ('1.2345678E7'); this
+    rewrites that form by moving the decimal point, digit for digit.
+    """
+    s = _c(c).cast("string")
+    sci = s.rlike(r"^-?\d\.\d+E\d+$")
+    sign = F.regexp_extract(s, r"^(-?)", 1)
+    digits = F.concat(F.regexp_extract(s, r"(\d)\.", 1), F.regexp_extract(s, r"\.(\d+)E", 1))
+    exp = F.regexp_extract(s, r"E(\d+)$", 1).cast("int")
+    int_digits = F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, F.lit("0"))
+    frac = F.substring(digits, exp + 2, F.lit(64))
+    plain = F.concat(sign, int_digits, F.lit("."), F.when(frac == "", F.lit("0")).otherwise(frac))
+    return F.when(sci, plain).otherwise(s)
