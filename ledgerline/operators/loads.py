@@ -286,3 +286,68 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     return LoadResult(out, accepted, rejects, {"splits": splits, "new_categories": new_cats,
                                                "new_methods": new_pms, "new_groups": new_groups,
                                                "new_tags": new_tags})
+
+
+# ---------------------------------------------------------------- M13
+
+def add_group_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
+    """Batch (seq, actor_uid, group_name, amount, category, payment_method, date,
+    description, tags array, split_usernames array) -> even splits.
+
+    The actor must be a member (or Admin); participants are the listed names
+    plus the actor, deduplicated; unknown names are dropped; a known
+    non-member rejects the row; fewer than two participants reject it. Each
+    participant's share is amount / participants (unrounded).
+    """
+    users = ledger.users.select("uid", "username", "role")
+    b = (batch.join(ledger.groups.select("gid", "group_name"), "group_name", "left")
+         .join(users.select(F.col("uid").alias("actor_uid"), F.col("username").alias("_actor"),
+                            F.col("role").alias("_actor_role")), "actor_uid", "left")
+         .join(ledger.user_group.select(F.col("uid").alias("actor_uid"), "gid",
+                                        F.lit(True).alias("_actor_in")), ["actor_uid", "gid"], "left")
+         .withColumn("category", norm_name("category"))
+         .withColumn("payment_method", norm_name("payment_method"))
+         .withColumn("tag_list", F.transform(F.coalesce("tags", F.array().cast("array<string>")),
+                                             lambda t: F.lower(strip(t))))
+         .withColumn("people", F.array_distinct(F.filter(
+             F.concat(F.coalesce("split_usernames", F.array().cast("array<string>")), F.array("_actor")),
+             lambda x: x.isNotNull()))))
+    b = _lookup(b, name_lookup(ledger.categories, "category_name", "cid", True), "category", "cid")
+    b = _lookup(b, name_lookup(ledger.payment_methods, "method", "pid", True), "payment_method", "pid")
+    # per-row participant check: explode, look up, count -- rows are judged by their own seq
+    people = (b.select("seq", "gid", F.explode("people").alias("username"))
+              .join(users.select("uid", "username"), "username", "left")
+              .join(ledger.user_group.select("uid", "gid", F.lit(True).alias("_member")), ["uid", "gid"], "left"))
+    counts = people.groupBy("seq").agg(
+        F.count(F.when(F.col("uid").isNotNull() & F.col("_member").isNull(), 1)).alias("_outsiders"),
+        F.count(F.when(F.col("_member").isNotNull(), 1)).alias("_kept"))
+    b = b.join(counts, "seq", "left")
+    reason = _first_failing(
+        (F.col("gid").isNull(), R_UNKNOWN_GROUP),
+        (F.col("_actor_in").isNull() & (F.coalesce(F.col("_actor_role"), F.lit("")) != "Admin"),
+         R_ACTOR_NOT_MEMBER),
+        (F.col("cid").isNull(), R_UNKNOWN_CATEGORY),
+        (F.col("pid").isNull(), R_UNKNOWN_METHOD),
+        (F.coalesce("_outsiders", F.lit(0)) > 0, R_NON_MEMBER),
+        (F.coalesce("_kept", F.lit(0)) < 2, R_TOO_FEW),
+        (F.col("amount").isNull() | F.isnan("amount"), R_INVALID_AMOUNT),
+        *_amount_rules(F.col("amount")),
+        (F.col("date").isNull(), R_INVALID_DATE),
+        (has_duplicates(F.col("tag_list")), R_REPEATED_TAG))
+    judged = b.withColumn("reason", reason)
+    rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
+    ok = judged.filter(F.col("reason").isNull()).withColumn("uid", F.col("actor_uid"))
+    ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger.group_expenses, "geid"))
+    new_ge = conform(ok, "group_expenses")
+    splits = (ok.select("geid", "gid", "amount", "_kept", F.explode("people").alias("username"))
+              .join(users.select("uid", "username"), "username")
+              .join(ledger.user_group, ["uid", "gid"], "left_semi")
+              .select("geid", "uid", (F.col("amount") / F.col("_kept")).alias("split_amount")))
+    links = ok.select("geid", "seq", F.explode("tag_list").alias("_name"))
+    new_tags, bridge = _link_tags(ledger, links, "geid")
+    out = ledger.with_tables(
+        group_expenses=ledger.group_expenses.unionByName(new_ge),
+        split_users=ledger.split_users.unionByName(conform(splits, "split_users")),
+        tags=ledger.tags.unionByName(new_tags),
+        group_expense_tags=ledger.group_expense_tags.unionByName(conform(bridge, "group_expense_tags")))
+    return LoadResult(out, new_ge, rejects, {"splits": splits, "new_tags": new_tags})

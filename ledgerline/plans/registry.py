@@ -45,4 +45,4 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     # importing the catalogue modules fills the registry
-    from ledgerline.plans import catalog, catalog_loads  # noqa: F401
+    from ledgerline.plans import catalog, catalog_changes, catalog_loads  # noqa: F401

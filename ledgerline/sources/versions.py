@@ -1,0 +1,35 @@
+"""Versioned ledger snapshots: ``<root>/v=<n>/<table>/`` parquet directories.
+
+A change job reads version n and writes n+1 -- never the directory it reads --
+so a failed or retried job leaves version n intact and a half-written n+1 is
+simply not published (its ``_SUCCESS`` marker per table is checked on read).
+One writer at a time; the caller passes n. Tables a change did not touch are
+written again from version n (a plain copy through Spark).
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+from ledgerline.schema import TABLES, Ledger
+
+
+def version_path(root: str, n: int) -> str:
+    return f"{root.rstrip('/')}/v={n}"
+
+
+def read_version(spark: SparkSession, root: str, n: int) -> Ledger:
+    return Ledger.read(spark, version_path(root, n))
+
+
+def write_version(ledger: Ledger, root: str, n: int) -> str:
+    """Write ``ledger`` as version n; refuses to overwrite an existing version."""
+    return ledger.write(version_path(root, n), mode="errorifexists")
+
+
+def is_complete(root: str, n: int) -> bool:
+    """True when every table of version n finished writing (local or mounted paths)."""
+    base = version_path(root, n)
+    return all(os.path.exists(os.path.join(base, t, "_SUCCESS")) for t in TABLES)
