@@ -345,3 +345,39 @@ JOIN users u ON u.uid = ge.uid
 """)
 def q_export_group(spark, sf):
     return X.group_export(_ledger(spark, sf))
+
+
+# ---------------------------------------------------------------- J8 lookups, J9 new names
+
+@register("lookup_ids", f"""
+SELECT b.seq, c.cid, p.pid, u.uid
+FROM personal_batch b
+LEFT JOIN (SELECT lower(category_name) AS name, min(cid) AS cid FROM categories GROUP BY 1) c
+       ON c.name = lower({_strip_sql('b.category')})
+LEFT JOIN (SELECT lower(method) AS name, min(pid) AS pid FROM payment_methods GROUP BY 1) p
+       ON p.name = lower({_strip_sql('b.payment_method')})
+LEFT JOIN users u ON u.uid = b.uid
+""", PERSONAL_CTES)
+def q_lookup_ids(spark, sf):
+    """One left join per dimension over the whole batch; a NULL id marks a failed lookup."""
+    L = _ledger(spark, sf)
+    b = B.personal_batch(spark, sf).select(
+        "seq", "uid", norm_name("category").alias("category"), norm_name("payment_method").alias("payment_method"))
+    b = M._lookup(b, M.name_lookup(L.categories, "category_name", "cid", True), "category", "cid")
+    b = M._lookup(b, M.name_lookup(L.payment_methods, "method", "pid", True), "payment_method", "pid")
+    known = L.users.select("uid", F.col("uid").alias("_uid"))
+    return b.join(known, "uid", "left").select("seq", "cid", "pid", F.col("_uid").alias("uid"))
+
+
+@register("new_tags", f"""
+SELECT u.tag_name, min(b.seq) AS first_seq
+FROM personal_batch b, unnest({_split_sql('b.tag')}) AS u(tag_name)
+WHERE u.tag_name NOT IN (SELECT tag_name FROM tags)
+GROUP BY u.tag_name
+""", PERSONAL_CTES)
+def q_new_tags(spark, sf):
+    """Tag names used by the batch that the tags table lacks, with their first use."""
+    L = _ledger(spark, sf)
+    uses = B.personal_batch(spark, sf).select("seq", F.explode(split_list("tag")).alias("tag_name"))
+    return (uses.join(L.tags.select("tag_name"), "tag_name", "left_anti")
+            .groupBy("tag_name").agg(F.min("seq").alias("first_seq")))
