@@ -23,6 +23,7 @@ from ledgerline.functions.parse import parse_amount, parse_date
 from ledgerline.functions.text import has_duplicates, norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, next_id_base
 from ledgerline.schema import Ledger, conform
+from ledgerline.session import checkpoint_dir
 
 # Reject reasons.
 R_INVALID_AMOUNT = "invalid amount"
@@ -53,6 +54,14 @@ class LoadResult:
     extra: dict = field(default_factory=dict)
 
 
+def _materialise(judged: DataFrame) -> DataFrame:
+    """Cut the lineage of a judged batch: rejects, accepted rows, new dimension rows and
+    ids all read one checkpointed copy (in the shared checkpoint folder) instead of
+    re-running parsing and lookups, and a lost executor re-reads it."""
+    checkpoint_dir(judged.sparkSession)
+    return judged.checkpoint(eager=True)
+
+
 def _first_failing(*rules: tuple[Column, str]) -> Column:
     expr = None
     for cond, reason in rules:
@@ -143,7 +152,7 @@ def import_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
         (F.col("pid").isNull(), R_UNKNOWN_METHOD),
         *_amount_rules(F.col("amount_v")),
         *_tag_rules(F.col("tags")))
-    judged = p.withColumn("reason", reason)
+    judged = _materialise(p.withColumn("reason", reason))
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
     ok = (judged.filter(F.col("reason").isNull())
           .select("seq", "uid", F.col("amount_v").alias("amount"), "cid", "pid",
@@ -171,7 +180,7 @@ def add_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
         (F.col("pid").isNull(), R_UNKNOWN_METHOD),
         (F.col("date").isNull(), R_INVALID_DATE),
         *_tag_rules(F.col("tags")))
-    judged = p.withColumn("reason", reason)
+    judged = _materialise(p.withColumn("reason", reason))
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
     ok = judged.filter(F.col("reason").isNull()).drop("reason", "category", "payment_method")
     res = _accept_expenses(ledger, ok)
@@ -236,7 +245,7 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
         (has_duplicates(F.col("tag_list")), R_REPEATED_TAG),
         (has_duplicates(F.col("names")), R_REPEATED_PARTICIPANT),
         (F.exists("shares", lambda s: s < 0), R_NEGATIVE_SHARE))
-    judged = b.withColumn("reason", reason)
+    judged = _materialise(b.withColumn("reason", reason))
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
     ok = judged.filter(F.col("reason").isNull())
 
@@ -334,7 +343,7 @@ def add_group_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
         *_amount_rules(F.col("amount")),
         (F.col("date").isNull(), R_INVALID_DATE),
         (has_duplicates(F.col("tag_list")), R_REPEATED_TAG))
-    judged = b.withColumn("reason", reason)
+    judged = _materialise(b.withColumn("reason", reason))
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
     ok = judged.filter(F.col("reason").isNull()).withColumn("uid", F.col("actor_uid"))
     ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger.group_expenses, "geid"))

@@ -19,9 +19,9 @@ from ledgerline.sources.testdata import ADMIN_UID, ledger_from_testdata, read_ta
 IMPORTER_UID = ADMIN_UID
 
 
-def base_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+def base_ledger(spark: SparkSession, sf_dir: str, full: Ledger | None = None) -> Ledger:
     """The mapped ledger restricted to even expense / group-expense keys."""
-    full = ledger_from_testdata(spark, sf_dir)
+    full = full or ledger_from_testdata(spark, sf_dir)
     even = lambda c: (F.col(c) % 2) == 0
     return full.with_tables(
         expenses=full.expenses.filter(even("eid")),
@@ -48,17 +48,17 @@ def _date_text():
             .otherwise(F.date_format(d, "yyyy-MM-dd")))
 
 
-def _order_tags(spark: SparkSession, sf_dir: str, sep: str) -> DataFrame:
-    full = ledger_from_testdata(spark, sf_dir)
+def _order_tags(spark: SparkSession, sf_dir: str, sep: str, full: Ledger | None = None) -> DataFrame:
+    full = full or ledger_from_testdata(spark, sf_dir)
     return (full.expenses_tags.join(full.tags, "tid").groupBy("eid")
             .agg(F.expr(f"listagg(tag_name, '{sep}') WITHIN GROUP (ORDER BY tag_name)").alias("tag_text"))
             .withColumnRenamed("eid", "k"))
 
 
-def personal_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def personal_batch(spark: SparkSession, sf_dir: str, full: Ledger | None = None) -> DataFrame:
     """Text rows of a personal import: seq, uid (actor) and the six CSV columns."""
     orders = read_table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey").cast("long"))
-    odd = orders.filter((F.col("k") % 2) == 1).join(_order_tags(spark, sf_dir, ","), "k", "left")
+    odd = orders.filter((F.col("k") % 2) == 1).join(_order_tags(spark, sf_dir, ",", full), "k", "left")
     return odd.select(
         F.col("k").alias("seq"),
         F.col("o_custkey").cast("long").alias("uid"),
@@ -73,9 +73,9 @@ def personal_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.coalesce("tag_text", F.lit(""))).alias("tag"))
 
 
-def group_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def group_batch(spark: SparkSession, sf_dir: str, full: Ledger | None = None) -> DataFrame:
     """Text rows of group imports (one per odd group expense), importer = uid 0 (Admin)."""
-    full = ledger_from_testdata(spark, sf_dir)
+    full = full or ledger_from_testdata(spark, sf_dir)
     orders = read_table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey").cast("long"))
     ge = full.group_expenses.filter((F.col("geid") % 2) == 1).select(F.col("geid").alias("k"), "gid", "uid")
     # the importer's name: an equi-join on its primary key (one row)
@@ -90,7 +90,7 @@ def group_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(names, "k")
             .withColumn("imp_uid", F.lit(IMPORTER_UID).cast("long"))
             .join(importer, "imp_uid", "left")
-            .join(_order_tags(spark, sf_dir, ", "), "k", "left"))
+            .join(_order_tags(spark, sf_dir, ", ", full), "k", "left"))
     base = F.filter("names", lambda n: n != F.col("importer"))
     with_importer = F.array_sort(F.array_union(base, F.array(F.col("importer"))))
     names_col = (F.when(_k(53), F.array().cast("array<string>"))
