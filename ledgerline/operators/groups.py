@@ -34,13 +34,13 @@ def _named(df: DataFrame, ledger: Ledger, group_name: str | None) -> DataFrame:
 def group_scope(ledger: Ledger, uid: int) -> DataFrame:
     """Gids the user may see -- all groups for an Admin, else the member groups.
 
-    The Admin test is an equi-join of every group with the user's own row (a
-    primary-key lookup, so at most one row is broadcast).
+    The Admin test is a scalar subquery over the user's own row (a primary-key
+    lookup), applied as a filter on the groups: no join with a constant key.
     """
     member = ledger.user_group.filter(F.col("uid") == F.lit(uid)).select("gid")
-    me = ledger.users.filter((F.col("uid") == F.lit(uid)) & (F.col("role") == "Admin")).select("uid")
-    admin = (ledger.groups.select("gid", F.lit(uid).cast("long").alias("uid"))
-             .join(F.broadcast(me), "uid").select("gid"))
+    is_admin = (ledger.users.filter((F.col("uid") == F.lit(uid)) & (F.col("role") == "Admin"))
+                .agg((F.count(F.lit(1)) > 0).alias("a")).scalar())
+    admin = ledger.groups.filter(is_admin).select("gid")
     return member.unionByName(admin).distinct()
 
 

@@ -201,11 +201,10 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     (default: today, fixed once on the driver).
     """
     as_of = as_of or _dt.date.today()
-    importer = (ledger.users.filter(F.col("uid") == F.lit(importer_uid))
-                .select(F.col("uid").alias("_imp_uid"), F.col("username").alias("_importer"),
-                        (F.col("role") == "Admin").alias("_is_admin")))
-    b = (batch.withColumn("_imp_uid", F.lit(importer_uid).cast("long"))
-         .join(F.broadcast(importer), "_imp_uid", "left"))
+    # the importer's name and role: scalar subqueries over one primary-key row
+    me = ledger.users.filter(F.col("uid") == F.lit(importer_uid))
+    b = (batch.withColumn("_importer", me.agg(F.max("username")).scalar())
+         .withColumn("_is_admin", me.agg(F.max(F.col("role") == "Admin")).scalar()))
     nonempty = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     required = nonempty("amount") & nonempty("category_name") & nonempty("payment_method") & nonempty("expense_date")
 

@@ -321,7 +321,7 @@ def _group_update_batch(spark, sf):
     k = F.col("n_nationkey")
     rename = F.when(k % 5 == 1, F.lit("NATION_0")).otherwise(F.concat_ws("_", "n_name", "r_name"))
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
-        k.cast("long").alias("seq"), F.lit(ADMIN).cast("long").alias("actor_uid"),
+        k.cast("long").alias("seq"), F.col("n_regionkey").cast("long").alias("actor_uid"),
         F.col("n_name").alias("group_name"),
         F.when(k % 2 == 0, "description").otherwise("group_name").alias("field"),
         F.when(k % 2 == 0, F.concat(F.lit("region "), F.col("r_name"))).otherwise(rename).alias("value"))
@@ -329,15 +329,18 @@ def _group_update_batch(spark, sf):
 
 @register("change_update_groups", """
 SELECT g.gid, g.date_created,
-       CASE WHEN b.field = 'group_name' AND b.value NOT IN (SELECT group_name FROM groups) THEN b.value
-            ELSE g.group_name END AS group_name,
-       CASE WHEN b.field = 'description' THEN b.value ELSE g.description END AS description
+       CASE WHEN b0.ok AND b0.field = 'group_name' AND b0.value NOT IN (SELECT group_name FROM groups)
+            THEN b0.value ELSE g.group_name END AS group_name,
+       CASE WHEN b0.ok AND b0.field = 'description' THEN b0.value ELSE g.description END AS description
 FROM groups g LEFT JOIN (
   SELECT n.n_name AS group_name,
          CASE WHEN n.n_nationkey % 2 = 0 THEN 'description' ELSE 'group_name' END AS field,
          CASE WHEN n.n_nationkey % 2 = 0 THEN 'region ' || r.r_name
-              WHEN n.n_nationkey % 5 = 1 THEN 'NATION_0' ELSE n.n_name || '_' || r.r_name END AS value
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey) b ON b.group_name = g.group_name
+              WHEN n.n_nationkey % 5 = 1 THEN 'NATION_0' ELSE n.n_name || '_' || r.r_name END AS value,
+         (n.n_regionkey IN (SELECT uid FROM users WHERE role = 'Admin')
+          OR EXISTS (SELECT 1 FROM user_group m JOIN groups gg ON gg.gid = m.gid
+                     WHERE m.uid = n.n_regionkey AND gg.group_name = n.n_name)) AS ok
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey) b0 ON b0.group_name = g.group_name
 """)
 def q_change_update_groups(spark, sf):
     return C.update_groups(_led(spark, sf), _group_update_batch(spark, sf)).ledger.groups

@@ -78,8 +78,8 @@ def group_batch(spark: SparkSession, sf_dir: str, full: Ledger | None = None) ->
     full = full or ledger_from_testdata(spark, sf_dir)
     orders = read_table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey").cast("long"))
     ge = full.group_expenses.filter((F.col("geid") % 2) == 1).select(F.col("geid").alias("k"), "gid", "uid")
-    # the importer's name: an equi-join on its primary key (one row)
-    importer = full.users.select(F.col("uid").alias("imp_uid"), F.col("username").alias("importer"))
+    # the importer's name: a scalar subquery over its primary-key row
+    importer = full.users.filter(F.col("uid") == IMPORTER_UID).agg(F.max("username")).scalar()
     names = (full.split_users.filter((F.col("geid") % 2) == 1)
              .join(full.users.select("uid", "username"), "uid")
              .groupBy(F.col("geid").alias("k"))
@@ -88,8 +88,7 @@ def group_batch(spark: SparkSession, sf_dir: str, full: Ledger | None = None) ->
             .join(full.groups.select("gid", "group_name"), "gid")
             .join(full.users.select(F.col("uid"), F.col("username").alias("creator")), "uid")
             .join(names, "k")
-            .withColumn("imp_uid", F.lit(IMPORTER_UID).cast("long"))
-            .join(importer, "imp_uid", "left")
+            .withColumn("importer", importer)
             .join(_order_tags(spark, sf_dir, ", ", full), "k", "left"))
     base = F.filter("names", lambda n: n != F.col("importer"))
     with_importer = F.array_sort(F.array_union(base, F.array(F.col("importer"))))

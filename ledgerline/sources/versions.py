@@ -2,18 +2,17 @@
 
 A change job reads version n and writes n+1 -- never the directory it reads --
 so a failed or retried job leaves version n intact and a half-written n+1 is
-simply not published (its ``_SUCCESS`` marker per table is checked on read).
+simply not published (see :func:`is_complete`); writing it again replaces the partial tables.
 One writer at a time; the caller passes n. Tables a change did not touch are
 written again from version n (a plain copy through Spark).
 """
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
-from ledgerline.schema import TABLES, Ledger
+from ledgerline.schema import SCHEMAS, TABLES, Ledger
 
 
 def version_path(root: str, n: int) -> str:
@@ -25,11 +24,25 @@ def read_version(spark: SparkSession, root: str, n: int) -> Ledger:
 
 
 def write_version(ledger: Ledger, root: str, n: int) -> str:
-    """Write ``ledger`` as version n; refuses to overwrite an existing version."""
-    return ledger.write(version_path(root, n), mode="errorifexists")
+    """Write ``ledger`` as version n. A complete version n is never overwritten; the
+    tables of an incomplete one (a failed earlier attempt) are replaced."""
+    spark = ledger.users.sparkSession
+    if is_complete(spark, root, n):
+        raise FileExistsError(f"version {n} under {root} already exists")
+    return ledger.write(version_path(root, n), mode="overwrite")
+
 
+def is_complete(spark: SparkSession, root: str, n: int) -> bool:
+    """True when every table of version n is readable.
 
-def is_complete(root: str, n: int) -> bool:
-    """True when every table of version n finished writing (local or mounted paths)."""
+    A table directory only becomes readable when its write job committed (the
+    output committer moves files into place on success), so a half-written
+    version reads as incomplete. Works on any file system Spark can read.
+    """
     base = version_path(root, n)
-    return all(os.path.exists(os.path.join(base, t, "_SUCCESS")) for t in TABLES)
+    for t in TABLES:
+        try:
+            spark.read.schema(SCHEMAS[t]).parquet(f"{base}/{t}").limit(0).collect()
+        except AnalysisException:
+            return False
+    return True
