@@ -84,6 +84,8 @@ def _new_names(names: DataFrame, dim: DataFrame, name_col: str, id_col: str) ->
     """Names (with their first seq) missing from ``dim`` -> new dimension rows."""
     missing = (names.groupBy(F.col("_name").alias(name_col)).agg(F.min("seq").alias("_first"))
                .join(dim.select(name_col), name_col, "left_anti"))
+    if missing.isEmpty():  # the usual case: one short job instead of an allocation
+        return dim.select(id_col, name_col).limit(0)
     return allocate_ids(missing, ["_first", name_col], id_col, next_id_base(dim, id_col)).select(
         id_col, name_col)
 
@@ -251,8 +253,8 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     # groups: missing ones are created (importer becomes a member)
     new_groups = (ok.groupBy(F.col("group_name")).agg(F.min("seq").alias("_first"))
                   .join(ledger.groups.select("group_name"), "group_name", "left_anti"))
-    new_groups = allocate_ids(new_groups, ["_first", "group_name"], "gid",
-                              next_id_base(ledger.groups, "gid"))
+    new_groups = (new_groups.withColumn("gid", F.lit(None).cast("long")) if new_groups.isEmpty() else
+                  allocate_ids(new_groups, ["_first", "group_name"], "gid", next_id_base(ledger.groups, "gid")))
     new_groups = new_groups.select(
         "gid", F.lit(as_of).alias("date_created"), "group_name",
         F.concat(F.lit("Imported group from batch "), F.col("_first").cast("string")).alias("description"))
