@@ -27,17 +27,22 @@ def allocate_ids(rows: DataFrame, order_cols: list[str], id_col: str, base: Data
                  partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = base + 1, base + 2, ... in ``order_cols`` order (which must be unique).
 
-    The numbered rows are checkpointed once, so the partition sizes and the
-    rows they offset come from the same materialised partitioning.
+    Rows are range-partitioned and sorted inside each partition; the position
+    inside the partition comes from ``monotonically_increasing_id`` (partition
+    index in the upper bits, row index in the lower ones) of that same sorted
+    stage, so no further shuffle is needed. The numbered rows are checkpointed
+    once, so partition sizes and the rows they offset come from one
+    materialised copy.
     """
     spark = rows.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (rows.repartitionByRange(n, *order_cols)
-              .withColumn("_part", F.spark_partition_id()))
-    w = Window.partitionBy("_part").orderBy(*order_cols)
-    numbered = ranged.withColumn("_rn", F.row_number().over(w)).checkpoint(eager=True)
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = (rows.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                .withColumn("_part", F.spark_partition_id())
+                .withColumn("_rn", F.monotonically_increasing_id()
+                            - F.shiftleft(F.col("_part").cast("long"), 33) + 1)
+                .checkpoint(eager=True))
+    sizes = numbered.groupBy("_part").agg(F.max("_rn").alias("_n"))
     # one row per partition: a proven bound for the single-partition running sum and the broadcast
     offsets = sizes.select(
         "_part",
