@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.money import MAX_AMOUNT
 from ledgerline.functions.parse import parse_amount, parse_date
 from ledgerline.functions.text import norm_name, split_list, strip
-from ledgerline.operators.ids import allocate_ids, next_id_base
+from ledgerline.operators.ids import allocate_ids, mark_deleted, next_id_base
 from ledgerline.operators.loads import _first_failing, _lookup, name_lookup
 from ledgerline.schema import ROLES, Ledger, conform
 
@@ -81,7 +81,7 @@ def _add_named(ledger: Ledger, table: str, batch: DataFrame, name_col: str, id_c
         *extra_rules,
         (F.col("_exists").isNotNull(), R_EXISTS)], ["_k"])
     ok = judged.filter(F.col("reason").isNull()).drop("reason", "_k", "_exists")
-    new = allocate_ids(ok, ["seq"], id_col, next_id_base(dim, id_col))
+    new = allocate_ids(ok, ["seq"], id_col, next_id_base(ledger, table))
     return new, _rejects(judged), judged
 
 
@@ -224,6 +224,7 @@ def delete_expenses(ledger: Ledger, batch: DataFrame) -> ChangeResult:
                             (F.col("_owner") != F.col("actor_uid"), R_NOT_OWNER))
     judged = b.withColumn("reason", reason)
     gone = judged.filter(F.col("reason").isNull()).select("eid").distinct()
+    ledger = mark_deleted(ledger, ["expenses"])
     return ChangeResult(ledger.with_tables(
         expenses=ledger.expenses.join(gone, "eid", "left_anti"),
         expenses_tags=ledger.expenses_tags.join(gone, "eid", "left_anti")), _rejects(judged))
@@ -291,6 +292,7 @@ def delete_users(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> Cha
     b = batch.join(ledger.users.select("uid", F.lit(True).alias("_known")), "uid", "left")
     judged = b.withColumn("reason", F.when(F.col("_known").isNull(), F.lit(R_NOT_FOUND)))
     gone = judged.filter(F.col("reason").isNull()).select("uid").distinct()
+    ledger = mark_deleted(ledger, ["users", "expenses"] if cascade else ["users"])
     out = ledger.with_tables(users=ledger.users.join(gone, "uid", "left_anti"))
     if cascade:
         dead = ledger.expenses.join(gone, "uid", "left_semi").select("eid")
@@ -306,6 +308,7 @@ def delete_tags(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> Chan
     b = batch.withColumn("tag_name", norm_name("tag_name")).join(ledger.tags, "tag_name", "left")
     judged = b.withColumn("reason", F.when(F.col("tid").isNull(), F.lit(R_NOT_FOUND)))
     gone = judged.filter(F.col("reason").isNull()).select("tid").distinct()
+    ledger = mark_deleted(ledger, ["tags"])
     out = ledger.with_tables(tags=ledger.tags.join(gone, "tid", "left_anti"))
     if cascade:
         out = out.with_tables(expenses_tags=ledger.expenses_tags.join(gone, "tid", "left_anti"),
@@ -323,6 +326,7 @@ def delete_groups(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     judged = b.withColumn("reason", reason)
     gids = judged.filter(F.col("reason").isNull()).select("gid").distinct()
     geids = ledger.group_expenses.join(gids, "gid", "left_semi").select("geid")
+    ledger = mark_deleted(ledger, ["groups", "group_expenses"])
     return ChangeResult(ledger.with_tables(
         split_users=ledger.split_users.join(geids, "geid", "left_anti"),
         group_expense_tags=ledger.group_expense_tags.join(geids, "geid", "left_anti"),

@@ -15,12 +15,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.schema import ID_COLUMNS, ID_MARKS_SCHEMA
 from ledgerline.session import checkpoint_dir
 
 
-def next_id_base(table: DataFrame, id_col: str) -> DataFrame:
-    """One-row frame ``base`` = current maximum id (0 when the table is empty)."""
-    return table.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_base"))
+def next_id_base(ledger, table: str, rows: DataFrame | None = None) -> DataFrame:
+    """One-row frame ``_base``: the highest id the table ever had (0 when none).
+
+    That is the larger of the current maximum and the table's id mark, which
+    deletes leave behind (AUTOINCREMENT semantics: ids are not reused).
+    ``rows`` overrides the table rows (e.g. a dimension with rows just added).
+    """
+    id_col = ID_COLUMNS[table]
+    ids = (rows if rows is not None else ledger.table(table)).select(F.col(id_col).cast("long").alias("_v"))
+    if ledger.id_marks is not None:
+        ids = ids.unionByName(ledger.id_marks.filter(F.col("table_name") == table)
+                              .select(F.col("max_id").alias("_v")))
+    return ids.agg(F.coalesce(F.max("_v"), F.lit(0)).cast("long").alias("_base"))
+
+
+def mark_deleted(ledger, tables: list[str]):
+    """Ledger whose id marks remember the highest id of ``tables`` before a delete."""
+    spark = ledger.users.sparkSession
+    marks = [ledger.table(t).agg(F.max(ID_COLUMNS[t]).cast("long").alias("max_id"))
+             .select(F.lit(t).alias("table_name"), "max_id") for t in tables]
+    old = ledger.id_marks if ledger.id_marks is not None else spark.createDataFrame([], ID_MARKS_SCHEMA)
+    merged = old
+    for m in marks:
+        merged = merged.unionByName(m.filter(F.col("max_id").isNotNull()))
+    merged = merged.groupBy("table_name").agg(F.max("max_id").alias("max_id"))
+    return ledger.with_tables(id_marks=merged)
 
 
 def allocate_ids(rows: DataFrame, order_cols: list[str], id_col: str, base: DataFrame,

@@ -80,19 +80,20 @@ def _lookup(df: DataFrame, dim_lookup: DataFrame, col: str, id_col: str) -> Data
                    df[col] == F.col(col + "_key"), "left").drop(col + "_key")
 
 
-def _new_names(names: DataFrame, dim: DataFrame, name_col: str, id_col: str) -> DataFrame:
-    """Names (with their first seq) missing from ``dim`` -> new dimension rows."""
+def _new_names(ledger: Ledger, names: DataFrame, table: str, name_col: str, id_col: str) -> DataFrame:
+    """Names (with their first seq) missing from the dimension -> new dimension rows."""
+    dim = ledger.table(table)
     missing = (names.groupBy(F.col("_name").alias(name_col)).agg(F.min("seq").alias("_first"))
                .join(dim.select(name_col), name_col, "left_anti"))
     if missing.isEmpty():  # the usual case: one short job instead of an allocation
         return dim.select(id_col, name_col).limit(0)
-    return allocate_ids(missing, ["_first", name_col], id_col, next_id_base(dim, id_col)).select(
+    return allocate_ids(missing, ["_first", name_col], id_col, next_id_base(ledger, table)).select(
         id_col, name_col)
 
 
 def _link_tags(ledger: Ledger, links: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(key, seq, _name) tag uses -> (new tags rows, (key, tid) links)."""
-    new_tags = _new_names(links.select("seq", "_name"), ledger.tags, "tag_name", "tid")
+    new_tags = _new_names(ledger, links.select("seq", "_name"), "tags", "tag_name", "tid")
     all_tags = ledger.tags.unionByName(new_tags)
     bridge = (links.join(all_tags.withColumnRenamed("tag_name", "_name"), "_name")
               .select(key, "tid"))
@@ -126,7 +127,7 @@ def _amount_rules(amount: Column) -> list[tuple[Column, str]]:
 
 def _accept_expenses(ledger: Ledger, ok: DataFrame) -> LoadResult:
     """Allocate eids for accepted rows (seq order) and add them with their tags."""
-    ok = allocate_ids(ok, ["seq"], "eid", next_id_base(ledger.expenses, "eid"))
+    ok = allocate_ids(ok, ["seq"], "eid", next_id_base(ledger, "expenses"))
     new_exp = conform(ok, "expenses")
     links = ok.select("eid", "seq", F.explode("tags").alias("_name"))
     new_tags, bridge = _link_tags(ledger, links, "eid")
@@ -254,7 +255,7 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     new_groups = (ok.groupBy(F.col("group_name")).agg(F.min("seq").alias("_first"))
                   .join(ledger.groups.select("group_name"), "group_name", "left_anti"))
     new_groups = (new_groups.withColumn("gid", F.lit(None).cast("long")) if new_groups.isEmpty() else
-                  allocate_ids(new_groups, ["_first", "group_name"], "gid", next_id_base(ledger.groups, "gid")))
+                  allocate_ids(new_groups, ["_first", "group_name"], "gid", next_id_base(ledger, "groups")))
     new_groups = new_groups.select(
         "gid", F.lit(as_of).alias("date_created"), "group_name",
         F.concat(F.lit("Imported group from batch "), F.col("_first").cast("string")).alias("description"))
@@ -262,10 +263,10 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     new_members = new_groups.select(F.lit(importer_uid).cast("long").alias("uid"), "gid")
 
     # categories and (Admin only) methods created from accepted rows
-    new_cats = _new_names(ok.filter(F.col("cid").isNull()).select("seq", F.col("cat_name").alias("_name")),
-                          ledger.categories, "category_name", "cid")
-    new_pms = _new_names(ok.filter(F.col("pid").isNull()).select("seq", F.col("pm_name").alias("_name")),
-                         ledger.payment_methods, "method", "pid")
+    new_cats = _new_names(ledger, ok.filter(F.col("cid").isNull()).select("seq", F.col("cat_name").alias("_name")),
+                          "categories", "category_name", "cid")
+    new_pms = _new_names(ledger, ok.filter(F.col("pid").isNull()).select("seq", F.col("pm_name").alias("_name")),
+                         "payment_methods", "method", "pid")
     cats = ledger.categories.unionByName(new_cats)
     pms = ledger.payment_methods.unionByName(new_pms)
     ok = (ok.drop("cid", "pid")
@@ -277,7 +278,7 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
                 "creator_username", "left")
           .withColumn("uid", F.coalesce("_cuid", F.lit(importer_uid).cast("long"))))
 
-    ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger.group_expenses, "geid"))
+    ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger, "group_expenses"))
     new_ge = ok.select("geid", "uid", "gid", F.col("amount_v").alias("amount"), "cid", "pid",
                        F.col("date_v").alias("date"), F.col("expense_description").alias("description"))
     links = ok.select("geid", "seq", F.explode("tag_list").alias("_name"))
@@ -347,7 +348,7 @@ def add_group_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
     judged = _materialise(b.withColumn("reason", reason))
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
     ok = judged.filter(F.col("reason").isNull()).withColumn("uid", F.col("actor_uid"))
-    ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger.group_expenses, "geid"))
+    ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger, "group_expenses"))
     new_ge = conform(ok, "group_expenses")
     splits = (ok.select("geid", "gid", "amount", "_kept", F.explode("people").alias("username"))
               .join(users.select("uid", "username"), "username")

@@ -6,7 +6,7 @@ login is not data work.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +84,11 @@ FOREIGN_KEYS: tuple[tuple[str, str, str, str], ...] = (
 
 ROLES = ("Admin", "User")
 
+# Surrogate key of each table with generated ids; ids are never reused (see ``id_marks``).
+ID_COLUMNS = {"users": "uid", "categories": "cid", "payment_methods": "pid", "expenses": "eid",
+              "tags": "tid", "groups": "gid", "group_expenses": "geid"}
+ID_MARKS_SCHEMA = _schema(("table_name", S, False), ("max_id", L, False))
+
 
 def check_constraints() -> dict[str, list[tuple[str, "F.Column"]]]:
     """CHECK constraints per table as (name, condition that must hold)."""
@@ -111,6 +116,8 @@ class Ledger:
     group_expenses: DataFrame
     split_users: DataFrame
     group_expense_tags: DataFrame
+    # highest id ever given per table, kept when rows are deleted so ids are not reused
+    id_marks: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -119,18 +126,35 @@ class Ledger:
         return replace(self, **changed)
 
     def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(t, getattr(self, t)) for t in TABLES]
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Ledger":
         """Read one ledger version: ``<path>/<table>/`` parquet with the fixed schema."""
-        return Ledger(**{t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES})
+        from pyspark.errors import AnalysisException
+
+        tables = {t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES}
+        try:
+            marks = spark.read.schema(ID_MARKS_SCHEMA).parquet(f"{path}/id_marks")
+            marks.limit(0).collect()
+        except AnalysisException:
+            marks = None
+        return Ledger(**tables, id_marks=marks)
 
     def write(self, path: str, mode: str = "errorifexists") -> str:
         for name, df in self.items():
             conform(df, name).write.mode(mode).parquet(f"{path}/{name}")
+        if self.id_marks is not None:
+            self.id_marks.write.mode(mode).parquet(f"{path}/id_marks")
         return path
 
+    @staticmethod
+    def from_testdata(spark: SparkSession, sf_dir: str) -> "Ledger":
+        """The driver's test tables mapped onto a ledger (FIXTURES.md section 2)."""
+        from ledgerline.sources.testdata import ledger_from_testdata
+
+        return ledger_from_testdata(spark, sf_dir)
+
     @staticmethod
     def empty(spark: SparkSession) -> "Ledger":
         return Ledger(**{t: spark.createDataFrame([], SCHEMAS[t]) for t in TABLES})

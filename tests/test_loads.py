@@ -198,3 +198,18 @@ def test_audit_finds_planted_violations(spark):
     assert got[("expenses", "fk:uid->users.uid")] == 1
     assert got[("split_users", "balance:sum(split_amount)=amount")] == 1
     assert sum(v for (t, c), v in got.items() if c.startswith("not_null")) == 0
+
+
+def test_ids_are_not_reused_after_delete(spark, tmp_path):
+    led = small_ledger(spark)
+    gone = C.delete_expenses(led, spark.createDataFrame([(1, 3, 6)], "seq long, actor_uid long, eid long")).ledger
+    assert 6 not in {r.eid for r in gone.expenses.collect()}
+    # the mark survives a write / read of the version
+    path = str(tmp_path / "v1")
+    gone.write(path)
+    again = __import__("ledgerline").Ledger.read(spark, path)
+    typed = spark.createDataFrame([(1, 1, 5.0, "food", "cash", D(2024, 3, 5), None, [])],
+                                  "seq long, uid long, amount double, category string, payment_method string, "
+                                  "date date, description string, tags array<string>")
+    res = M.add_expenses(again, typed)
+    assert [r.eid for r in res.accepted.collect()] == [7]
