@@ -64,3 +64,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["uid", "month", "category_name", "total", "count"]
     assert df.count() > 0
+
+
+def test_stored_ledger_plan_broadcasts_dims_and_pushes_filters(spark, tmp_path):
+    """Over a stored ledger: dimensions are broadcast by size, the user filter reaches the scan."""
+    from ledgerline.operators import reports as R
+    from ledgerline.schema import Ledger
+    from ledgerline.sources.testdata import ledger_from_testdata
+
+    path = str(tmp_path / "ledger")
+    ledger_from_testdata(spark, SF).write(path)
+    led = Ledger.read(spark, path)
+    plan = _plan(R.list_expenses(led, {"min_amount": "1000"}, uid=5))
+    assert "BroadcastHashJoin" in plan
+    pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
+    assert any("EqualTo(uid,5)" in p and "GreaterThanOrEqual(amount,1000.0)" in p for p in pushed), pushed
+    assert not [op for op in FORBIDDEN if op in plan]

@@ -213,3 +213,13 @@ def test_ids_are_not_reused_after_delete(spark, tmp_path):
                                   "date date, description string, tags array<string>")
     res = M.add_expenses(again, typed)
     assert [r.eid for r in res.accepted.collect()] == [7]
+
+
+def test_even_splits_balance(spark):
+    led = small_ledger(spark)
+    batch = spark.createDataFrame([
+        (1, 1, "trip", 100.0, "food", "cash", D(2024, 5, 1), None, ["t"], ["bob", "cid"]),
+        (2, 2, "trip", 0.07, "food", "cash", D(2024, 5, 1), None, [], ["ann"])], M13)
+    res = M.add_group_expenses(led, batch)
+    got = A.split_balance(res.ledger).collect()[0]
+    assert got.violations == 0
