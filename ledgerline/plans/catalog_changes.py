@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import changes as C
 from ledgerline.operators import loads as M
-from ledgerline.plans.catalog_loads import _amount_sql, _date_sql, _strip_sql
+from ledgerline.plans.catalog_loads import _amount_sql, _strip_sql
 from ledgerline.plans.registry import register
 from ledgerline.sources import batches as B
 from ledgerline.sources.testdata import ledger_from_testdata, read_table

@@ -1,6 +1,5 @@
 """Loads, changes and audit on hand-written ledgers (FIXTURES.md section 4)."""
 
-import datetime as dt
 
 import pytest
 from fixtures import D, small_ledger

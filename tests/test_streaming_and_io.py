@@ -4,7 +4,6 @@ import os
 import tempfile
 
 from fixtures import small_ledger
-from pyspark.sql import functions as F
 
 from ledgerline.operators import exports as X
 from ledgerline.operators import loads as M
