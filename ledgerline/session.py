@@ -27,12 +27,8 @@ def get_spark(master: str | None = None, app: str = "ledgerline",
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LEDGER_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
-    if not os.environ.get("LEDGER_CHECKPOINT_DIR"):
-        # local runs only: a cluster names its own shared folder
-        builder = builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="ledgerline-ckpt-"))
-    else:
-        builder = builder.config(CHECKPOINT_CONF, os.environ["LEDGER_CHECKPOINT_DIR"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
