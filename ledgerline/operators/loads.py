@@ -362,3 +362,22 @@ def add_group_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
         tags=ledger.tags.unionByName(new_tags),
         group_expense_tags=ledger.group_expense_tags.unionByName(conform(bridge, "group_expense_tags")))
     return LoadResult(out, new_ge, rejects, {"splits": splits, "new_tags": new_tags})
+
+
+# ---------------------------------------------------------------- file entry points
+
+def import_expense_file(ledger: Ledger, path: str, uid: int) -> LoadResult:
+    """M14 from a CSV file (set) of one acting user: read by header name, then validate and add."""
+    from ledgerline.sources.csv_io import read_expense_csv
+
+    batch = read_expense_csv(ledger.users.sparkSession, path).withColumn("uid", F.lit(uid).cast("long"))
+    return import_expenses(ledger, batch)
+
+
+def import_group_file(ledger: Ledger, path: str, group_name: str, importer_uid: int, as_of=None) -> LoadResult:
+    """M15 from a group CSV file: every row goes to ``group_name`` (the file's own
+    group_name column is ignored, as in the reference)."""
+    from ledgerline.sources.csv_io import read_group_csv
+
+    batch = read_group_csv(ledger.users.sparkSession, path).withColumn("group_name", F.lit(group_name))
+    return import_group(ledger, batch, importer_uid, as_of)
