@@ -160,16 +160,16 @@ def _last_per_key(df: DataFrame, key: list[str]) -> DataFrame:
     return df.join(last, key + ["seq"], "left_semi")
 
 
-def update_expenses(ledger: Ledger, batch: DataFrame) -> ChangeResult:
+def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False) -> ChangeResult:
     """M8: batch (seq, actor_uid, eid, field, value) -- fields as EXPENSE_FIELDS.
 
     Only the owner may change an expense. Category and method are matched
-    exactly after lower-casing; ``tags`` replaces the whole tag set (new tag
+    exactly after lower-casing (``ci_methods`` lower-cases the stored methods too); ``tags`` replaces the whole tag set (new tag
     names are created). The last accepted change per (eid, field) wins.
     """
     exp = ledger.expenses
     cats = name_lookup(ledger.categories, "category_name", "cid", False)
-    pms = name_lookup(ledger.payment_methods, "method", "pid", False)
+    pms = name_lookup(ledger.payment_methods, "method", "pid", ci_methods)
     b = (batch.join(exp.select("eid", F.col("uid").alias("_owner")), "eid", "left")
          .withColumn("_amount", parse_amount("value"))
          .withColumn("_date", parse_date("value"))

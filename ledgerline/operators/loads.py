@@ -138,15 +138,17 @@ def _accept_expenses(ledger: Ledger, ok: DataFrame) -> LoadResult:
     return LoadResult(out, accepted, None, {"new_tags": new_tags, "new_links": bridge})
 
 
-def import_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
+def import_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False) -> LoadResult:
     """Rows of a personal import file (text) for the acting user ``uid`` of each row.
 
-    Category and method must match exactly after strip + lower; tags keep their
-    case and are then held to the table's lower-case rule (M7).
+    Category and method must match exactly after strip + lower (so a stored
+    ``Online`` is not found; ``ci_methods=True`` compares lower-cased stored
+    methods instead); tags keep their case and are then held to the table's
+    lower-case rule (M7).
     """
     p = prepare_expense_text(batch)
     p = _lookup(p, name_lookup(ledger.categories, "category_name", "cid", False), "category", "cid")
-    p = _lookup(p, name_lookup(ledger.payment_methods, "method", "pid", False), "payment_method", "pid")
+    p = _lookup(p, name_lookup(ledger.payment_methods, "method", "pid", ci_methods), "payment_method", "pid")
     reason = _first_failing(
         (F.col("amount_v").isNull(), R_INVALID_AMOUNT),
         (F.col("date_v").isNull(), R_INVALID_DATE),

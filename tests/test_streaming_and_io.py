@@ -62,3 +62,16 @@ def test_personal_export_text(spark):
     led = small_ledger(spark, expenses=[(1, 1, 12345678.0, 1, 1, __import__("datetime").date(2024, 1, 1), None)])
     row = X.expense_export(led, "amount").collect()[0]
     assert row["Amount"] == "12345678.0" and row["Tags"] == "a, b" and row["Description"] == ""
+
+
+def test_import_expense_file_sample_row(spark):
+    """The sample import row has a surplus seventh field: it is dropped, the row is accepted."""
+    path = tempfile.mkdtemp(prefix="imp-")
+    with open(f"{path}/expenses.csv", "w") as f:
+        f.write("amount,category,payment_method,date,description,tag\n")
+        f.write('150.00,travel,cash,2024-03-25,"Weekly groceries",groceries,household\n')
+    res = M.import_expense_file(small_ledger(spark), path, uid=1)
+    row = res.accepted.collect()[0]
+    assert (row.eid, row.amount, row.cid, row.pid, row.description, row.tags) == \
+        (7, 150.0, 2, 1, "Weekly groceries", "groceries")
+    assert res.rejects.count() == 0
