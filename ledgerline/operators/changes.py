@@ -164,8 +164,9 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
     """M8: batch (seq, actor_uid, eid, field, value) -- fields as EXPENSE_FIELDS.
 
     Only the owner may change an expense. Category and method are matched
-    exactly after lower-casing (``ci_methods`` lower-cases the stored methods too); ``tags`` replaces the whole tag set (new tag
-    names are created). The last accepted change per (eid, field) wins.
+    exactly after lower-casing (``ci_methods`` lower-cases the stored methods
+    too); ``tags`` replaces the whole tag set (new tag names are created). The
+    last accepted change per (eid, field) wins.
     """
     exp = ledger.expenses
     cats = name_lookup(ledger.categories, "category_name", "cid", False)
