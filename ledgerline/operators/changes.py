@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import datetime as _dt
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,29 +189,36 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
         ((f == "category") & F.col("_cid").isNull(), R_BAD_VALUE),
         ((f == "payment_method") & F.col("_pid").isNull(), R_BAD_VALUE))
     judged = b.withColumn("reason", reason)
-    ok = _last_per_key(judged.filter(F.col("reason").isNull()), ["eid", "field"])
-
-    def pick(field: str, col: str) -> DataFrame:
-        return ok.filter(f == field).select("eid", F.col(col).alias("_new_" + field))
-
-    changes = reduce(lambda a, c: a.join(c, "eid", "full_outer"),
-                     [pick("amount", "_amount"), pick("date", "_date"), pick("description", "value"),
-                      pick("category", "_cid"), pick("payment_method", "_pid")])
-    has_desc = ok.filter(f == "description").select("eid", F.lit(True).alias("_set_desc"))
-    updated = (exp.join(changes, "eid", "left").join(has_desc, "eid", "left")
+    ok = judged.filter(F.col("reason").isNull())
+
+    def last(field: str, col: str):
+        """Value of the field's last accepted change (highest seq) in the expense's group."""
+        return F.max_by(F.col(col), F.when(f == field, F.col("seq")))
+
+    # one aggregation per expense gathers the last change of every field (no join per field)
+    changes = ok.groupBy("eid").agg(
+        last("amount", "_amount").alias("_new_amount"), last("date", "_date").alias("_new_date"),
+        last("description", "value").alias("_new_description"), last("category", "_cid").alias("_new_cid"),
+        last("payment_method", "_pid").alias("_new_pid"), last("tags", "_tags").alias("_new_tags"),
+        F.max(F.when(f == "description", True)).alias("_set_desc"),
+        F.max(F.when(f == "tags", True)).alias("_set_tags"),
+        F.max(F.when(f == "tags", F.col("seq"))).alias("_tags_seq"))
+    updated = (exp.join(changes, "eid", "left")
                .select("eid", "uid",
                        F.coalesce("_new_amount", "amount").alias("amount"),
-                       F.coalesce("_new_category", "cid").alias("cid"),
-                       F.coalesce("_new_payment_method", "pid").alias("pid"),
+                       F.coalesce("_new_cid", "cid").alias("cid"),
+                       F.coalesce("_new_pid", "pid").alias("pid"),
                        F.coalesce("_new_date", "date").alias("date"),
                        F.when(F.col("_set_desc").isNotNull(), F.col("_new_description"))
                        .otherwise(F.col("description")).alias("description")))
     # tags: replace the set of every expense with an accepted tags change
-    tag_rows = ok.filter(f == "tags").select("eid", "seq", F.explode(F.array_distinct("_tags")).alias("_name"))
-    touched = ok.filter(f == "tags").select("eid").distinct()
+    retag = changes.filter(F.col("_set_tags").isNotNull())
+    tag_rows = retag.select("eid", F.col("_tags_seq").alias("seq"),
+                            F.explode(F.array_distinct("_new_tags")).alias("_name"))
     from ledgerline.operators.loads import _link_tags
     new_tags, bridge = _link_tags(ledger, tag_rows.filter(F.col("_name") != ""), "eid")
-    links = ledger.expenses_tags.join(touched, "eid", "left_anti").unionByName(conform(bridge, "expenses_tags"))
+    links = (ledger.expenses_tags.join(retag.select("eid"), "eid", "left_anti")
+             .unionByName(conform(bridge, "expenses_tags")))
     return ChangeResult(ledger.with_tables(expenses=conform(updated, "expenses"),
                                            tags=ledger.tags.unionByName(new_tags),
                                            expenses_tags=links), _rejects(judged))
