@@ -1,48 +1,95 @@
-"""Versioned ledger snapshots: ``<root>/v=<n>/<table>/`` parquet directories.
+"""Versioned ledger snapshots: ``<root>/v=<n>/`` with a small manifest naming each table's files.
 
-A change job reads version n and writes n+1 -- never the directory it reads --
-so a failed or retried job leaves version n intact and a half-written n+1 is
-simply not published (see :func:`is_complete`); writing it again replaces the partial tables.
-One writer at a time; the caller passes n. Tables a change did not touch are
-written again from version n (a plain copy through Spark).
+A change job reads version n and writes n+1 -- never a directory it reads.
+Tables the change touched are written under ``v=<n+1>/<table>/``; tables it
+did not touch are not copied: the manifest of n+1 points at the directory the
+previous version used. The manifest (one row per table: name, location) is
+written last, so a version exists exactly when its manifest does; a failed or
+retried job leaves version n intact, and writing n+1 again replaces its
+partial tables. One writer at a time; the caller passes n. Old versions stay
+readable as long as their directories are kept (no clean-up is done here).
+
+Directories written by :meth:`Ledger.write` (no manifest) are read as
+``<base>/<table>/``.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ledgerline.schema import ID_MARKS_SCHEMA, SCHEMAS, TABLES, Ledger, conform
 
-from ledgerline.schema import SCHEMAS, TABLES, Ledger
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = StructType([StructField("table_name", StringType(), False),
+                              StructField("location", StringType(), False)])
 
 
 def version_path(root: str, n: int) -> str:
     return f"{root.rstrip('/')}/v={n}"
 
 
+def _manifest(spark: SparkSession, root: str, n: int) -> dict[str, str] | None:
+    """Table -> location of version n (a dozen rows of metadata), or None without a manifest."""
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{version_path(root, n)}/{MANIFEST}").collect()
+    except AnalysisException:
+        return None
+    return {r.table_name: r.location for r in rows} or None
+
+
+def _locations(spark: SparkSession, root: str, n: int) -> dict[str, str]:
+    base = version_path(root, n)
+    return _manifest(spark, root, n) or {t: f"{base}/{t}" for t in (*TABLES, "id_marks")}
+
+
 def read_version(spark: SparkSession, root: str, n: int) -> Ledger:
-    return Ledger.read(spark, version_path(root, n))
+    loc = _locations(spark, root, n)
+    tables = {t: spark.read.schema(SCHEMAS[t]).parquet(loc[t]) for t in TABLES}
+    marks = None
+    if "id_marks" in loc:
+        try:
+            marks = spark.read.schema(ID_MARKS_SCHEMA).parquet(loc["id_marks"])
+            marks.limit(0).collect()
+        except AnalysisException:
+            marks = None
+    return Ledger(**tables, id_marks=marks)
 
 
-def write_version(ledger: Ledger, root: str, n: int) -> str:
-    """Write ``ledger`` as version n. A complete version n is never overwritten; the
-    tables of an incomplete one (a failed earlier attempt) are replaced."""
+def write_version(ledger: Ledger, root: str, n: int, previous: Ledger | None = None,
+                  previous_version: int | None = None) -> str:
+    """Write ``ledger`` as version n.
+
+    With ``previous`` (the ledger read from ``previous_version``), tables that
+    are still the very DataFrames read from it are not rewritten; the manifest
+    points at their existing files. A complete version n is never overwritten.
+    """
     spark = ledger.users.sparkSession
     if is_complete(spark, root, n):
         raise FileExistsError(f"version {n} under {root} already exists")
-    return ledger.write(version_path(root, n), mode="overwrite")
+    base = version_path(root, n)
+    reuse = previous is not None and previous_version is not None
+    old = _locations(spark, root, previous_version) if reuse else {}
+    rows = []
+    for t, df in ledger.items():
+        if reuse and df is previous.table(t):
+            rows.append((t, old[t]))
+        else:
+            conform(df, t).write.mode("overwrite").parquet(f"{base}/{t}")
+            rows.append((t, f"{base}/{t}"))
+    if ledger.id_marks is not None:
+        if reuse and ledger.id_marks is previous.id_marks and "id_marks" in old:
+            rows.append(("id_marks", old["id_marks"]))
+        else:
+            ledger.id_marks.write.mode("overwrite").parquet(f"{base}/id_marks")
+            rows.append(("id_marks", f"{base}/id_marks"))
+    # the manifest is the commit point of the version
+    (spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
+     .write.mode("overwrite").json(f"{base}/{MANIFEST}"))
+    return base
 
 
 def is_complete(spark: SparkSession, root: str, n: int) -> bool:
-    """True when every table of version n is readable.
-
-    A table directory only becomes readable when its write job committed (the
-    output committer moves files into place on success), so a half-written
-    version reads as incomplete. Works on any file system Spark can read.
-    """
-    base = version_path(root, n)
-    for t in TABLES:
-        try:
-            spark.read.schema(SCHEMAS[t]).parquet(f"{base}/{t}").limit(0).collect()
-        except AnalysisException:
-            return False
-    return True
+    """True when version n has its manifest (the last thing its write produces)."""
+    return _manifest(spark, root, n) is not None

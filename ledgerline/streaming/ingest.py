@@ -9,9 +9,9 @@ validated import as the batch path (M14) on each micro-batch:
 Micro-batch ``e`` always writes version ``start_version + e + 1``; a replayed
 epoch whose version is already complete is skipped, so a restart after a
 failure neither loses nor duplicates rows (the stream's own checkpoint records
-which files each epoch read). Each version is a full snapshot (see
-``sources/versions.py``); with a transactional table format on the cluster,
-the appends would go to the tables directly instead.
+which files each epoch read). Only the tables an import changes (expenses,
+tags, expense tags) are written for a new version; the others are shared with
+the previous version through its manifest (see ``sources/versions.py``).
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def _apply_batch(spark: SparkSession, root: str, start_version: int):
         ledger = read_version(spark, root, target - 1)
         rows = batch.withColumn("seq", F.monotonically_increasing_id())
         res = import_expenses(ledger, rows)
-        write_version(res.ledger, root, target)
+        write_version(res.ledger, root, target, previous=ledger, previous_version=target - 1)
         res.rejects.write.mode("overwrite").parquet(f"{root.rstrip('/')}/rejects/epoch={epoch}")
 
     return run

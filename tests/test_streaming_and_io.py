@@ -75,3 +75,24 @@ def test_import_expense_file_sample_row(spark):
     assert (row.eid, row.amount, row.cid, row.pid, row.description, row.tags) == \
         (7, 150.0, 2, 1, "Weekly groceries", "groceries")
     assert res.rejects.count() == 0
+
+
+def test_version_reuses_untouched_tables(spark):
+    from ledgerline.operators import changes as C
+    from ledgerline.sources.versions import _manifest
+
+    root = scratch_path(spark, "versions")
+    write_version(small_ledger(spark), root, 0)
+    v0 = read_version(spark, root, 0)
+    res = C.delete_expenses(v0, spark.createDataFrame([(1, 1, 1)], "seq long, actor_uid long, eid long"))
+    write_version(res.ledger, root, 1, previous=v0, previous_version=0)
+    m0, m1 = _manifest(spark, root, 0), _manifest(spark, root, 1)
+    assert m1["users"] == m0["users"] and m1["expenses"] != m0["expenses"]
+    v1 = read_version(spark, root, 1)
+    assert v1.expenses.count() == 5 and v1.users.count() == 5
+    assert [tuple(r) for r in v1.id_marks.collect()] == [("expenses", 6)]
+    try:
+        write_version(res.ledger, root, 1)
+        raise AssertionError("complete version overwritten")
+    except FileExistsError:
+        pass
