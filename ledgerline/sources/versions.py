@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ledgerline.schema import ID_MARKS_SCHEMA, SCHEMAS, TABLES, Ledger, conform
+from ledgerline.schema import ID_MARKS_SCHEMA, SCHEMAS, TABLES, Ledger, write_table
 
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = StructType([StructField("table_name", StringType(), False),
@@ -76,7 +76,7 @@ def write_version(ledger: Ledger, root: str, n: int, previous: Ledger | None = N
         if reuse and df is previous.table(t):
             rows.append((t, old[t]))
         else:
-            conform(df, t).write.mode("overwrite").parquet(f"{base}/{t}")
+            write_table(df, t, f"{base}/{t}", "overwrite")
             rows.append((t, f"{base}/{t}"))
     if ledger.id_marks is not None:
         if reuse and ledger.id_marks is previous.id_marks and "id_marks" in old:
