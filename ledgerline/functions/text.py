@@ -48,8 +48,10 @@ def float_text(c) -> Column:
     Spark prints 1e7 and above in scientific notation ('1.2345678E7'); this
     rewrites that form by moving the decimal point, digit for digit.
     """
-    s = _c(c).cast("string")
-    sci = s.rlike(r"^-?\d\.\d+E\d+$")
+    x = _c(c)
+    s = x.cast("string")
+    # Spark switches to scientific notation from 1e7 up; only those values need the rewrite
+    sci = (F.abs(x) >= F.lit(1e7)) & (F.abs(x) != F.lit(float("inf")))
     sign = F.regexp_extract(s, r"^(-?)", 1)
     digits = F.concat(F.regexp_extract(s, r"(\d)\.", 1), F.regexp_extract(s, r"\.(\d+)E", 1))
     exp = F.regexp_extract(s, r"E(\d+)$", 1).cast("int")
