@@ -60,8 +60,11 @@ def allocate_ids(rows: DataFrame, order_cols: list[str], id_col: str, base: Data
     """
     spark = rows.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = (rows.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # without an explicit count AQE may merge adjacent range partitions of a small batch;
+    # merged partitions stay contiguous and in order, which is all the numbering needs
+    ranged = (rows.repartitionByRange(partitions, *order_cols) if partitions
+              else rows.repartitionByRange(*order_cols))
+    numbered = (ranged.sortWithinPartitions(*order_cols)
                 .withColumn("_part", F.spark_partition_id())
                 .withColumn("_rn", F.monotonically_increasing_id()
                             - F.shiftleft(F.col("_part").cast("long"), 33) + 1)
