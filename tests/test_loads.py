@@ -222,3 +222,14 @@ def test_even_splits_balance(spark):
     res = M.add_group_expenses(led, batch)
     got = A.split_balance(res.ledger).collect()[0]
     assert got.violations == 0
+
+
+def test_allocate_ids_is_a_gapless_rank(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators.ids import allocate_ids
+
+    rows = spark.range(0, 30000).select(((F.col("id") * 7919) % 100003).alias("seq"))  # unique, shuffled
+    base = spark.createDataFrame([(41,)], "_base long")
+    out = allocate_ids(rows, ["seq"], "eid", base).toPandas().sort_values("seq")
+    assert list(out["eid"]) == list(range(42, 42 + 30000))
