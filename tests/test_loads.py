@@ -233,3 +233,20 @@ def test_allocate_ids_is_a_gapless_rank(spark):
     base = spark.createDataFrame([(41,)], "_base long")
     out = allocate_ids(rows, ["seq"], "eid", base).toPandas().sort_values("seq")
     assert list(out["eid"]) == list(range(42, 42 + 30000))
+
+
+def test_delete_user_with_and_without_cascade(spark):
+    led = small_ledger(spark)
+    batch = spark.createDataFrame([(1, 2), (2, 99)], "seq long, uid long")
+    plain = C.delete_users(led, batch)
+    assert reasons(plain) == {2: "not found"}
+    assert plain.ledger.expenses.filter("uid = 2").count() == 2  # orphans stay (no cascade)
+    full = C.delete_users(led, batch, cascade=True).ledger
+    assert full.expenses.filter("uid = 2").count() == 0
+    assert {r.eid for r in full.expenses_tags.collect()} == {1}  # expense 3 (bob's) lost its tag link
+    assert full.user_group.filter("uid = 2").count() == 0 and full.split_users.filter("uid = 2").count() == 0
+    tags = C.delete_tags(led, spark.createDataFrame([(1, " A "), (2, "zzz")], "seq long, tag_name string"),
+                         cascade=True)
+    assert reasons(tags) == {2: "not found"}
+    assert all(r.tid != 1 for r in tags.ledger.expenses_tags.collect())
+    assert all(r.tid != 1 for r in tags.ledger.group_expense_tags.collect())
