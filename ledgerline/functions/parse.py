@@ -22,8 +22,8 @@ def parse_amount(c) -> Column:
     """Text -> double like float(); NULL when it does not parse, and for NaN / infinity."""
     t = strip(_c(c))
     num = F.when(t.rlike(NUMBER_PATTERN), F.regexp_replace(t, "_", "").try_cast("double"))
-    finite = ~F.isnan(num) & (F.abs(num) != F.lit(float("inf")))
-    return F.when(finite, num)
+    # the pattern admits no NaN spelling; an exponent beyond the double range gives infinity
+    return F.when(F.abs(num) < F.lit(float("inf")), num)
 
 
 def parse_date(c) -> Column:
@@ -33,3 +33,21 @@ def parse_date(c) -> Column:
     """
     t = _c(c)
     return F.when(t.rlike(DATE_PATTERN), F.try_to_date(t, "yyyy-M-d"))
+
+
+_WS = r"[ \t\r\n]*"
+_ITEM = NUMBER_PATTERN[1:-1]  # the number pattern without its anchors
+# a comma-separated list whose non-blank items are all numbers
+NUMBER_LIST_PATTERN = rf"^{_WS}(?:{_ITEM})?{_WS}(?:,{_WS}(?:{_ITEM})?{_WS})*$"
+
+
+def parse_amount_list(text, items) -> Column:
+    """The stripped, non-blank ``items`` of ``text`` as doubles, like [float(a) for a in items];
+    NULL when any item is not a finite number.
+
+    The whole text is validated with one pattern, so the per-item work is only a
+    cast (higher-order functions are evaluated row by row, outside codegen).
+    """
+    vals = F.transform(_c(items), lambda a: F.regexp_replace(a, "_", "").try_cast("double"))
+    ok = _c(text).rlike(NUMBER_LIST_PATTERN) & ~F.exists(vals, lambda v: F.abs(v) == F.lit(float("inf")))
+    return F.when(ok, vals)

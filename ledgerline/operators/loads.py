@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.money import MAX_AMOUNT
-from ledgerline.functions.parse import parse_amount, parse_date
+from ledgerline.functions.parse import parse_amount, parse_amount_list, parse_date
 from ledgerline.functions.text import has_duplicates, norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, next_id_base
 from ledgerline.schema import Ledger, conform
@@ -229,11 +229,12 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     b = _lookup(b, cat_lookup, "cat_name", "cid")
     b = _lookup(b, pm_lookup, "pm_name", "pid")
 
+    # parsed amounts and their total are columns of their own, so each is computed once per row
     n = F.size("names")
-    given_v = F.transform("given", lambda a: parse_amount(a))
-    use_given = ((F.size("given") > 0) & (F.size("given") == n)
-                 & ~F.exists(given_v, lambda a: a.isNull()))
-    total = F.aggregate(given_v, F.lit(0.0), lambda acc, x: acc + x)
+    b = b.withColumn("_given_v", parse_amount_list(F.coalesce("split_amounts", F.lit("")), "given"))
+    b = b.withColumn("_total", F.aggregate("_given_v", F.lit(0.0), lambda acc, x: acc + x))
+    given_v, total = F.col("_given_v"), F.col("_total")
+    use_given = (F.size("given") > 0) & (F.size("given") == n) & given_v.isNotNull()
     adjusted = F.when(F.abs(total - F.col("amount_v")) > SPLIT_TOLERANCE,
                       F.transform(given_v, lambda x, i: F.when(i == 0, x + (F.col("amount_v") - total))
                                   .otherwise(x))).otherwise(given_v)
