@@ -90,10 +90,13 @@ def ledger_from_testdata(spark: SparkSession, sf_dir: str) -> Ledger:
         F.col("n_name").alias("group_name"),
         F.lit(None).cast("string").alias("description"))
 
+    # hash-partitioned by geid once: the distinct, the per-expense count and the joins on geid
+    # below all reuse that partitioning instead of shuffling again
     participants = (lines.select(F.col("l_orderkey").cast("long").alias("geid"),
                                  F.col("l_suppkey").cast("long").alias("uid"))
                     .unionByName(orders.select(F.col("o_orderkey").cast("long").alias("geid"),
                                                F.col("o_custkey").cast("long").alias("uid")))
+                    .repartition("geid")
                     .distinct())
     counts = participants.groupBy("geid").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     nations = customer.select(F.col("c_custkey").cast("long").alias("uid"),
