@@ -195,7 +195,8 @@ def add_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
 
 # ---------------------------------------------------------------- M15
 
-def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None) -> LoadResult:
+def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None,
+                 source: str | None = None) -> LoadResult:
     """Rows of group import files; ``group_name`` of each row names its group.
 
     Missing groups are created with the importer as member. Categories are
@@ -203,7 +204,8 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     Shares: given amounts when they match the names (first one adjusted when off
     by more than 0.01), else an even split over all names, unknown ones included;
     unknown names are dropped with their share. ``as_of`` dates new groups
-    (default: today, fixed once on the driver).
+    (default: today, fixed once on the driver); ``source`` names the file in
+    their description. A row without a group name is rejected.
     """
     as_of = as_of or _dt.date.today()
     # the importer's name and role: scalar subqueries over one primary-key row
@@ -242,6 +244,7 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     b = b.withColumn("shares", F.when(use_given, adjusted).otherwise(even))
 
     reason = _first_failing(
+        (F.col("group_name").isNull() | (strip("group_name") == ""), R_UNKNOWN_GROUP),
         (~required, R_MISSING_FIELD),
         (F.col("pid").isNull() & ~F.coalesce(F.col("_is_admin"), F.lit(False)), R_UNKNOWN_METHOD),
         (F.col("amount_v").isNull(), R_INVALID_AMOUNT),
@@ -261,7 +264,8 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
                   allocate_ids(new_groups, ["_first", "group_name"], "gid", next_id_base(ledger, "groups")))
     new_groups = new_groups.select(
         "gid", F.lit(as_of).alias("date_created"), "group_name",
-        F.concat(F.lit("Imported group from batch "), F.col("_first").cast("string")).alias("description"))
+        (F.lit(f"Imported group from {source}") if source else
+         F.concat(F.lit("Imported group from batch row "), F.col("_first").cast("string"))).alias("description"))
     all_groups = ledger.groups.unionByName(conform(new_groups, "groups"))
     new_members = new_groups.select(F.lit(importer_uid).cast("long").alias("uid"), "gid")
 
@@ -383,4 +387,4 @@ def import_group_file(ledger: Ledger, path: str, group_name: str, importer_uid:
     from ledgerline.sources.csv_io import read_group_csv
 
     batch = read_group_csv(ledger.users.sparkSession, path).withColumn("group_name", F.lit(group_name))
-    return import_group(ledger, batch, importer_uid, as_of)
+    return import_group(ledger, batch, importer_uid, as_of, source=path)
