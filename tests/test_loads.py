@@ -250,3 +250,19 @@ def test_delete_user_with_and_without_cascade(spark):
     assert reasons(tags) == {2: "not found"}
     assert all(r.tid != 1 for r in tags.ledger.expenses_tags.collect())
     assert all(r.tid != 1 for r in tags.ledger.group_expense_tags.collect())
+
+
+def test_add_groups_and_update_users(spark):
+    led = small_ledger(spark)
+    res = C.add_groups(led, spark.createDataFrame(
+        [(1, 1, " club ", "x"), (2, 2, "club", "y"), (3, 9, "solo", None), (4, 2, "trip", None)],
+        "seq long, uid long, group_name string, description string"), as_of=D(2024, 6, 1))
+    assert reasons(res) == {2: "duplicate in batch", 3: "unknown user", 4: "already exists"}
+    club = res.ledger.groups.filter("group_name = 'club'").collect()
+    assert len(club) == 1 and club[0].gid == 3 and club[0].date_created == D(2024, 6, 1)
+    assert (1, 3) in {(r.uid, r.gid) for r in res.ledger.user_group.collect()}
+    up = C.update_users(led, spark.createDataFrame(
+        [(1, 1, "role", "Admin"), (2, 1, "role", "User"), (3, 2, "role", "Root"), (4, 9, "role", "User"),
+         (5, 2, "password", "x")], "seq long, uid long, field string, value string"))
+    assert reasons(up) == {3: "invalid value", 4: "not found", 5: "invalid field"}
+    assert {r.uid: r.role for r in up.ledger.users.collect()}[1] == "User"  # last change wins
