@@ -8,6 +8,8 @@ Column expression or a join against a dimension; ids come from
 :func:`ledgerline.operators.ids.allocate_ids`.
 
 Reasons are checked in the reference's order; the first failing rule wins.
+Calling a load runs its validation checkpoint and id allocation (eager jobs),
+so the ids of a result never change between the actions that consume it.
 """
 
 from __future__ import annotations
