@@ -23,6 +23,7 @@ from ledgerline.operators import exports as X  # noqa: E402
 from ledgerline.operators import groups as G  # noqa: E402
 from ledgerline.operators import loads as M  # noqa: E402
 from ledgerline.operators import reports as R  # noqa: E402
+from ledgerline.plans.inspect import broadcast_joins, exchanges  # noqa: E402
 from ledgerline.schema import Ledger  # noqa: E402
 from ledgerline.session import get_spark, scratch_path  # noqa: E402
 from ledgerline.sources import batches as B  # noqa: E402
@@ -70,13 +71,16 @@ def main() -> None:
                                                as_of="2001-07-15").extra["splits"],
     }
     results: dict[str, float] = {}
+    plans: dict[str, dict[str, int]] = {}
     for name, build in headline.items():
-        _force(build())  # warm-up
+        df = build()
+        plans[name] = {"exchanges": exchanges(df), "broadcast_joins": broadcast_joins(df)}
+        _force(df)  # warm-up
         results[name] = round(statistics.median(_time(lambda: _force(build())) for _ in range(RUNS)), 3)
 
     sf = os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")
     out = {"metric": "ledger_headline_total", "value": round(sum(results.values()), 3), "unit": "sec",
-           "queries": results, "build_ledger": round(t_build, 3), "sf": sf,
+           "queries": results, "build_ledger": round(t_build, 3), "plans": plans, "sf": sf,
            "cpus": int(os.environ.get("BENCH_CPUS", "8"))}
     print(json.dumps(out))
 
