@@ -104,11 +104,15 @@ def group_tag_usage(ledger: Ledger, group_name: str | None = None) -> DataFrame:
 
 
 def group_user_expenses(ledger: Ledger, group_name: str | None = None) -> DataFrame:
-    """Sum of each member's split shares in a group, ascending."""
-    facts = _named(ledger.group_expenses.select("geid", "gid"), ledger, group_name)
-    keys = _lead(group_name, ["uid", "username"])
-    out = (ledger.split_users.join(facts, "geid")
-           .join(ledger.users.select("uid", "username"), "uid")
-           .groupBy(*keys).agg(exact_sum("split_amount").alias("total_spent")))
+    """Sum of each member's split shares in a group, ascending.
+
+    Shares are summed per (group, user) first; names are joined to the sums.
+    """
+    facts = in_group(ledger.group_expenses.select("geid", "gid"), ledger, group_name)
+    sums = (ledger.split_users.join(facts, "geid")
+            .groupBy("gid", "uid").agg(exact_sum("split_amount").alias("total_spent")))
+    out = sums.join(ledger.users.select("uid", "username"), "uid")
+    if group_name is None:
+        out = out.join(ledger.groups.select("gid", "group_name"), "gid")
     return out.select(*_lead(group_name, ["username", "total_spent"])).orderBy(
         *([] if group_name is not None else ["group_name"]), "total_spent", "username")

@@ -99,13 +99,19 @@ def monthly_category_spending(ledger: Ledger, uid: int | None = None) -> DataFra
 
 
 def highest_spender_per_month(ledger: Ledger) -> DataFrame:
-    """Per month the user(s) with the largest total; ties all kept (RANK() = 1)."""
-    per_user = (ledger.expenses.join(ledger.users.select("uid", "username"), "uid")
-                .withColumn("month", month("date"))
-                .groupBy("month", "uid", "username")
-                .agg(exact_sum("amount").alias("total")))
+    """Per month the user(s) with the largest total; ties all kept (RANK() = 1).
+
+    Totals are aggregated by (month, uid) first; those (far fewer) rows are
+    restricted to existing users (expenses of deleted users do not compete, as
+    with the reference's inner join), and only the winners -- a few rows per
+    month -- meet the users table for their names.
+    """
+    per_user = (ledger.expenses.withColumn("month", month("date"))
+                .groupBy("month", "uid").agg(exact_sum("amount").alias("total"))
+                .join(ledger.users.select("uid"), "uid", "left_semi"))
     best = per_user.groupBy("month").agg(F.max("total").alias("total"))
     return (per_user.join(best, ["month", "total"], "left_semi")
+            .join(ledger.users.select("uid", "username"), "uid")
             .select("month", "username", "total")
             .orderBy(F.desc("month"), "username"))
 

@@ -122,3 +122,11 @@ def test_top_category_tie_breaks_on_latest_use(spark):
 def test_pivot_keeps_first_month(spark):
     out = Dash.monthly_category_pivot(small_ledger(spark), ["food", "travel"], uid=1).orderBy("month")
     assert rows(out) == [("2024-03", 100.0, 50.0), ("2024-04", None, 150.0)]
+
+
+def test_highest_spender_ignores_deleted_users(spark):
+    base = small_ledger(spark)
+    rows = [tuple(r) for r in base.expenses.collect()] + [(9, 99, 1000.0, 1, 1, D(2024, 4, 5), None)]
+    led = small_ledger(spark, expenses=rows)
+    out = {(r.month, r.username) for r in R.highest_spender_per_month(led).collect()}
+    assert {u for m, u in out if m == "2024-04"} == {"ann", "bob", "cid"}
