@@ -1,58 +1,93 @@
-"""Continuous personal imports: CSV files dropped into ``<in_dir>/uid=<k>/`` become ledger versions.
+"""Continuous imports: CSV files dropped into a folder become ledger versions.
 
-A Structured Streaming file source reads the drops (all columns as text, the
-acting user from the ``uid=<k>`` folder), and ``foreachBatch`` runs the same
-validated import as the batch path (M14) on each micro-batch:
+Personal drops go to ``<in_dir>/uid=<k>/`` (the folder names the acting user),
+group drops to ``<in_dir>/group=<name>/`` (the folder names the group). A
+Structured Streaming file source discovers new files; ``foreachBatch`` reads
+the files of each micro-batch by *header name* (a streaming CSV schema would
+map columns by position) and runs the same validated import as the batch path
+(M14 / M15):
 
     version n  --import(micro-batch e)-->  version n+1,  rejects -> <root>/rejects/epoch=<e>/
 
 Micro-batch ``e`` always writes version ``start_version + e + 1``; a replayed
 epoch whose version is already complete is skipped, so a restart after a
 failure neither loses nor duplicates rows (the stream's own checkpoint records
-which files each epoch read). Only the tables an import changes (expenses,
-tags, expense tags) are written for a new version; the others are shared with
-the previous version through its manifest (see ``sources/versions.py``).
+which files each epoch read). Only the tables an import changes are written
+for a new version; the others are shared with the previous version through its
+manifest (see ``sources/versions.py``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ledgerline.operators.loads import import_expenses
-from ledgerline.sources.csv_io import EXPENSE_CSV_COLUMNS
+from ledgerline.operators.loads import import_expenses, import_group
+from ledgerline.sources.csv_io import (EXPENSE_CSV_COLUMNS, EXPENSE_CSV_REQUIRED, GROUP_CSV_COLUMNS,
+                                       GROUP_CSV_REQUIRED, _by_name)
 from ledgerline.sources.versions import is_complete, read_version, write_version
 
-DROP_SCHEMA = StructType([StructField(c, StringType(), True) for c in EXPENSE_CSV_COLUMNS]
-                         + [StructField("uid", LongType(), True)])
 
+def _new_files(spark: SparkSession, in_dir: str, max_files_per_trigger: int) -> DataFrame:
+    """Streaming frame of the paths of newly dropped files (one row per line; paths repeat)."""
+    return (spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+            .option("recursiveFileLookup", False).text(in_dir)
+            .select(F.col("_metadata.file_path").alias("path")))
 
-def expense_drops(spark: SparkSession, in_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming frame of dropped personal import files (header row, columns by name)."""
-    return (spark.readStream.schema(DROP_SCHEMA).option("header", True).option("escape", '"')
-            .option("maxFilesPerTrigger", max_files_per_trigger).csv(in_dir))
 
+def _read_drops(spark: SparkSession, in_dir: str, paths: list[str], columns, required) -> DataFrame:
+    """The micro-batch's files read as text by header name, with the folder's partition column."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+           .option("basePath", in_dir).csv(paths))
+    part_cols = [c for c in raw.columns if c in ("uid", "group")]
+    return _by_name(raw, list(columns) + part_cols, required).drop("seq")
 
-def _apply_batch(spark: SparkSession, root: str, start_version: int):
+
+def _apply_batch(spark: SparkSession, in_dir: str, root: str, start_version: int, columns, required, load):
     def run(batch: DataFrame, epoch: int) -> None:
         target = start_version + epoch + 1
         if is_complete(spark, root, target):
             return  # epoch replayed after its version was written
+        # file paths only: at most maxFilesPerTrigger distinct values per micro-batch
+        paths = [r.path for r in batch.select("path").distinct().collect()]
+        if not paths:
+            return
         ledger = read_version(spark, root, target - 1)
-        rows = batch.withColumn("seq", F.monotonically_increasing_id())
-        res = import_expenses(ledger, rows)
+        rows = (_read_drops(spark, in_dir, paths, columns, required)
+                .withColumn("seq", F.monotonically_increasing_id()))
+        res = load(ledger, rows)
         write_version(res.ledger, root, target, previous=ledger, previous_version=target - 1)
         res.rejects.write.mode("overwrite").parquet(f"{root.rstrip('/')}/rejects/epoch={epoch}")
 
     return run
 
 
-def start_expense_ingest(spark: SparkSession, in_dir: str, root: str, start_version: int,
-                         checkpoint_location: str, available_now: bool = False):
-    """Start the ingest; ``available_now`` processes what is there and stops (for batch-style runs)."""
-    writer = (expense_drops(spark, in_dir).writeStream
-              .foreachBatch(_apply_batch(spark, root, start_version))
+def _start(spark, in_dir, checkpoint_location, available_now, max_files, run):
+    writer = (_new_files(spark, in_dir, max_files).writeStream.foreachBatch(run)
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def start_expense_ingest(spark: SparkSession, in_dir: str, root: str, start_version: int,
+                         checkpoint_location: str, available_now: bool = False,
+                         max_files_per_trigger: int = 1000):
+    """Personal imports (M14) for files in ``<in_dir>/uid=<k>/``; ``available_now`` processes
+    what is there and stops."""
+    def load(ledger, rows):
+        return import_expenses(ledger, rows.withColumn("uid", F.col("uid").cast("long")))
+
+    run = _apply_batch(spark, in_dir, root, start_version, EXPENSE_CSV_COLUMNS, EXPENSE_CSV_REQUIRED, load)
+    return _start(spark, in_dir, checkpoint_location, available_now, max_files_per_trigger, run)
+
+
+def start_group_ingest(spark: SparkSession, in_dir: str, root: str, start_version: int,
+                       checkpoint_location: str, importer_uid: int, available_now: bool = False,
+                       max_files_per_trigger: int = 1000):
+    """Group imports (M15) for files in ``<in_dir>/group=<name>/``; same versioning."""
+    def load(ledger, rows):
+        return import_group(ledger, rows.withColumn("group_name", F.col("group").cast("string")).drop("group"),
+                            importer_uid)
+
+    run = _apply_batch(spark, in_dir, root, start_version, GROUP_CSV_COLUMNS, GROUP_CSV_REQUIRED, load)
+    return _start(spark, in_dir, checkpoint_location, available_now, max_files_per_trigger, run)
