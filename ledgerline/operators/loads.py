@@ -211,9 +211,9 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     """
     as_of = as_of or _dt.date.today()
     # the importer's name and role: scalar subqueries over one primary-key row
-    me = ledger.users.filter(F.col("uid") == F.lit(importer_uid))
-    b = (batch.withColumn("_importer", me.agg(F.max("username")).scalar())
-         .withColumn("_is_admin", me.agg(F.max(F.col("role") == "Admin")).scalar()))
+    me = (ledger.users.filter(F.col("uid") == F.lit(importer_uid))
+          .agg(F.struct(F.max("username").alias("n"), F.max(F.col("role") == "Admin").alias("a"))).scalar())
+    b = batch.withColumn("_importer", me["n"]).withColumn("_is_admin", me["a"])
     nonempty = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     required = nonempty("amount") & nonempty("category_name") & nonempty("payment_method") & nonempty("expense_date")
 
