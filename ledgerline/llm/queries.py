@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import table
 from ledgerline.llm.decontaminate import contamination
 from ledgerline.llm.exact_dedup import exact_duplicates
+from ledgerline.llm.importance import importance_sample, labelled_target
+from ledgerline.llm.language_id import language_id
 from ledgerline.llm.registry import register
+from ledgerline.llm.token_counts import token_counts
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file; LEDGERLINE_TOKENIZERS names another folder than the installed one."""
+    folder = os.environ.get("LEDGERLINE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op1_importance_resampling")
+def op1_importance_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    target, share = labelled_target(docs, table(spark, sf_dir, "labels"))
+    return importance_sample(docs, target, share)
+
+
+@register("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
 
 
 @register("op6_decontamination", sql=r"""
@@ -48,3 +75,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """)
 def op7_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    out = token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return out.select("*", (F.col("n_tokens") > 512).alias("over_limit"))
