@@ -2,8 +2,8 @@
 
 1. Every task counts its pre-tokens; one aggregation gives the distinct ones of
    the corpus with their frequency, and the library cuts each of them once.
-2. The ``head_size`` most frequent pre-tokens (a fixed number) are broadcast
-   with their piece counts. Each document sums them where it lies; only its
+2. Pre-tokens with at least 1/``head`` of all occurrences -- so at most ``head``
+   of them, whatever the input -- are broadcast with their piece counts. Each document sums them where it lies; only its
    other pre-tokens, with their frequency, go through a shuffle join on the
    pre-token. Frequent keys never meet in one task, and no id is ever listed.
 """
@@ -92,7 +92,7 @@ def pretoken_pieces(docs: DataFrame, vocabulary: ByteLevelVocabulary, text_col:
     return distinct.mapInArrow(pieces, "token string, freq long, pieces int")
 
 
-def token_counts(docs: DataFrame, tokenizer_file: str, head_size: int = 100_000, id_col: str = "doc_id",
+def token_counts(docs: DataFrame, tokenizer_file: str, head: int = 1_000_000, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes`` (UTF-8), ``n_tokens`` as the library counts them.
 
@@ -106,7 +106,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, head_size: int = 100_000,
     with open(tokenizer_file, encoding="utf-8") as f:
         vocabulary = ByteLevelVocabulary(f.read())
     known = staged(pretoken_pieces(docs, vocabulary, text_col), "pretoken-pieces")
-    top = known.orderBy(F.desc("freq"), "token").limit(head_size).select("token", "pieces").collect()
+    total = known.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+    top = known.filter(F.col("freq") * head >= total).select("token", "pieces").collect()
     sent = spark.sparkContext.broadcast((vocabulary.source, {r.token: r.pieces for r in top}))
 
     def sums(batches):
