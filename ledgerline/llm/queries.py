@@ -11,7 +11,10 @@ from ledgerline.llm.decontaminate import contamination
 from ledgerline.llm.exact_dedup import exact_duplicates
 from ledgerline.llm.importance import importance_sample, labelled_target
 from ledgerline.llm.language_id import language_id
+from ledgerline.llm.lattice import decode, sample_encode
+from ledgerline.llm.pii import pseudonymise
 from ledgerline.llm.registry import register
+from ledgerline.llm.sharding import balanced_shards
 from ledgerline.llm.token_counts import token_counts
 
 
@@ -81,3 +84,27 @@ def op7_exact_dedup(spark, sf_dir):
 def op8_token_counts(spark, sf_dir):
     out = token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return out.select("*", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@register("op2_sentencepiece_sampling")
+def op2_sentencepiece_sampling(spark, sf_dir):
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = sample_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+@register("op3_balanced_shards")
+def op3_balanced_shards(spark, sf_dir):
+    out = balanced_shards(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op5_pii_pseudonyms")
+def op5_pii_pseudonyms(spark, sf_dir):
+    key = os.environ.get("LEDGERLINE_PII_KEY", "ledgerline").encode()
+    out = pseudonymise(table(spark, sf_dir, "documents"), key)
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_values"), "spans", "text",
+                      F.sha2("text", 256).alias("text_sha256"))
