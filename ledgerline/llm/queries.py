@@ -15,6 +15,7 @@ from ledgerline.llm.lattice import decode, sample_encode
 from ledgerline.llm.pii import pseudonymise
 from ledgerline.llm.registry import register
 from ledgerline.llm.sharding import balanced_shards
+from ledgerline.llm.substring_dedup import remove_repeats
 from ledgerline.llm.token_counts import token_counts
 
 
@@ -108,3 +109,24 @@ def op5_pii_pseudonyms(spark, sf_dir):
     out = pseudonymise(table(spark, sf_dir, "documents"), key)
     return out.select("doc_id", F.size("spans").cast("long").alias("n_values"), "spans", "text",
                       F.sha2("text", 256).alias("text_sha256"))
+
+
+@register("op10_substring_dedup", sql=r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM later)),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT word.doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY word.p) AS t
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""")
+def op10_substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
