@@ -12,6 +12,7 @@ from ledgerline.llm.exact_dedup import exact_duplicates
 from ledgerline.llm.importance import importance_sample, labelled_target
 from ledgerline.llm.language_id import language_id
 from ledgerline.llm.lattice import decode, sample_encode
+from ledgerline.llm.ngram_join import jaccard_components
 from ledgerline.llm.pii import pseudonymise
 from ledgerline.llm.registry import register
 from ledgerline.llm.sharding import balanced_shards
@@ -130,3 +131,8 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 def op10_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op9_ngram_jaccard")
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
