@@ -5,13 +5,14 @@ the incidence matrix. Its n-grams are put in order of rarity (hashed counts over
 all documents), and only the first ``n - ceil(t n) + 1`` columns of a row are
 kept: two rows that are similar enough share one of those.
 
-1. Columns with a single row hold no pair. What is left of a row bounds its
-   overlap with any other (``reach``).
+1. Columns with a single row hold no pair. The shared columns of a row bound its
+   overlap with any other (``reach``), those from a column on bound the overlap
+   with a row that it meets there first (``left``).
 2. Every row is compared with one centre, the row with the fewest lone columns
    among the columns they share: a large group of near copies becomes a star.
-3. The product accumulates, over all kept columns, the shared columns of each
-   pair of rows that are not connected yet and may reach the overlap their sizes
-   ask for; pairs whose count cannot be completed to that overlap go.
+3. The product, blocked by columns, accumulates the columns where rows that are
+   not connected yet can meet first and still reach the overlap their sizes ask
+   for; pairs without such a column go.
 4. What remains is verified on the whole n-gram sets of both texts.
 
 No link between rows of different components is skipped, so the components are exact.
@@ -152,25 +153,28 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataF
     key = ["size", "sum1", "sum2"]
     classes = sets.filter("size > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("columns").alias("columns"))
     column = Window.partitionBy("col")
-    entries = (classes.select("rep", "size", F.explode("columns").alias("col"))
-               .withColumn("rows", F.count("*").over(column)).filter("rows > 1").select("col", "rep", "size"))
+    entries = (classes.select("rep", "size", F.posexplode("columns").alias("place", "col"))
+               .withColumn("rows", F.count("*").over(column)).filter("rows > 1").select("col", "rep", "size", "place"))
     entries = staged(entries, "ngram-entries")
-    # a row's overlap with any other leaves out its lone columns
-    size = F.col("size")
-    kept_columns = size - F.ceil(size * percent / 100) + 1
-    reach = entries.groupBy("rep", "size").agg(F.count("*").alias("shared")).select(
-        "rep", (size - kept_columns + F.col("shared")).alias("reach"))
-    entries = staged(entries.join(reach, "rep"), "ngram-entries")
-
-    def possible(s1: Column, r1: Column, s2: Column, r2: Column) -> Column:
-        return ((100 * F.least(s1, s2) >= percent * F.greatest(s1, s2))
-                & ((100 + percent) * F.least(r1, r2) >= percent * (s1 + s2)))
-
-    texts = staged(_pack(docs).join(reach.select(F.col("rep").alias("id")), "id", "left_semi"), "ngram-texts")
-    centre = F.min(F.struct((F.col("size") - F.col("reach")).alias("lone"), "rep", "size", "reach")).over(column)
-    stars = (entries.withColumn("c", centre).filter(F.col("rep") != F.col("c.rep"))
-             .filter(possible(F.col("size"), F.col("reach"), F.col("c.size"), F.col("c.reach")))
-             .groupBy("rep", F.col("c.rep").alias("centre")).agg(F.count("*").alias("k"))
+    # left: the row's shared columns from this one on; reach: what its overlap with any other row can be at most
+    own = Window.partitionBy("rep")
+    size, shared = F.col("size"), F.count("*").over(own)
+    beyond = lambda s: F.ceil(s * percent / 100) - 1  # noqa: E731  columns of a row that are not kept
+    entries = staged(entries.select("col", "rep", "size", (shared - F.row_number().over(own.orderBy("place", "col")) + 1).alias("left"),
+                                    (beyond(size) + shared).alias("reach")), "ngram-entries")
+
+    def possible(x: str, y: str) -> Column:
+        """Whether rows that share a column -- and none before it -- can have the overlap their sizes ask for."""
+        one, two = F.col(f"{x}.size"), F.col(f"{y}.size")
+        most = F.least(F.col(f"{x}.reach"), F.col(f"{y}.reach"),
+                       F.least(F.col(f"{x}.left"), F.col(f"{y}.left")) + beyond(F.greatest(one, two)))
+        return (100 * F.least(one, two) >= percent * F.greatest(one, two)) & ((100 + percent) * most >= percent * (one + two))
+
+    texts = staged(_pack(docs).join(entries.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "ngram-texts")
+    row = F.struct((F.col("size") - F.col("reach")).alias("lone"), "rep", "size", "left", "reach")
+    stars = (entries.select(row.alias("x"), F.min(row).over(column).alias("c"))
+             .filter((F.col("x.rep") != F.col("c.rep")) & possible("x", "c"))
+             .groupBy(F.col("x.rep").alias("rep"), F.col("c.rep").alias("centre")).agg(F.count("*").alias("k"))
              .groupBy("rep").agg(F.max(F.struct("k", F.col("centre").alias("centre"))).alias("best"))
              .select(F.least("rep", "best.centre").alias("a"), F.greatest("rep", "best.centre").alias("b")).distinct())
     first = staged(verified(stars, texts, n, percent), "star-links")
@@ -182,14 +186,9 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataF
                           .filter("apart").drop("apart"), "open-columns")
     x, y = open_columns.alias("x"), open_columns.alias("y")
     apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    product = (x.join(y, (F.col("x.col") == F.col("y.col")) & apart
-                      & possible(F.col("x.size"), F.col("x.reach"), F.col("y.size"), F.col("y.reach")))
-               .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"))
-               .agg(F.count("*").alias("k")))
-    # columns behind the kept ones add at most ceil(t size) - 1 of the row whose kept ones end first
-    rest = F.ceil(F.greatest("sa", "sb") * percent / 100) - 1
-    likely = product.filter((100 + percent) * (F.col("k") + rest) >= percent * (F.col("sa") + F.col("sb")))
-    second = staged(verified(likely, texts, n, percent), "product-links")
+    product = (x.join(y, (F.col("x.col") == F.col("y.col")) & apart & possible("x", "y"))
+               .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("k")))
+    second = staged(verified(product, texts, n, percent), "product-links")
     links = first.unionByName(second)
     members = sets.filter("size > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
     return sets.select("id", *key), members, links
