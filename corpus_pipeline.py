@@ -1,9 +1,74 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+1. ``language_id``: documents without a language (null text, no letter) go.
+2. ``exact_dedup``: of equal texts, the one with the largest id stays.
+3. ``ngram_jaccard``: of each group of near copies (4-word n-grams, Jaccard 0.85), the smallest id stays.
+4. ``decontamination``: documents contaminated by a benchmark item go (13-word windows, a twentieth of the words).
+5. ``sentencepiece``: the rest is encoded; ``doc_id``, ``lang``, ``source``, ``ids``, ``n_pieces``, ``lossless``.
+
+Each stage sees all that its predecessor kept; all but the last return the columns of ``documents``.
+Null columns, empty tables, repeated rows and further columns are handled as the operators state; rows that
+share an id share its decision.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm.common import staged, table
+from ledgerline.llm.decontaminate import contamination
+from ledgerline.llm.exact_dedup import drop_exact_duplicates
+from ledgerline.llm.language_id import UNDETERMINED, identify, learn
+from ledgerline.llm.lattice import decode, sample_encode
+from ledgerline.llm.ngram_join import jaccard_components
+from ledgerline.llm.queries import tokenizer_file
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``gone``; rows without an id stay."""
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = identify(docs, learn(docs))
+    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard_components(docs)
+    return _without(docs, found.filter(F.col("doc_id") != F.col("component_id")))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return decode(sample_encode(docs, model), model).select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_jaccard", near_stage),
+    ("decontamination", benchmark_stage),
+    ("sentencepiece", encode_stage),
+]
+
+#: The language model and the draws of the last stage can't be said in SQL; tests/llm checks them by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
