@@ -73,7 +73,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off.astype(np.int64) - int(off[0])
 
 
-def slices(offsets: np.ndarray, size: int = 4 * BLOCK):
+def slices(offsets: np.ndarray, size: int = BLOCK):
     """Ranges of rows with about ``size`` bytes together; a longer text is a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -26,6 +26,8 @@ from ledgerline.llm.common import arrow_batches
 MARK = "▁"
 #: Log weight of a byte piece.
 BYTE_WEIGHT = -30.0
+#: Bytes of text sampled at once; the tables of such a block stay in the processor's caches.
+SAMPLED = 1 << 19
 #: A run without a boundary is cut after so many bytes (no piece goes past the cut).
 LONGEST = 4096
 
@@ -198,11 +200,11 @@ class Lattice:
         return out, np.bincount(row, n, minlength=rows).astype(np.int64)
 
 
-def decode_ids(p: Pieces, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bytes per id)."""
+def decode_ids(p: Pieces, ids: np.ndarray) -> np.ndarray:
+    """The bytes that the ids stand for."""
     size = p.size[ids]
     at = np.cumsum(size) - size
-    return p.data[np.repeat(p.start[ids] - at, size) + np.arange(int(size.sum()))], size
+    return p.data[np.repeat(p.start[ids] - at, size) + np.arange(int(size.sum()))]
 
 
 def _load(docs: DataFrame, model_file: str, alpha: float):
@@ -229,7 +231,7 @@ def sample_encode(docs: DataFrame, model_file: str, seed: int = 1, alpha: float
             data, off = K.text_bytes(column)
             seeds = K.mix(batch.column("_seed").to_numpy().view(np.uint64))
             ids, sizes = [np.zeros(0, np.int32)], []
-            for lo, hi in K.slices(off, K.BLOCK):
+            for lo, hi in K.slices(off, SAMPLED):
                 i, s = lattice.sample(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], seeds[lo:hi])
                 ids.append(i)
                 sizes.append(s)
@@ -254,9 +256,9 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", out_col: s
             gone = lists.is_null().to_numpy(zero_copy_only=False)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             n = np.where(gone, 0, np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-            data, size = decode_ids(p, values)
-            off = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
-            text = pa.StringArray.from_buffers(len(batch), pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()),
+            off = np.concatenate([[0], np.cumsum(p.size[values])])[np.concatenate([[0], np.cumsum(n)])]
+            data = b"".join(decode_ids(p, values[i:i + SAMPLED]).tobytes() for i in range(0, len(values), SAMPLED))
+            text = pa.StringArray.from_buffers(len(batch), pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data),
                                                pa.array(~gone).buffers()[1] if gone.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [text], [*keep, out_col])
 

@@ -141,7 +141,7 @@ def _unpacked(column: pa.Array):
     for i, p in enumerate(column):
         rows.append(unpress(p.as_py()) if p.is_valid else b"")
         held += len(rows[-1])
-        if held > 4 * K.BLOCK or i == len(column) - 1:
+        if held > K.BLOCK or i == len(column) - 1:
             yield lo, np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             rows, held, lo = [], 0, i + 1
 
