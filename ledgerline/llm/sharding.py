@@ -40,7 +40,7 @@ def propagate(linked: DataFrame, shards: int, capacity: list[int], rounds: int)
         room = [max(0, c - n) for c, n in zip(capacity, loads)]
         cells = staged(linked.groupBy("gid", "shard").agg(F.count("*").alias("n")), "shard-cells")
         force = F.struct("n", F.xxhash64("gid", "shard").alias("tie"), "shard")
-        open_shards = [s for s in range(shards) if room[s] > 0]
+        open_shards = [s for s in range(shards) if room[s] > capacity[s] // 20]  # the last twentieth is filled afterwards
         targets = cells.filter(F.col("shard").isin(open_shards)).groupBy("gid").agg(F.max(force).alias("to"))
         moving = staged(cells.join(targets, "gid").filter(force < F.col("to"))
                         .select("gid", "shard", "n", F.col("to.shard").alias("to")), "shard-moves")
@@ -57,7 +57,7 @@ def propagate(linked: DataFrame, shards: int, capacity: list[int], rounds: int)
     return linked
 
 
-def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, id_col: str = "doc_id",
+def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` in one shard: id, ``size``, ``text_crc32``, ``shard``, ``slot``; rows per shard differ by one at most.
 
