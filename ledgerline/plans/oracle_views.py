@@ -49,5 +49,5 @@ def with_ledger(sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = dict(LEDGER_CTES)
     if extra:
         ctes.update(extra)
-    body = ",\n".join(f'"{name}" AS (\n{text}\n)' for name, text in ctes.items())
+    body = ",\n".join(f'"{name}" AS MATERIALIZED (\n{text}\n)' for name, text in ctes.items())
     return f"WITH {body}\n{sql}"

@@ -47,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()

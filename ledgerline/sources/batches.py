@@ -100,7 +100,7 @@ def group_batch(spark: SparkSession, sf_dir: str, full: Ledger | None = None) ->
     rows = rows.withColumn("nl", names_col)
     share = (F.col("o_totalprice") / F.greatest(F.size("nl"), F.lit(1))).cast("string")
     shares = F.transform("nl", lambda n: share)
-    amounts = (F.when(_k(11), F.slice(shares, 2, 1 << 20))
+    amounts = (F.when(_k(11), F.slice(shares, 2, F.size(shares)))
                .when(_k(13), F.transform(shares, lambda x, i: F.when(i == 0, F.lit("x")).otherwise(x)))
                .when(_k(7), F.transform(shares, lambda x, i: F.when(
                    i == 0, (x.cast("double") - 5).cast("string")).otherwise(x)))
