@@ -159,7 +159,9 @@ def _members_batch(spark, sf):
     c = read_table(spark, sf, "customer")
     n = read_table(spark, sf, "nation")
     k = F.col("o_orderkey")
-    return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    # odd orders ask for another group than the customer's own: new pairs, outsiders as actors, repeats
+    nation = F.when(k % 2 == 1, F.pmod(c.c_nationkey + k, F.lit(25))).otherwise(c.c_nationkey)
+    return (o.join(c, o.o_custkey == c.c_custkey).withColumn("_nation", nation).join(n, F.col("_nation") == n.n_nationkey)
             .select(k.cast("long").alias("seq"),
                     F.when(k % 3 == 0, F.lit(ADMIN)).otherwise(F.col("o_custkey")).cast("long").alias("actor_uid"),
                     F.col("c_name").alias("username"), F.col("n_name").alias("group_name")))
@@ -173,13 +175,15 @@ SELECT uid, gid FROM (""" + _dedup_sql("""(
       SELECT CAST(o.o_orderkey AS BIGINT) AS seq,
              CAST(CASE WHEN o.o_orderkey % 3 = 0 THEN 0 ELSE o.o_custkey END AS BIGINT) AS actor_uid,
              c.c_name AS username, n.n_name AS group_name
-      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey) b
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+      JOIN nation n ON n.n_nationkey = CASE WHEN o.o_orderkey % 2 = 1 THEN (c.c_nationkey + o.o_orderkey) % 25
+                                            ELSE c.c_nationkey END) b
     LEFT JOIN users u ON u.username = b.username
     LEFT JOIN groups g ON g.group_name = b.group_name)""",
     """CASE WHEN uid IS NULL THEN 'unknown user' WHEN gid IS NULL THEN 'unknown group'
             WHEN gid IN (SELECT gid FROM user_group)
-                 AND NOT EXISTS (SELECT 1 FROM user_group m WHERE m.uid = actor_uid AND m.gid = gid) THEN 'actor not a member'
-            WHEN EXISTS (SELECT 1 FROM user_group m WHERE m.uid = uid AND m.gid = gid) THEN 'already exists' END""",
+                 AND NOT EXISTS (SELECT 1 FROM user_group m(mu, mg) WHERE mu = actor_uid AND mg = gid) THEN 'actor not a member'
+            WHEN EXISTS (SELECT 1 FROM user_group m(mu, mg) WHERE mu = uid AND mg = gid) THEN 'already exists' END""",
     "uid, gid") + """) WHERE reason IS NULL
 """)
 def q_change_add_members(spark, sf):
