@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import strip
+from ledgerline.functions.text import WHITESPACE, strip
 
 # Fixed patterns. A finite number as Python's float() takes it (optional sign,
 # '_' between digits, fraction, exponent); a date as YYYY-M-D with a four digit year.
@@ -35,7 +35,7 @@ def parse_date(c) -> Column:
     return F.when(t.rlike(DATE_PATTERN), F.try_to_date(t, "yyyy-M-d"))
 
 
-_WS = r"[ \t\r\n]*"
+_WS = f"[{WHITESPACE}]*"
 _ITEM = NUMBER_PATTERN[1:-1]  # the number pattern without its anchors
 # a comma-separated list whose non-blank items are all numbers
 NUMBER_LIST_PATTERN = rf"^{_WS}(?:{_ITEM})?{_WS}(?:,{_WS}(?:{_ITEM})?{_WS})*$"

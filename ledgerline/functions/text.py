@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# characters removed by a plain strip() of the inputs we read (blank, tab, CR, LF)
-WHITESPACE = " \t\r\n"
+# The characters Unicode counts as white space for strip().
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
@@ -43,19 +44,25 @@ def has_duplicates(arr) -> Column:
 
 
 def float_text(c) -> Column:
-    """Double -> text as Python's str(float) prints it (plain notation below 1e16).
+    """Double -> text as Python's str(float) prints it: plain notation from 1e-4 up to below
+    1e16, else ``d.ddde-05`` with an exponent of two digits at least.
 
-    Spark prints 1e7 and above in scientific notation ('1.2345678E7'); this
-    rewrites that form by moving the decimal point, digit for digit.
+    Spark prints scientific notation ('1.2345678E7', '5.0E-4') from 1e7 up and
+    below 1e-3; this moves the decimal point of that form, digit for digit.
     """
     x = _c(c)
     s = x.cast("string")
-    # Spark switches to scientific notation from 1e7 up; only those values need the rewrite
-    sci = (F.abs(x) >= F.lit(1e7)) & (F.abs(x) != F.lit(float("inf")))
+    whole = F.regexp_extract(s, r"^-?(\d)\.", 1)
+    frac = F.regexp_replace(F.regexp_extract(s, r"\.(\d+)E", 1), "^0$", "")
+    digits = F.concat(whole, frac)
+    exp = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
     sign = F.regexp_extract(s, r"^(-?)", 1)
-    digits = F.concat(F.regexp_extract(s, r"(\d)\.", 1), F.regexp_extract(s, r"\.(\d+)E", 1))
-    exp = F.regexp_extract(s, r"E(\d+)$", 1).cast("int")
-    int_digits = F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, F.lit("0"))
-    frac = F.substring(digits, exp + 2, F.lit(64))
-    plain = F.concat(sign, int_digits, F.lit("."), F.when(frac == "", F.lit("0")).otherwise(frac))
-    return F.when(sci, plain).otherwise(s)
+    low = F.substring(digits, exp + 2, F.length(digits))
+    large = F.concat(sign, F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, F.lit("0")),
+                     F.lit("."), F.when(low == "", F.lit("0")).otherwise(low))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    power = F.concat(F.when(exp < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                     F.when(F.abs(exp) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exp).cast("string"))
+    sci = F.concat(sign, whole, F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), frac)), power)
+    return (F.when(exp.isNull(), s).when((exp >= 0) & (exp < 16), large)
+            .when((exp < 0) & (exp >= -4), small).otherwise(sci))

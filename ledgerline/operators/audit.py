@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MONEY_TYPE
+from ledgerline.functions.money import exact_sum
 from ledgerline.schema import (FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS, Ledger,
                                check_constraints)
 
@@ -93,7 +93,7 @@ def split_balance(ledger: Ledger) -> DataFrame:
     Expenses without any share count as unbalanced (their share sum is 0).
     """
     sums = (ledger.split_users.groupBy("geid")
-            .agg(F.sum(F.col("split_amount").cast(MONEY_TYPE)).cast("double").alias("shares")))
+            .agg(exact_sum("split_amount").alias("shares")))
     bad = (ledger.group_expenses.select("geid", "amount").join(sums, "geid", "left")
            .filter(F.abs(F.coalesce("shares", F.lit(0.0)) - F.col("amount")) > SPLIT_TOLERANCE))
     return _row("split_users", "balance:sum(split_amount)=amount", bad)

@@ -20,7 +20,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MAX_AMOUNT
 from ledgerline.functions.parse import parse_amount, parse_date
 from ledgerline.functions.text import norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, mark_deleted, next_id_base
@@ -183,8 +182,7 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
         (~F.coalesce(f.isin(*EXPENSE_FIELDS), F.lit(False)), R_BAD_FIELD),
         (F.col("_owner").isNull(), R_NOT_FOUND),
         (F.col("_owner") != F.col("actor_uid"), R_NOT_OWNER),
-        ((f == "amount") & (F.col("_amount").isNull() | (F.col("_amount") < 0)
-                            | (F.col("_amount") >= MAX_AMOUNT)), R_BAD_VALUE),
+        ((f == "amount") & (F.col("_amount").isNull() | (F.col("_amount") < 0)), R_BAD_VALUE),
         ((f == "date") & F.col("_date").isNull(), R_BAD_VALUE),
         ((f == "category") & F.col("_cid").isNull(), R_BAD_VALUE),
         ((f == "payment_method") & F.col("_pid").isNull(), R_BAD_VALUE))

@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MONEY_TYPE, exact_sum
+from ledgerline.functions.money import exact_sum
 from ledgerline.functions.text import month
 from ledgerline.operators import filters as P
 from ledgerline.operators.joins import with_dims
@@ -55,13 +55,13 @@ def month_totals(ledger: Ledger, as_of, uid: int | None = None) -> DataFrame:
     """This month's total (no upper bound), last month's, and the percent change."""
     this_start, last_start = _month_bounds(as_of)
     e = ledger.expenses.filter(P.user_scope(uid))
-    amt = F.col("amount").cast(MONEY_TYPE)
+    amt = F.col("amount")
     this_m = F.when(F.col("date") >= F.lit(this_start), amt)
     last_m = F.when((F.col("date") >= F.lit(last_start)) & (F.col("date") < F.lit(this_start)), amt)
     keys = [] if uid is not None else ["uid"]
     out = e.groupBy(*keys).agg(
-        F.coalesce(F.sum(this_m).cast("double"), F.lit(0.0)).alias("this_month"),
-        F.coalesce(F.sum(last_m).cast("double"), F.lit(0.0)).alias("last_month"))
+        F.coalesce(exact_sum(this_m), F.lit(0.0)).alias("this_month"),
+        F.coalesce(exact_sum(last_m), F.lit(0.0)).alias("last_month"))
     pct = F.when(F.col("last_month") > 0,
                  (F.col("this_month") - F.col("last_month")) / F.col("last_month") * 100)
     return out.withColumn("pct_change", pct)
@@ -96,8 +96,8 @@ def recent(ledger: Ledger, uid: int | None = None, k: int = 5) -> DataFrame:
 def monthly_category_pivot(ledger: Ledger, categories: list[str], uid: int | None = None) -> DataFrame:
     """Month x category totals; one column per given category name."""
     keys = ["month"] if uid is not None else ["uid", "month"]
-    amt = F.col("amount").cast(MONEY_TYPE)
+    amt = F.col("amount")
     return (ledger.expenses.filter(P.user_scope(uid)).join(ledger.categories, "cid")
             .withColumn("month", month("date"))
             .groupBy(*keys).pivot("category_name", categories)
-            .agg(F.sum(amt).cast("double")))
+            .agg(exact_sum(amt)))

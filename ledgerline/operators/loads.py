@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MAX_AMOUNT
 from ledgerline.functions.parse import parse_amount, parse_amount_list, parse_date
 from ledgerline.functions.text import has_duplicates, norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, next_id_base
@@ -34,7 +33,6 @@ R_MISSING_NAMES = "missing category or payment method"
 R_UNKNOWN_CATEGORY = "unknown category"
 R_UNKNOWN_METHOD = "unknown payment method"
 R_NOT_POSITIVE = "amount must be positive"
-R_TOO_LARGE = "amount too large"
 R_TAG_CASE = "tag not lower-case"
 R_REPEATED_TAG = "repeated tag"
 R_MISSING_FIELD = "missing required field"
@@ -124,7 +122,7 @@ def _tag_rules(tags: Column) -> list[tuple[Column, str]]:
 
 
 def _amount_rules(amount: Column) -> list[tuple[Column, str]]:
-    return [(amount <= 0, R_NOT_POSITIVE), (amount >= MAX_AMOUNT, R_TOO_LARGE)]
+    return [(amount <= 0, R_NOT_POSITIVE)]
 
 
 def _accept_expenses(ledger: Ledger, ok: DataFrame) -> LoadResult:

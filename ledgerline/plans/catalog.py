@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.money import money_sql as _money
+from ledgerline.functions.money import wide_money_sql
 from ledgerline.operators import audit as A
 from ledgerline.operators import dashboard as D
 from ledgerline.operators import groups as G
@@ -33,8 +35,6 @@ AMOUNT_RANGE = "100000-150000"
 COMBO = {"category": "1-urgent", "min-amount": "250000", "tag": "brand#7"}
 
 
-def _money(expr: str) -> str:
-    return f"CAST(SUM(CAST({expr} AS DECIMAL(18,6))) AS DOUBLE)"
 
 
 def ledger(spark: SparkSession, sf_dir: str):
@@ -178,6 +178,20 @@ def q_monthly_category_spending(spark, sf):
     return R.monthly_category_spending(ledger(spark, sf))
 
 
+# amounts from 1e13 up and shares below 1e-6: the first are summed in double beside the decimals
+@register("monthly_category_spending_wide", f"""
+SELECT e.uid, strftime(e.date, '%Y-%m') AS month, c.category_name,
+       {wide_money_sql('e.amount')} AS total, COUNT(e.eid) AS "count"
+FROM (SELECT * REPLACE (amount * CASE WHEN eid % 2 = 0 THEN 1e9 ELSE 1e-12 END AS amount) FROM expenses) e
+JOIN categories c ON e.cid = c.cid
+GROUP BY e.uid, strftime(e.date, '%Y-%m'), c.category_name
+""")
+def q_monthly_category_spending_wide(spark, sf):
+    L = ledger(spark, sf)
+    scaled = F.col("amount") * F.when(F.col("eid") % 2 == 0, F.lit(1e9)).otherwise(F.lit(1e-12))
+    return R.monthly_category_spending(L.with_tables(expenses=L.expenses.withColumn("amount", scaled)))
+
+
 @register("highest_spender_per_month", f"""
 SELECT month, username, total FROM (
   SELECT strftime(e.date, '%Y-%m') AS month, u.username, {_money('e.amount')} AS total,
@@ -474,9 +488,8 @@ SELECT uid, this_month, last_month,
        CASE WHEN last_month > 0 THEN (this_month - last_month) / last_month * 100 END AS pct_change
 FROM (
   SELECT uid,
-    COALESCE(CAST(SUM(CASE WHEN date >= DATE '2001-07-01' THEN CAST(amount AS DECIMAL(18,6)) END) AS DOUBLE), 0.0) AS this_month,
-    COALESCE(CAST(SUM(CASE WHEN date >= DATE '2001-06-01' AND date < DATE '2001-07-01'
-                           THEN CAST(amount AS DECIMAL(18,6)) END) AS DOUBLE), 0.0) AS last_month
+    COALESCE({_money("CASE WHEN date >= DATE '2001-07-01' THEN amount END")}, 0.0) AS this_month,
+    COALESCE({_money("CASE WHEN date >= DATE '2001-06-01' AND date < DATE '2001-07-01' THEN amount END")}, 0.0) AS last_month
   FROM expenses GROUP BY uid
 )
 """)
@@ -510,8 +523,7 @@ def q_dash_recent(spark, sf):
 
 
 _PIVOT_COLS = ",\n".join(
-    f"""  CAST(SUM(CASE WHEN c.category_name = '{n}' THEN CAST(e.amount AS DECIMAL(18,6)) END) AS DOUBLE) AS "{n}" """
-    for n in PIVOT_CATEGORIES)
+    f"""  {_money(f"CASE WHEN c.category_name = '{n}' THEN e.amount END")} AS "{n}" """ for n in PIVOT_CATEGORIES)
 
 
 @register("monthly_category_pivot", f"""
@@ -573,11 +585,11 @@ def _audit_fk_sql() -> str:
         for t, c, p, pc in FOREIGN_KEYS)
 
 
-_SPLIT_BALANCE_SQL = """
+_SPLIT_BALANCE_SQL = f"""
 SELECT 'split_users' AS table_name, 'balance:sum(split_amount)=amount' AS constraint_name,
        COUNT(*) AS violations
 FROM group_expenses ge
-LEFT JOIN (SELECT geid, CAST(SUM(CAST(split_amount AS DECIMAL(18,6))) AS DOUBLE) AS shares
+LEFT JOIN (SELECT geid, {_money('split_amount')} AS shares
            FROM split_users GROUP BY geid) s ON s.geid = ge.geid
 WHERE abs(COALESCE(s.shares, 0.0) - ge.amount) > 0.01
 """

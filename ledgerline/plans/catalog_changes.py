@@ -218,7 +218,7 @@ SELECT (SELECT max(eid) FROM expenses WHERE eid % 2 = 0) + row_number() OVER (OR
 FROM (
   SELECT b.*, c.cid, p.pid,
     CASE WHEN amount IS NULL OR isnan(amount) THEN 'invalid amount'
-         WHEN amount <= 0 THEN 'amount must be positive' WHEN amount >= 1e12 THEN 'amount too large'
+         WHEN amount <= 0 THEN 'amount must be positive'
          WHEN c.cid IS NULL THEN 'unknown category' WHEN p.pid IS NULL THEN 'unknown payment method'
          WHEN date IS NULL THEN 'invalid date'
          WHEN len(list_filter(tags, lambda t: t <> lower(t))) > 0 THEN 'tag not lower-case'
@@ -462,7 +462,7 @@ _M13_CTES = {
              WHEN COALESCE(pc.outsiders, 0) > 0 THEN 'participant not a member'
              WHEN COALESCE(pc.kept, 0) < 2 THEN 'fewer than two participants'
              WHEN b.amount IS NULL OR isnan(b.amount) THEN 'invalid amount'
-             WHEN b.amount <= 0 THEN 'amount must be positive' WHEN b.amount >= 1e12 THEN 'amount too large'
+             WHEN b.amount <= 0 THEN 'amount must be positive'
              WHEN b.date IS NULL THEN 'invalid date'
              WHEN len(list_distinct(b.tag_list)) <> len(b.tag_list) THEN 'repeated tag' END AS reason
         FROM m13_b b LEFT JOIN m13_pc pc ON pc.seq = b.seq

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions.parse import DATE_PATTERN, NUMBER_PATTERN, parse_amount, parse_date
-from ledgerline.functions.text import month, norm_name, split_list
+from ledgerline.functions.text import WHITESPACE, month, norm_name, split_list
 from ledgerline.operators import exports as X
 from ledgerline.operators import loads as M
 from ledgerline.plans.registry import register
@@ -23,7 +23,7 @@ SAMPLE_UID = 5
 
 
 def _strip_sql(x: str) -> str:
-    return f"trim({x}, ' ' || chr(9) || chr(13) || chr(10))"
+    return f"trim({x}, '{WHITESPACE}')"
 
 
 def _amount_sql(x: str) -> str:
@@ -77,7 +77,6 @@ PERSONAL_CTES = {
              WHEN c.cid IS NULL THEN 'unknown category'
              WHEN p.pid IS NULL THEN 'unknown payment method'
              WHEN amount_v <= 0 THEN 'amount must be positive'
-             WHEN amount_v >= 1e12 THEN 'amount too large'
              WHEN len(list_filter(tags, lambda t: t <> lower(t))) > 0 THEN 'tag not lower-case'
              WHEN len(list_distinct(tags)) <> len(tags) THEN 'repeated tag'
         END AS reason
@@ -232,7 +231,6 @@ GROUP_CTES = {
                THEN 'unknown payment method'
              WHEN amount_v IS NULL THEN 'invalid amount'
              WHEN amount_v <= 0 THEN 'amount must be positive'
-             WHEN amount_v >= 1e12 THEN 'amount too large'
              WHEN date_v IS NULL THEN 'invalid date'
              WHEN len(list_distinct(tag_list)) <> len(tag_list) THEN 'repeated tag'
              WHEN len(list_distinct(names)) <> len(names) THEN 'repeated participant'
