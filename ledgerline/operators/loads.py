@@ -42,6 +42,8 @@ R_ACTOR_NOT_MEMBER = "actor not a member"
 R_NON_MEMBER = "participant not a member"
 R_TOO_FEW = "fewer than two participants"
 R_UNKNOWN_GROUP = "unknown group"
+R_NO_ACCESS = "no access to group"
+R_UNKNOWN_IMPORTER = "unknown importer"
 
 SPLIT_TOLERANCE = 0.01
 
@@ -86,11 +88,18 @@ def _new_names(ledger: Ledger, names: DataFrame, table: str, name_col: str, id_c
     missing = (names.groupBy(F.col("_name").alias(name_col)).agg(F.min("seq").alias("_first"))
                .join(dim.select(name_col), name_col, "left_anti"))
     if missing.isEmpty():  # the usual case: one short job instead of an allocation
-        return dim.select(id_col, name_col).limit(0)
+        return dim.sparkSession.createDataFrame([], dim.select(id_col, name_col).schema)
     return allocate_ids(missing, ["_first", name_col], id_col, next_id_base(ledger, table)).select(
         id_col, name_col)
 
 
+def _fill(rows: DataFrame, new: DataFrame, name: str, dim_name: str, id_col: str) -> DataFrame:
+    """``rows`` with the id of a newly created dimension row where none was known before."""
+    found = new.select(F.col(dim_name).alias("_new_name"), F.col(id_col).alias("_new_id"))
+    return (rows.join(found, rows[name] == F.col("_new_name"), "left")
+            .withColumn(id_col, F.coalesce(id_col, "_new_id")).drop("_new_name", "_new_id"))
+
+
 def _link_tags(ledger: Ledger, links: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(key, seq, _name) tag uses -> (new tags rows, (key, tid) links)."""
     new_tags = _new_names(ledger, links.select("seq", "_name"), "tags", "tag_name", "tid")
@@ -199,6 +208,8 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
                  source: str | None = None) -> LoadResult:
     """Rows of group import files; ``group_name`` of each row names its group.
 
+    An existing group takes rows only from its members and Admins; an unknown
+    importer has every row rejected.
     Missing groups are created with the importer as member. Categories are
     created when missing; payment methods only when the importer is an Admin.
     Shares: given amounts when they match the names (first one adjusted when off
@@ -230,6 +241,10 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
                      .otherwise(F.concat("names", F.array("_importer")))))
     b = _lookup(b, cat_lookup, "cat_name", "cid")
     b = _lookup(b, pm_lookup, "pm_name", "pid")
+    # the stored group of each row, and whether the importer may write to it
+    mine = ledger.user_group.filter(F.col("uid") == F.lit(importer_uid)).select("gid", F.lit(True).alias("_member"))
+    known = ledger.groups.select("gid", F.col("group_name").alias("_group")).join(mine, "gid", "left")
+    b = b.join(known, F.col("group_name") == F.col("_group"), "left").drop("_group")
 
     # parsed amounts and their total are columns of their own, so each is computed once per row
     n = F.size("names")
@@ -243,10 +258,13 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     even = F.transform("names", lambda _: F.col("amount_v") / n)
     b = b.withColumn("shares", F.when(use_given, adjusted).otherwise(even))
 
+    is_admin = F.coalesce(F.col("_is_admin"), F.lit(False))
     reason = _first_failing(
+        (F.col("_importer").isNull(), R_UNKNOWN_IMPORTER),
         (F.col("group_name").isNull() | (strip("group_name") == ""), R_UNKNOWN_GROUP),
+        (F.col("gid").isNotNull() & F.col("_member").isNull() & ~is_admin, R_NO_ACCESS),
         (~required, R_MISSING_FIELD),
-        (F.col("pid").isNull() & ~F.coalesce(F.col("_is_admin"), F.lit(False)), R_UNKNOWN_METHOD),
+        (F.col("pid").isNull() & ~is_admin, R_UNKNOWN_METHOD),
         (F.col("amount_v").isNull(), R_INVALID_AMOUNT),
         *_amount_rules(F.col("amount_v")),
         (F.col("date_v").isNull(), R_INVALID_DATE),
@@ -258,8 +276,7 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     ok = judged.filter(F.col("reason").isNull())
 
     # groups: missing ones are created (importer becomes a member)
-    new_groups = (ok.groupBy(F.col("group_name")).agg(F.min("seq").alias("_first"))
-                  .join(ledger.groups.select("group_name"), "group_name", "left_anti"))
+    new_groups = ok.filter(F.col("gid").isNull()).groupBy("group_name").agg(F.min("seq").alias("_first"))
     new_groups = (new_groups.withColumn("gid", F.lit(None).cast("long")) if new_groups.isEmpty() else
                   allocate_ids(new_groups, ["_first", "group_name"], "gid", next_id_base(ledger, "groups")))
     new_groups = new_groups.select(
@@ -276,34 +293,35 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
                          "payment_methods", "method", "pid")
     cats = ledger.categories.unionByName(new_cats)
     pms = ledger.payment_methods.unionByName(new_pms)
-    ok = (ok.drop("cid", "pid")
-          .join(name_lookup(cats, "category_name", "cid", True).withColumnRenamed("_name", "cat_name"),
-                "cat_name")
-          .join(name_lookup(pms, "method", "pid", True).withColumnRenamed("_name", "pm_name"), "pm_name")
-          .join(all_groups.select("gid", "group_name"), "group_name")
-          .join(users.select(F.col("uid").alias("_cuid"), F.col("username").alias("creator_username")),
+    # ids found before the checkpoint stay; only the new rows' ids are filled in
+    ok = _fill(ok, new_cats, "cat_name", "category_name", "cid")
+    ok = _fill(ok, new_pms, "pm_name", "method", "pid")
+    ok = _fill(ok, new_groups, "group_name", "group_name", "gid")
+    ok = (ok.join(users.select(F.col("uid").alias("_cuid"), F.col("username").alias("creator_username")),
                 "creator_username", "left")
           .withColumn("uid", F.coalesce("_cuid", F.lit(importer_uid).cast("long"))))
 
     ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger, "group_expenses"))
-    new_ge = ok.select("geid", "uid", "gid", F.col("amount_v").alias("amount"), "cid", "pid",
-                       F.col("date_v").alias("date"), F.col("expense_description").alias("description"))
+    added = ok.select("geid", "uid", "gid", F.col("amount_v").alias("amount"), "cid", "pid",
+                      F.col("date_v").alias("date"), F.col("expense_description").alias("description"), "seq")
+    new_ge = added.drop("seq")
     links = ok.select("geid", "seq", F.explode("tag_list").alias("_name"))
     new_tags, bridge = _link_tags(ledger, links, "geid")
-    splits = (ok.select("geid", F.posexplode(F.arrays_zip("names", "shares")).alias("pos", "z"))
-              .select("geid", F.col("z.names").alias("username"), F.col("z.shares").alias("split_amount"))
-              .join(users, "username")
-              .select("geid", "uid", "split_amount"))
+    # the importer is in every row: that share needs no join, so one hot name never meets the users table
+    shares = (ok.select("geid", "_importer", F.explode(F.arrays_zip("names", "shares")).alias("z"))
+              .select("geid", "_importer", F.col("z.names").alias("username"), F.col("z.shares").alias("split_amount")))
+    own = F.col("username") == F.col("_importer")
+    splits = (shares.filter(~own).join(users, "username").select("geid", "uid", "split_amount")
+              .unionByName(shares.filter(own).select("geid", F.lit(importer_uid).cast("long").alias("uid"),
+                                                     "split_amount")))
     out = ledger.with_tables(
         groups=all_groups, user_group=ledger.user_group.unionByName(new_members),
         categories=cats, payment_methods=pms, tags=ledger.tags.unionByName(new_tags),
         group_expenses=ledger.group_expenses.unionByName(new_ge),
         group_expense_tags=ledger.group_expense_tags.unionByName(conform(bridge, "group_expense_tags")),
         split_users=ledger.split_users.unionByName(conform(splits, "split_users")))
-    accepted = new_ge.join(ok.select("geid", "seq"), "geid")
-    return LoadResult(out, accepted, rejects, {"splits": splits, "new_categories": new_cats,
-                                               "new_methods": new_pms, "new_groups": new_groups,
-                                               "new_tags": new_tags})
+    return LoadResult(out, added, rejects, {"splits": splits, "new_categories": new_cats, "new_methods": new_pms,
+                                            "new_groups": new_groups, "new_tags": new_tags})
 
 
 # ---------------------------------------------------------------- M13

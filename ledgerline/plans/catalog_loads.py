@@ -20,6 +20,7 @@ from ledgerline.sources import csv_io
 from ledgerline.sources.testdata import ledger_from_testdata
 
 SAMPLE_UID = 5
+MEMBER_UID = 120  # an ordinary user in one group only
 
 
 def _strip_sql(x: str) -> str:
@@ -280,6 +281,26 @@ def q_import_group_rejects(spark, sf):
     return M.import_group(B.base_ledger(spark, sf), B.group_batch(spark, sf), B.IMPORTER_UID).rejects
 
 
+# an ordinary user who is a member of one group only: rows of all other groups are refused
+_MEMBER_CTES = dict(GROUP_CTES)
+_MEMBER_CTES["gb_parsed"] = GROUP_CTES["gb_parsed"].replace(_IMP, _IMP.replace("uid = 0", f"uid = {MEMBER_UID}"))
+_MEMBER_CTES["gb_judged"] = (
+    GROUP_CTES["gb_judged"].replace("uid = 0", f"uid = {MEMBER_UID}")
+    .replace("SELECT s.*, c.cid, p.pid,\n        CASE", f"""SELECT s.*, c.cid, p.pid,
+        CASE WHEN s.group_name NOT IN (SELECT g.group_name FROM groups g JOIN user_group m ON m.gid = g.gid
+                                       WHERE m.uid = {MEMBER_UID}) THEN 'no access to group'"""))
+
+
+@register("import_group_member", """
+SELECT seq, COALESCE(reason, 'accepted') AS outcome FROM gb_judged
+""", _MEMBER_CTES)
+def q_import_group_member(spark, sf):
+    """M15's scope rule: every row of the batch with its outcome, accepted ones included."""
+    res = M.import_group(B.base_ledger(spark, sf), B.group_batch(spark, sf), MEMBER_UID)
+    return (res.accepted.select("seq", F.lit("accepted").alias("outcome"))
+            .unionByName(res.rejects.withColumnRenamed("reason", "outcome")))
+
+
 @register("import_group_splits", """
 SELECT a.geid, u.uid, s.split_amount FROM (
   SELECT geid, unnest(names) AS username, unnest(split_shares) AS split_amount FROM gb_accepted) s
