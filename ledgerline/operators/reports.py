@@ -23,6 +23,8 @@ from ledgerline.operators.joins import with_dims, with_tags
 from ledgerline.schema import Ledger
 
 EXPENSE_COLUMNS = ["eid", "amount", "category_name", "method", "date", "description", "tags"]
+#: A frame of one row per category is broadcast when a count shows at most this many (some 50 bytes each).
+BROADCAST_ROWS = 100_000
 
 
 def _scoped(ledger: Ledger, uid: int | None) -> DataFrame:
@@ -77,10 +79,18 @@ def category_averages(ledger: Ledger) -> DataFrame:
 
 
 def above_average_expenses(ledger: Ledger, uid: int | None = None) -> DataFrame:
-    """Expenses strictly above their category's all-user average."""
-    facts = (with_dims(_scoped(ledger, uid), ledger)
-             .join(category_averages(ledger), "cid")
-             .filter(F.col("amount") > F.col("category_avg")))
+    """Expenses strictly above their category's all-user average.
+
+    The averages hold one row per category: they are put on the categories
+    first, and a count of that table decides whether the facts meet it by
+    broadcast (no shuffle of the expenses on a handful of hot keys). Beyond
+    ``BROADCAST_ROWS`` categories Spark plans the join.
+    """
+    usual = ledger.categories.join(category_averages(ledger), "cid")
+    if ledger.categories.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        usual = F.broadcast(usual)
+    facts = (_scoped(ledger, uid).join(usual, "cid").filter(F.col("amount") > F.col("category_avg"))
+             .join(ledger.payment_methods, "pid"))
     cols = ["eid", "uid", "amount", "cid", "pid", "date", "description", "category_name",
             "method", "category_avg"]
     return facts.select(*cols).orderBy(

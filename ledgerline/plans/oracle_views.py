@@ -49,5 +49,7 @@ def with_ledger(sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = dict(LEDGER_CTES)
     if extra:
         ctes.update(extra)
+    if sql.lstrip().startswith("WITH"):  # a query with views of its own
+        sql = f"SELECT * FROM ({sql})"
     body = ",\n".join(f'"{name}" AS MATERIALIZED (\n{text}\n)' for name, text in ctes.items())
     return f"WITH {body}\n{sql}"
