@@ -408,17 +408,19 @@ def q_split_participants(spark, sf):
             .unionByName(L.group_expenses.select("geid", "uid")).distinct())
 
 
+# the mapping makes every participant a member, so every third user has left all groups here
 @register("split_non_members", """
-SELECT p.geid, p.uid FROM (SELECT geid, uid FROM split_users UNION SELECT geid, uid FROM group_expenses) p
-JOIN group_expenses ge ON ge.geid = p.geid
-WHERE NOT EXISTS (SELECT 1 FROM user_group ug WHERE ug.uid = p.uid AND ug.gid = ge.gid)
+WITH people AS (SELECT geid, uid FROM split_users UNION SELECT geid, uid FROM group_expenses)
+SELECT geid, people.uid FROM people JOIN (SELECT geid, gid FROM group_expenses) USING (geid)
+ANTI JOIN (SELECT uid, gid FROM user_group WHERE uid % 3 <> 0) AS still USING (uid, gid)
 """)
 def q_split_non_members(spark, sf):
     L = ledger(spark, sf)
+    members = L.user_group.filter(F.col("uid") % 3 != 0)
     parts = (L.split_users.select("geid", "uid")
              .unionByName(L.group_expenses.select("geid", "uid")).distinct())
     return (parts.join(L.group_expenses.select("geid", "gid"), "geid")
-            .join(L.user_group, ["uid", "gid"], "left_anti").select("geid", "uid"))
+            .join(members, ["uid", "gid"], "left_anti").select("geid", "uid"))
 
 
 # ---------------------------------------------------------------- D1-D9
@@ -583,3 +585,47 @@ def q_audit_foreign_keys(spark, sf):
 @register("audit_split_balance", _SPLIT_BALANCE_SQL)
 def q_audit_split_balance(spark, sf):
     return A.split_balance(ledger(spark, sf))
+
+
+# The same audits over a ledger with violations of every kind, planted at key residues.
+_DAMAGE = {
+    "d_users": "SELECT uid, CASE WHEN uid % 7 = 0 THEN NULL ELSE username END AS username, "
+               "CASE WHEN uid % 5 = 0 THEN 'Guest' ELSE role END AS role FROM u0",
+    "d_expenses": "SELECT eid - CASE WHEN eid % 13 = 0 THEN 1 ELSE 0 END AS eid, "
+                  "CASE WHEN eid % 11 = 0 THEN -uid - 1 ELSE uid END AS uid, "
+                  "CASE WHEN eid % 3 = 0 THEN -amount ELSE amount END AS amount, cid, pid, date, description FROM e0",
+    "d_split_users": "SELECT geid, uid, CASE WHEN geid % 17 = 0 THEN split_amount + 1 ELSE split_amount END "
+                     "AS split_amount FROM s0",
+}
+
+
+def _damaged(spark, sf):
+    L = ledger(spark, sf)
+    uid, eid, geid = F.col("uid"), F.col("eid"), F.col("geid")
+    return L.with_tables(
+        users=L.users.select("uid", F.when(uid % 7 != 0, F.col("username")).alias("username"),
+                             F.when(uid % 5 == 0, F.lit("Guest")).otherwise(F.col("role")).alias("role")),
+        expenses=L.expenses.select(
+            (eid - F.when(eid % 13 == 0, 1).otherwise(0)).alias("eid"),
+            F.when(eid % 11 == 0, -uid - 1).otherwise(uid).alias("uid"),
+            F.when(eid % 3 == 0, -F.col("amount")).otherwise(F.col("amount")).alias("amount"),
+            "cid", "pid", "date", "description"),
+        split_users=L.split_users.select(
+            "geid", "uid", F.when(geid % 17 == 0, F.col("split_amount") + 1)
+            .otherwise(F.col("split_amount")).alias("split_amount")))
+
+
+def _damaged_sql(sql: str) -> str:
+    """``sql`` over the damaged tables: they take the names of the good ones inside the query."""
+    views = {"users": ("u0", _DAMAGE["d_users"]), "expenses": ("e0", _DAMAGE["d_expenses"]),
+             "split_users": ("s0", _DAMAGE["d_split_users"])}
+    old = ", ".join(f"{alias} AS (SELECT * FROM {t})" for t, (alias, _) in views.items())
+    new = ", ".join(f"{t} AS ({text})" for t, (_, text) in views.items())
+    return f"WITH {old} SELECT * FROM (WITH {new} {sql})"
+
+
+@register("audit_planted", _damaged_sql("\nUNION ALL\n".join(
+    f"SELECT * FROM ({part})" for part in (_audit_not_null_sql(), _audit_unique_sql(), _audit_check_sql(),
+                                           _audit_fk_sql(), _SPLIT_BALANCE_SQL))))
+def q_audit_planted(spark, sf):
+    return A.audit(_damaged(spark, sf))

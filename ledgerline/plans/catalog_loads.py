@@ -109,6 +109,18 @@ def q_src_expense_csv(spark, sf):
     return csv_io.read_expense_csv(spark, path).drop("seq")
 
 
+@register("src_expense_csv_mixed", f"SELECT {_nullif_all(csv_io.EXPENSE_CSV_COLUMNS)} FROM personal_batch",
+          PERSONAL_CTES)
+def q_src_expense_csv_mixed(spark, sf):
+    """Files of one set with different column orders, read back by each file's own header."""
+    path = scratch_path(spark, "expense-csv-mixed")
+    b = B.personal_batch(spark, sf)
+    turned = ["tag", "category", "amount", "date", "description", "payment_method"]
+    csv_io.write_csv(b.filter(F.col("seq") % 3 == 0).select(*csv_io.EXPENSE_CSV_COLUMNS), f"{path}/first files")
+    csv_io.write_csv(b.filter(F.col("seq") % 3 != 0).select(*turned), f"{path}/second+files")
+    return csv_io.read_expense_csv(spark, f"{path}/*").drop("seq")
+
+
 # ---------------------------------------------------------------- F parsing / normalising
 
 @register("scalar_parse", f"SELECT seq, amount_v, date_v FROM pb_parsed", PERSONAL_CTES)

@@ -41,7 +41,8 @@ DEFAULT_KEYS = [
     "group_tag_usage", "group_user_expenses", "group_scope", "dash_top_category", "dash_month_totals",
     "monthly_category_pivot", "audit_foreign_keys", "audit_split_balance", "export_group", "src_expense_csv",
     "scalar_parse", "import_expense_rejects", "import_group_splits", "change_add_users",
-    "change_update_expenses", "change_delete_groups", "change_add_group_expenses", "split_non_members",
+    "change_update_expenses", "change_delete_groups", "change_add_group_expenses", "split_non_members", "monthly_category_spending_wide",
+    "src_expense_csv_mixed", "audit_planted", "import_group_member",
 ]
 KEYS = sorted(builders()) if os.environ.get("LEDGER_FULL_SWEEP") else DEFAULT_KEYS
 
@@ -54,6 +55,7 @@ def test_query_matches_oracle_and_plan_is_clean(spark, con, key):
     assert not bad, f"{key}: {bad}"
     _, status, n_spark, n_duck, _ = compare(spark, con, key, SF, df)
     assert status == "ok", f"{key}: {status}"
+    assert n_spark > 0, f"{key}: no rows"
 
 
 def test_entry_smoke(spark):
@@ -76,3 +78,21 @@ def test_stored_ledger_plan_broadcasts_dims_and_pushes_filters(spark, tmp_path):
     pushed = pushed_filters(df)
     assert any("EqualTo(uid,5)" in p and "GreaterThanOrEqual(amount,1000.0)" in p for p in pushed), pushed
     assert not [op for op in FORBIDDEN if op in _plan(df)]
+
+
+def test_above_average_does_not_shuffle_expenses_by_category(spark, tmp_path):
+    from ledgerline.operators import reports as R
+    from ledgerline.schema import Ledger
+    from ledgerline.sources.testdata import ledger_from_testdata
+
+    path = str(tmp_path / "ledger")
+    ledger_from_testdata(spark, SF).write(path)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(R.above_average_expenses(Ledger.read(spark, path)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) <= 4, joins  # categories with averages, and payment methods

@@ -266,3 +266,37 @@ def test_add_groups_and_update_users(spark):
          (5, 2, "password", "x")], "seq long, uid long, field string, value string"))
     assert reasons(up) == {3: "invalid value", 4: "not found", 5: "invalid field"}
     assert {r.uid: r.role for r in up.ledger.users.collect()}[1] == "User"  # last change wins
+
+
+def test_group_import_scope_rule(spark):
+    """Members and Admins write to an existing group, others do not; new groups are open; importers must exist."""
+    cols = ("seq long, group_name string, creator_username string, amount string, category_name string, "
+            "payment_method string, expense_date string, expense_description string, tags string, "
+            "split_usernames string, split_amounts string")
+    rows = [(i, g, "ann", "30", "food", "cash", "2024-05-01", "x", "", "ann, bob", "15, 15")
+            for i, g in enumerate(["trip", "home", "brand new"], 1)]
+    batch = spark.createDataFrame(rows, cols)
+    led = small_ledger(spark)
+
+    def refused(uid):
+        return sorted((r.seq, r.reason) for r in M.import_group(led, batch, uid).rejects.collect())
+
+    assert refused(0) == []
+    assert refused(1) == [(2, M.R_NO_ACCESS)]
+    assert refused(4) == [(1, M.R_NO_ACCESS)]
+    assert refused(99) == [(i, M.R_UNKNOWN_IMPORTER) for i in (1, 2, 3)]
+
+
+def test_no_amount_is_too_large(spark):
+    from ledgerline.operators import reports as R
+
+    led = small_ledger(spark)
+    batch = spark.createDataFrame(
+        [(1, 1, "1e12", "2024-05-01", "food", "cash", "", ""), (2, 1, "3e300", "2024-05-01", "food", "cash", "", ""),
+         (3, 1, "2e-7", "2024-05-01", "travel", "cash", "", "")],
+        "seq long, uid long, amount string, date string, category string, payment_method string, "
+        "description string, tag string")
+    res = M.import_expenses(led, batch)
+    assert res.rejects.count() == 0
+    got = {(r.month, r.category_name): r.total for r in R.monthly_category_spending(res.ledger, 1).collect()}
+    assert got["2024-05", "food"] == 3e300 and got["2024-05", "travel"] == 2e-7

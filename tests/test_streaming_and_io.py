@@ -1,36 +1,15 @@
-"""Streaming ingest of CSV drops, CSV round trip (group export -> group import), version writes."""
+"""CSV readers, CSV round trip (group export -> group import), version writes."""
 
-import os
 import tempfile
 
 from fixtures import small_ledger
 
+from ledgerline.functions.text import float_text
 from ledgerline.operators import exports as X
 from ledgerline.operators import loads as M
 from ledgerline.session import scratch_path
 from ledgerline.sources import csv_io
 from ledgerline.sources.versions import is_complete, read_version, write_version
-from ledgerline.streaming.ingest import start_expense_ingest
-
-
-def test_streaming_ingest_writes_next_version(spark):
-    root = scratch_path(spark, "stream-ledger")
-    write_version(small_ledger(spark), root, 0)
-    drops = tempfile.mkdtemp(prefix="drops-")
-    os.makedirs(f"{drops}/uid=1")
-    with open(f"{drops}/uid=1/a.csv", "w") as f:
-        f.write("tag,amount,category,payment_method,date,description\n")  # any column order
-        f.write('groceries,150.00,travel,cash,2024-03-25,"Weekly groceries",household\n')
-        f.write(",abc,travel,cash,2024-03-25,bad\n")
-    q = start_expense_ingest(spark, drops, root, 0, scratch_path(spark, "stream-ckpt"), available_now=True)
-    q.awaitTermination(120)
-    assert is_complete(spark, root, 1) and not is_complete(spark, root, 2)
-    v1 = read_version(spark, root, 1)
-    new = v1.expenses.filter("eid = 7").collect()
-    assert len(new) == 1 and new[0].uid == 1 and new[0].amount == 150.0
-    assert "groceries" in {r.tag_name for r in v1.tags.collect()}
-    rejects = spark.read.parquet(f"{root}/rejects/epoch=0").collect()
-    assert [r.reason for r in rejects] == ["invalid amount"]
 
 
 def test_csv_reader_maps_by_header_and_drops_extra_fields(spark):
@@ -64,19 +43,36 @@ def test_personal_export_text(spark):
     assert row["Amount"] == "12345678.0" and row["Tags"] == "a, b" and row["Description"] == ""
 
 
-def test_import_expense_file_sample_row(spark):
-    """The sample import row has a surplus seventh field: it is dropped, the row is accepted."""
+def test_files_with_different_headers_are_mapped_each_by_its_own(spark):
+    path = tempfile.mkdtemp(prefix="mixed drops+")
+    with open(f"{path}/one.csv", "w") as f:
+        f.write("amount,category,payment_method,date\n10,food,cash,2024-05-01\n")
+    with open(f"{path}/two 2.csv", "w") as f:
+        f.write("category,amount,date,payment_method,tag\nfood,20,2024-05-02,cash,a\n")
+    rows = csv_io.read_expense_csv(spark, path).collect()
+    assert sorted((r.amount, r.category, r.date, r.tag) for r in rows) == [
+        ("10", "food", "2024-05-01", None), ("20", "food", "2024-05-02", "a")]
+    assert len({r.seq for r in rows}) == 2
+
+
+def test_import_file_drops_a_surplus_field(spark):
     path = tempfile.mkdtemp(prefix="imp-")
-    with open(f"{path}/expenses.csv", "w") as f:
-        f.write("amount,category,payment_method,date,description,tag\n")
-        f.write('150.00,travel,cash,2024-03-25,"Weekly groceries",groceries,household\n')
-    res = M.import_expense_file(small_ledger(spark), path, uid=1)
+    with open(f"{path}/may.csv", "w") as f:
+        f.write("date,amount,tag,category,description,payment_method\n")
+        f.write('2024-05-17,8.25,"b",food,"Soup, bread",cash,left over,more\n')
+    res = M.import_expense_file(small_ledger(spark), path, uid=2)
     row = res.accepted.collect()[0]
-    assert (row.eid, row.amount, row.cid, row.pid, row.description, row.tags) == \
-        (7, 150.0, 2, 1, "Weekly groceries", "groceries")
+    assert (row.eid, row.uid, row.amount, row.cid, row.pid, row.description, row.tags) == \
+        (7, 2, 8.25, 1, 1, "Soup, bread", "b")
     assert res.rejects.count() == 0
 
 
+def test_float_text_is_pythons(spark):
+    xs = [0.0005, 1e-9, 1.25e-5, 0.001, -0.00012345, 1e7, 12345678.9, 9.5e14, 1e15, 1e16, 0.0, 42.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", float_text("x").alias("t")).collect()
+    assert [r.t for r in rows] == [str(x) for x in xs]
+
+
 def test_version_reuses_untouched_tables(spark):
     from ledgerline.operators import changes as C
     from ledgerline.sources.versions import _manifest
@@ -97,21 +93,3 @@ def test_version_reuses_untouched_tables(spark):
     except FileExistsError:
         pass
 
-
-def test_streaming_group_ingest(spark):
-    from ledgerline.streaming.ingest import start_group_ingest
-
-    root = scratch_path(spark, "stream-groups")
-    write_version(small_ledger(spark), root, 0)
-    drops = tempfile.mkdtemp(prefix="gdrops-")
-    os.makedirs(f"{drops}/group=trip")
-    with open(f"{drops}/group=trip/g.csv", "w") as f:
-        f.write("amount,category_name,payment_method,expense_date,creator_username,split_usernames,split_amounts\n")
-        f.write('60,food,cash,2024-05-01,ann,"admin, bob, ann","20, 20, 20"\n')
-    q = start_group_ingest(spark, drops, root, 0, scratch_path(spark, "gstream-ckpt"), importer_uid=0,
-                           available_now=True)
-    q.awaitTermination(120)
-    v1 = read_version(spark, root, 1)
-    new = v1.group_expenses.filter("geid = 12").collect()
-    assert len(new) == 1 and new[0].gid == 1 and new[0].uid == 1 and new[0].amount == 60.0
-    assert sorted(r.split_amount for r in v1.split_users.filter("geid = 12").collect()) == [20.0, 20.0, 20.0]
