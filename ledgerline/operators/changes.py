@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.parse import parse_amount, parse_date
 from ledgerline.functions.text import norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, mark_deleted, next_id_base
-from ledgerline.operators.loads import _first_failing, _lookup, name_lookup
+from ledgerline.operators.loads import _first_failing, _lookup, _materialise, name_lookup
 from ledgerline.schema import ROLES, Ledger, conform
 
 # Reject reasons.
@@ -186,7 +186,8 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
         ((f == "date") & F.col("_date").isNull(), R_BAD_VALUE),
         ((f == "category") & F.col("_cid").isNull(), R_BAD_VALUE),
         ((f == "payment_method") & F.col("_pid").isNull(), R_BAD_VALUE))
-    judged = b.withColumn("reason", reason)
+    # expenses, links, tags and rejects all read the batch as judged once
+    judged = _materialise(b.withColumn("reason", reason))
     ok = judged.filter(F.col("reason").isNull())
 
     def last(field: str, col: str):

@@ -44,6 +44,11 @@ def group_scope(ledger: Ledger, uid: int) -> DataFrame:
     return member.unionByName(admin).distinct()
 
 
+def _visible(df: DataFrame, ledger: Ledger, uid: int | None) -> DataFrame:
+    """Rows of the groups that the calling user may see (all rows without a caller)."""
+    return df if uid is None else df.join(group_scope(ledger, uid), "gid", "left_semi")
+
+
 def list_groups(ledger: Ledger, uid: int | None = None) -> DataFrame:
     """All groups (uid None), else the groups visible to that user."""
     groups = ledger.groups
@@ -66,10 +71,11 @@ def username_lists(ledger: Ledger) -> DataFrame:
 
 
 def group_expenses(ledger: Ledger, group_name: str | None = None,
-                   filters: dict | None = None) -> DataFrame:
-    """Group expenses with distinct tags and participant names; amount desc."""
+                   filters: dict | None = None, uid: int | None = None) -> DataFrame:
+    """Group expenses with distinct tags and participant names; amount desc.
+    ``uid`` (here and in R13-R15) is the caller: only that user's groups are reported."""
     f = P.normalise(filters, P.GROUP_KEYS)
-    facts = _named(ledger.group_expenses.filter(P.fact_predicate(f)), ledger, group_name)
+    facts = _named(_visible(ledger.group_expenses.filter(P.fact_predicate(f)), ledger, uid), ledger, group_name)
     if "tag" in f:  # P10: EXISTS -- keeps all tags of a matching expense
         hit = (ledger.group_expense_tags
                .join(ledger.tags.filter(F.col("tag_name") == F.lit(f["tag"].lower())), "tid")
@@ -83,9 +89,9 @@ def group_expenses(ledger: Ledger, group_name: str | None = None,
 
 
 def group_category_spending(ledger: Ledger, category: str,
-                            group_name: str | None = None) -> DataFrame:
+                            group_name: str | None = None, uid: int | None = None) -> DataFrame:
     """One category's total in a group; no row when 0 or none."""
-    facts = _named(ledger.group_expenses, ledger, group_name).join(
+    facts = _named(_visible(ledger.group_expenses, ledger, uid), ledger, group_name).join(
         ledger.categories.filter(F.lower("category_name") == F.lit(category.lower())), "cid")
     keys = _lead(group_name, ["category_name"])
     out = facts.groupBy(*keys).agg(exact_sum("amount").alias("total"))
@@ -93,9 +99,9 @@ def group_category_spending(ledger: Ledger, category: str,
         *_lead(group_name, ["total", "category_name"]))
 
 
-def group_tag_usage(ledger: Ledger, group_name: str | None = None) -> DataFrame:
+def group_tag_usage(ledger: Ledger, group_name: str | None = None, uid: int | None = None) -> DataFrame:
     """Tagged expenses per tag in a group; tags with no such expense are absent."""
-    facts = _named(ledger.group_expenses.select("geid", "gid"), ledger, group_name)
+    facts = _named(_visible(ledger.group_expenses.select("geid", "gid"), ledger, uid), ledger, group_name)
     keys = _lead(group_name, ["tag_name"])
     return (ledger.group_expense_tags.join(facts, "geid").join(ledger.tags, "tid")
             .groupBy(*keys).agg(F.count("geid").alias("expense_count"))
@@ -103,12 +109,12 @@ def group_tag_usage(ledger: Ledger, group_name: str | None = None) -> DataFrame:
                      F.desc("expense_count"), "tag_name"))
 
 
-def group_user_expenses(ledger: Ledger, group_name: str | None = None) -> DataFrame:
+def group_user_expenses(ledger: Ledger, group_name: str | None = None, uid: int | None = None) -> DataFrame:
     """Sum of each member's split shares in a group, ascending.
 
     Shares are summed per (group, user) first; names are joined to the sums.
     """
-    facts = in_group(ledger.group_expenses.select("geid", "gid"), ledger, group_name)
+    facts = in_group(_visible(ledger.group_expenses.select("geid", "gid"), ledger, uid), ledger, group_name)
     sums = (ledger.split_users.join(facts, "geid")
             .groupBy("gid", "uid").agg(exact_sum("split_amount").alias("total_spent")))
     out = sums.join(ledger.users.select("uid", "username"), "uid")

@@ -355,6 +355,39 @@ def q_group_user_expenses(spark, sf):
     return G.group_user_expenses(ledger(spark, sf))
 
 
+# the same reports for a caller who is a member of one group only
+_CALLER = f"gid IN (SELECT gid FROM user_group WHERE uid = {MEMBER_UID})"
+
+
+@register("group_expenses_caller", _group_list_sql(_CALLER), VIEWS)
+def q_group_expenses_caller(spark, sf):
+    return G.group_expenses(ledger(spark, sf), uid=MEMBER_UID)
+
+
+@register("group_category_spending_caller", f"""
+SELECT group_name, {_money('amount')} AS total, category_name FROM group_named
+WHERE {_CALLER} AND category_name = lower('{SAMPLE_GROUP_CATEGORY}') GROUP BY group_name, category_name
+""", VIEWS)
+def q_group_category_spending_caller(spark, sf):
+    return G.group_category_spending(ledger(spark, sf), SAMPLE_GROUP_CATEGORY, uid=MEMBER_UID)
+
+
+@register("group_tag_usage_caller", _TAG_USES + f"""
+SELECT group_name, tag_name, expense_count FROM uses JOIN tags USING (tid) JOIN groups USING (gid) WHERE {_CALLER}
+""")
+def q_group_tag_usage_caller(spark, sf):
+    return G.group_tag_usage(ledger(spark, sf), uid=MEMBER_UID)
+
+
+@register("group_user_expenses_caller", f"""
+WITH paid AS (SELECT gid, s.uid, {_money('split_amount')} AS total_spent
+              FROM split_users s JOIN (SELECT geid, gid FROM group_expenses) USING (geid) GROUP BY gid, s.uid)
+SELECT group_name, username, total_spent FROM paid JOIN users USING (uid) JOIN groups USING (gid) WHERE {_CALLER}
+""")
+def q_group_user_expenses_caller(spark, sf):
+    return G.group_user_expenses(ledger(spark, sf), uid=MEMBER_UID)
+
+
 # ---------------------------------------------------------------- joins, aggregates, sorts, sets
 
 @register("join_expense_dims", """

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import changes as C
 from ledgerline.operators import loads as M
+from ledgerline.operators import reports as R
+from ledgerline.plans.catalog import VIEWS
 from ledgerline.plans.catalog_loads import _amount_sql, _strip_sql
 from ledgerline.plans.registry import register
 from ledgerline.sources import batches as B
@@ -284,6 +286,32 @@ def q_change_update_expenses(spark, sf):
     return C.update_expenses(_led(spark, sf), _update_batch(spark, sf)).ledger.expenses
 
 
+# dates, methods and tag sets, with a second change for every even key (a quarter of those dates are refused)
+@register("change_update_expenses_repeated", """
+SELECT uid, eid, amount, category_name,
+       CASE WHEN eid % 3 <> 1 THEN method WHEN eid % 2 = 0 THEN 'p' ELSE 'f' END AS method,
+       CASE WHEN eid % 3 <> 0 THEN date WHEN eid % 4 = 2 THEN DATE '2000-03-04' ELSE DATE '1999-01-02' END AS date,
+       description,
+       CASE WHEN eid % 3 <> 2 THEN tags WHEN eid % 4 = 0 THEN NULL WHEN eid % 4 = 2 THEN 'brand#2'
+            ELSE 'brand#1, fresh' END AS tags
+FROM named LEFT JOIN tag_list USING (eid)
+""", VIEWS)
+def q_change_update_expenses_repeated(spark, sf):
+    k = F.col("o_orderkey").cast("long")
+    kind = k % 3
+    o = read_table(spark, sf, "orders").select(
+        k.alias("eid"), F.col("o_custkey").cast("long").alias("actor_uid"),
+        F.when(kind == 0, "date").when(kind == 1, "payment_method").otherwise("tags").alias("field"))
+    first = o.withColumn("seq", F.col("eid") * 2).withColumn(
+        "value", F.when(F.col("field") == "date", "1999-1-2").when(F.col("field") == "tags", "brand#1, Fresh")
+        .otherwise("F"))
+    odd_half = F.col("eid") % 4 == 2
+    second = o.filter(F.col("eid") % 2 == 0).withColumn("seq", F.col("eid") * 2 + 1).withColumn(
+        "value", F.when(F.col("field") == "date", F.when(odd_half, "2000-03-04").otherwise("1999-02-30"))
+        .when(F.col("field") == "tags", F.when(odd_half, "brand#2").otherwise("")).otherwise("P"))
+    return R.list_expenses(C.update_expenses(_led(spark, sf), first.unionByName(second)).ledger)
+
+
 @register("change_delete_expenses", """
 SELECT e.* FROM expenses e
 WHERE NOT EXISTS (

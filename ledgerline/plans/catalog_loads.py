@@ -352,6 +352,18 @@ def q_export_expenses_user(spark, sf):
     return X.expense_export(_ledger(spark, sf), "amount", uid=SAMPLE_UID)
 
 
+# every sort field, written as files and read back (empty fields come back as NULL)
+@register("export_expenses_files", f"""
+SELECT f AS sorted_by, {", ".join(f'NULLIF("{c}", \'\') AS "{c}"' for c in X.ALL_USERS_HEADER)}
+FROM ({_export_sql()}), unnest({sorted(X.PERSONAL_SORT)}) AS fields(f)
+""", VIEWS)
+def q_export_expenses_files(spark, sf):
+    path = scratch_path(spark, "expense-export")
+    for name in X.PERSONAL_SORT:
+        csv_io.write_csv(X.expense_export(_ledger(spark, sf), name), f"{path}/sorted_by={name}")
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 @register("export_group", """
 SELECT g.group_name, CAST(g.date_created AS VARCHAR) AS date_created, COALESCE(g.description, '') AS description,
        CAST(ge.geid AS VARCHAR) AS expense_id, u.username AS creator_username,
