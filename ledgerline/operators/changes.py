@@ -2,9 +2,10 @@
 
 Each function takes the ledger and a batch with a unique ``seq`` and returns a
 :class:`ChangeResult` -- the changed ledger and the rejects ``(seq, reason)``.
-Parquet tables have no UPDATE / DELETE, so every change is "old snapshot
-anti-joined with the touched keys, unioned with the new rows"; writing the
-result as the next version is :mod:`ledgerline.sources.versions`.
+Parquet tables have no UPDATE / DELETE, so every change is "old rows without the
+touched keys, and the new rows". A result names both per table (``removed``,
+``added``), so that :mod:`ledgerline.sources.store` rewrites only the folders
+that hold touched keys.
 
 Batch semantics: rules are judged against the snapshot before the batch. Among
 rows that insert the same key the lowest ``seq`` wins (a grouped min, so a hot
@@ -15,7 +16,7 @@ wins. Nothing is collected to the driver.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ledgerline.functions.parse import parse_amount, parse_date
 from ledgerline.functions.text import norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, mark_deleted, next_id_base
 from ledgerline.operators.loads import _first_failing, _lookup, _materialise, name_lookup
-from ledgerline.schema import ROLES, Ledger, conform
+from ledgerline.schema import MONTH, ROLES, Ledger, conform, month_of
 
 # Reject reasons.
 R_EXISTS = "already exists"
@@ -49,6 +50,20 @@ GROUP_FIELDS = ("group_name", "description")
 class ChangeResult:
     ledger: Ledger
     rejects: DataFrame
+    #: new rows per table, and keys (some columns of the table) whose stored rows go
+    added: dict = field(default_factory=dict)
+    removed: dict = field(default_factory=dict)
+
+
+def _added(ledger: Ledger, rejects: DataFrame, **rows: DataFrame) -> ChangeResult:
+    rows = {t: conform(df, t) for t, df in rows.items()}
+    return ChangeResult(ledger.with_rows(**rows), rejects, rows)
+
+
+def _changed(before: Ledger, tables: dict, rejects: DataFrame, removed: dict, added: dict | None = None) -> ChangeResult:
+    """A result whose tables are given; no id is given here, so current id marks stay so."""
+    out = before.with_tables(**tables, marks_current=before.marks_current)
+    return ChangeResult(out, rejects, added or {}, removed)
 
 
 def _rejects(judged: DataFrame) -> DataFrame:
@@ -88,29 +103,28 @@ def add_users(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     b = batch.select("seq", strip("username").alias("username"), "role")
     new, rej, _ = _add_named(ledger, "users", b, "username", "uid",
                              [(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), R_BAD_ROLE)])
-    return ChangeResult(ledger.with_tables(users=ledger.users.unionByName(conform(new, "users"))), rej)
+    return _added(ledger, rej, users=new)
 
 
 def add_categories(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     """M2: batch (seq, category_name); names are lower-cased as the callers do."""
     b = batch.select("seq", norm_name("category_name").alias("category_name"))
     new, rej, _ = _add_named(ledger, "categories", b, "category_name", "cid")
-    return ChangeResult(ledger.with_tables(categories=ledger.categories.unionByName(conform(new, "categories"))), rej)
+    return _added(ledger, rej, categories=new)
 
 
 def add_payment_methods(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     """M3: batch (seq, method); a method equal to a stored one ignoring case is rejected."""
     b = batch.select("seq", strip("method").alias("method"))
     new, rej, _ = _add_named(ledger, "payment_methods", b, "method", "pid", ci_exists=True)
-    return ChangeResult(ledger.with_tables(
-        payment_methods=ledger.payment_methods.unionByName(conform(new, "payment_methods"))), rej)
+    return _added(ledger, rej, payment_methods=new)
 
 
 def add_tags(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     """M4: batch (seq, tag_name); stripped and lower-cased; unique."""
     b = batch.select("seq", norm_name("tag_name").alias("tag_name"))
     new, rej, _ = _add_named(ledger, "tags", b, "tag_name", "tid")
-    return ChangeResult(ledger.with_tables(tags=ledger.tags.unionByName(conform(new, "tags"))), rej)
+    return _added(ledger, rej, tags=new)
 
 
 def add_groups(ledger: Ledger, batch: DataFrame, as_of=None) -> ChangeResult:
@@ -121,9 +135,7 @@ def add_groups(ledger: Ledger, batch: DataFrame, as_of=None) -> ChangeResult:
     new, rej, _ = _add_named(ledger, "groups", b, "group_name", "gid",
                              [(F.col("_known").isNull(), R_UNKNOWN_USER)])
     groups = new.withColumn("date_created", F.lit(_dt.date.fromisoformat(str(as_of))))
-    return ChangeResult(ledger.with_tables(
-        groups=ledger.groups.unionByName(conform(groups, "groups")),
-        user_group=ledger.user_group.unionByName(conform(new.select("uid", "gid"), "user_group"))), rej)
+    return _added(ledger, rej, groups=groups, user_group=new)
 
 
 def add_members(ledger: Ledger, batch: DataFrame) -> ChangeResult:
@@ -148,7 +160,12 @@ def add_members(ledger: Ledger, batch: DataFrame) -> ChangeResult:
         (F.col("_has").isNotNull() & F.col("_actor_in").isNull(), R_NOT_MEMBER),
         (F.col("_pair").isNotNull(), R_EXISTS)], ["uid", "gid"])
     new = judged.filter(F.col("reason").isNull()).select("uid", "gid")
-    return ChangeResult(ledger.with_tables(user_group=members.unionByName(new)), _rejects(judged))
+    return _added(ledger, _rejects(judged), user_group=new)
+
+
+def _without(ledger: Ledger, removed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of ``removed`` without the rows of those keys."""
+    return {t: ledger.table(t).join(keys, keys.columns, "left_anti") for t, keys in removed.items()}
 
 
 # ---------------------------------------------------------------- M8, M9
@@ -166,10 +183,10 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
     too); ``tags`` replaces the whole tag set (new tag names are created). The
     last accepted change per (eid, field) wins.
     """
-    exp = ledger.expenses
+    exp = conform(ledger.expenses, "expenses")
     cats = name_lookup(ledger.categories, "category_name", "cid", False)
     pms = name_lookup(ledger.payment_methods, "method", "pid", ci_methods)
-    b = (batch.join(exp.select("eid", F.col("uid").alias("_owner")), "eid", "left")
+    b = (batch.join(exp.select("eid", F.col("uid").alias("_owner"), F.col("date").alias("_old")), "eid", "left")
          .withColumn("_amount", parse_amount("value"))
          .withColumn("_date", parse_date("value"))
          .withColumn("_lower", F.lower(F.col("value")))
@@ -201,39 +218,47 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
         last("payment_method", "_pid").alias("_new_pid"), last("tags", "_tags").alias("_new_tags"),
         F.max(F.when(f == "description", True)).alias("_set_desc"),
         F.max(F.when(f == "tags", True)).alias("_set_tags"),
-        F.max(F.when(f == "tags", F.col("seq"))).alias("_tags_seq"))
-    updated = (exp.join(changes, "eid", "left")
-               .select("eid", "uid",
-                       F.coalesce("_new_amount", "amount").alias("amount"),
-                       F.coalesce("_new_cid", "cid").alias("cid"),
-                       F.coalesce("_new_pid", "pid").alias("pid"),
-                       F.coalesce("_new_date", "date").alias("date"),
-                       F.when(F.col("_set_desc").isNotNull(), F.col("_new_description"))
-                       .otherwise(F.col("description")).alias("description")))
+        F.max(F.when(f == "tags", F.col("seq"))).alias("_tags_seq"), F.max("_old").alias("_old"))
+    new_rows = _updated(exp.join(changes, "eid"))
     # tags: replace the set of every expense with an accepted tags change
     retag = changes.filter(F.col("_set_tags").isNotNull())
     tag_rows = retag.select("eid", F.col("_tags_seq").alias("seq"),
                             F.explode(F.array_distinct("_new_tags")).alias("_name"))
     from ledgerline.operators.loads import _link_tags
     new_tags, bridge = _link_tags(ledger, tag_rows.filter(F.col("_name") != ""), "eid")
-    links = (ledger.expenses_tags.join(retag.select("eid"), "eid", "left_anti")
-             .unionByName(conform(bridge, "expenses_tags")))
-    return ChangeResult(ledger.with_tables(expenses=conform(updated, "expenses"),
-                                           tags=ledger.tags.unionByName(new_tags),
-                                           expenses_tags=links), _rejects(judged))
+    bridge, retag = conform(bridge, "expenses_tags"), retag.select("eid")
+    links = ledger.expenses_tags.join(retag, "eid", "left_anti").unionByName(bridge)
+    before = ledger.with_rows(tags=new_tags)
+    return _changed(before, {"expenses": _updated(exp.join(changes, "eid", "left")), "expenses_tags": links},
+                    _rejects(judged),
+                    {"expenses": changes.select("eid", month_of(F.col("_old")).alias(MONTH)), "expenses_tags": retag},
+                    {"tags": new_tags, "expenses": new_rows, "expenses_tags": bridge})
+
+
+def _updated(rows: DataFrame) -> DataFrame:
+    """Expense rows with their last changes put in."""
+    return conform((rows
+               .select("eid", "uid",
+                       F.coalesce("_new_amount", "amount").alias("amount"),
+                       F.coalesce("_new_cid", "cid").alias("cid"),
+                       F.coalesce("_new_pid", "pid").alias("pid"),
+                       F.coalesce("_new_date", "date").alias("date"),
+                       F.when(F.col("_set_desc").isNotNull(), F.col("_new_description"))
+                       .otherwise(F.col("description")).alias("description"))), "expenses")
 
 
 def delete_expenses(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     """M9: batch (seq, actor_uid, eid); only the owner; tag links go too."""
-    b = batch.join(ledger.expenses.select("eid", F.col("uid").alias("_owner")), "eid", "left")
+    b = batch.join(ledger.expenses.select("eid", F.col("uid").alias("_owner"), month_of(F.col("date")).alias(MONTH)), "eid", "left")
     reason = _first_failing((F.col("_owner").isNull(), R_NOT_FOUND),
                             (F.col("_owner") != F.col("actor_uid"), R_NOT_OWNER))
     judged = b.withColumn("reason", reason)
-    gone = judged.filter(F.col("reason").isNull()).select("eid").distinct()
+    dated = judged.filter(F.col("reason").isNull()).select("eid", MONTH).distinct()
+    gone = dated.select("eid")
     ledger = mark_deleted(ledger, ["expenses"])
-    return ChangeResult(ledger.with_tables(
-        expenses=ledger.expenses.join(gone, "eid", "left_anti"),
-        expenses_tags=ledger.expenses_tags.join(gone, "eid", "left_anti")), _rejects(judged))
+    return _changed(ledger, {"expenses": ledger.expenses.join(gone, "eid", "left_anti"),
+                             "expenses_tags": ledger.expenses_tags.join(gone, "eid", "left_anti")},
+                    _rejects(judged), {"expenses": dated, "expenses_tags": gone})
 
 
 # ---------------------------------------------------------------- M10, M11
@@ -249,7 +274,9 @@ def update_users(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     ok = _last_per_key(judged.filter(F.col("reason").isNull()), ["uid", "field"])
     new = ledger.users.join(ok.select("uid", F.col("value").alias("_role")), "uid", "left").select(
         "uid", "username", F.coalesce("_role", "role").alias("role"))
-    return ChangeResult(ledger.with_tables(users=new), _rejects(judged))
+    touched = ok.select("uid")
+    return _changed(ledger, {"users": new}, _rejects(judged), {"users": touched},
+                    {"users": new.join(touched, "uid", "left_semi")})
 
 
 def _scope_ok(ledger: Ledger, b: DataFrame) -> DataFrame:
@@ -290,7 +317,9 @@ def update_groups(ledger: Ledger, batch: DataFrame) -> ChangeResult:
            .select("gid", "date_created", F.coalesce("_name", "group_name").alias("group_name"),
                    F.when(F.col("_set").isNotNull(), F.col("_desc")).otherwise(F.col("description"))
                    .alias("description")))
-    return ChangeResult(ledger.with_tables(groups=new), _rejects(judged))
+    touched = ok.select("gid").distinct()
+    return _changed(ledger, {"groups": new}, _rejects(judged), {"groups": touched},
+                    {"groups": new.join(touched, "gid", "left_semi")})
 
 
 def delete_users(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> ChangeResult:
@@ -299,14 +328,11 @@ def delete_users(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> Cha
     judged = b.withColumn("reason", F.when(F.col("_known").isNull(), F.lit(R_NOT_FOUND)))
     gone = judged.filter(F.col("reason").isNull()).select("uid").distinct()
     ledger = mark_deleted(ledger, ["users", "expenses"] if cascade else ["users"])
-    out = ledger.with_tables(users=ledger.users.join(gone, "uid", "left_anti"))
+    removed = {"users": gone}
     if cascade:
         dead = ledger.expenses.join(gone, "uid", "left_semi").select("eid")
-        out = out.with_tables(expenses=ledger.expenses.join(gone, "uid", "left_anti"),
-                              expenses_tags=ledger.expenses_tags.join(dead, "eid", "left_anti"),
-                              user_group=ledger.user_group.join(gone, "uid", "left_anti"),
-                              split_users=ledger.split_users.join(gone, "uid", "left_anti"))
-    return ChangeResult(out, _rejects(judged))
+        removed |= {"expenses": gone, "expenses_tags": dead, "user_group": gone, "split_users": gone}
+    return _changed(ledger, _without(ledger, removed), _rejects(judged), removed)
 
 
 def delete_tags(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> ChangeResult:
@@ -315,11 +341,10 @@ def delete_tags(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> Chan
     judged = b.withColumn("reason", F.when(F.col("tid").isNull(), F.lit(R_NOT_FOUND)))
     gone = judged.filter(F.col("reason").isNull()).select("tid").distinct()
     ledger = mark_deleted(ledger, ["tags"])
-    out = ledger.with_tables(tags=ledger.tags.join(gone, "tid", "left_anti"))
+    removed = {"tags": gone}
     if cascade:
-        out = out.with_tables(expenses_tags=ledger.expenses_tags.join(gone, "tid", "left_anti"),
-                              group_expense_tags=ledger.group_expense_tags.join(gone, "tid", "left_anti"))
-    return ChangeResult(out, _rejects(judged))
+        removed |= {"expenses_tags": gone, "group_expense_tags": gone}
+    return _changed(ledger, _without(ledger, removed), _rejects(judged), removed)
 
 
 # ---------------------------------------------------------------- M12
@@ -333,9 +358,6 @@ def delete_groups(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     gids = judged.filter(F.col("reason").isNull()).select("gid").distinct()
     geids = ledger.group_expenses.join(gids, "gid", "left_semi").select("geid")
     ledger = mark_deleted(ledger, ["groups", "group_expenses"])
-    return ChangeResult(ledger.with_tables(
-        split_users=ledger.split_users.join(geids, "geid", "left_anti"),
-        group_expense_tags=ledger.group_expense_tags.join(geids, "geid", "left_anti"),
-        group_expenses=ledger.group_expenses.join(gids, "gid", "left_anti"),
-        user_group=ledger.user_group.join(gids, "gid", "left_anti"),
-        groups=ledger.groups.join(gids, "gid", "left_anti")), _rejects(judged))
+    removed = {"split_users": geids, "group_expense_tags": geids, "group_expenses": gids, "user_group": gids,
+               "groups": gids}
+    return _changed(ledger, _without(ledger, removed), _rejects(judged), removed)

@@ -55,6 +55,8 @@ def month_totals(ledger: Ledger, as_of, uid: int | None = None) -> DataFrame:
     """This month's total (no upper bound), last month's, and the percent change."""
     this_start, last_start = _month_bounds(as_of)
     e = ledger.expenses.filter(P.user_scope(uid))
+    if uid is not None:  # for all users, those without recent expenses are reported too
+        e = P.in_months(e, last_start)
     amt = F.col("amount")
     this_m = F.when(F.col("date") >= F.lit(this_start), amt)
     last_m = F.when((F.col("date") >= F.lit(last_start)) & (F.col("date") < F.lit(this_start)), amt)

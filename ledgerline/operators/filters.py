@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.schema import MONTH
+
 PERSONAL_KEYS = ("category", "payment_method", "min_amount", "max_amount", "amount", "date", "tag")
 GROUP_KEYS = ("category", "min_amount", "max_amount", "amount", "date", "tag")
 
@@ -57,6 +59,19 @@ def fact_predicate(f: dict) -> Column:
     return cond
 
 
+def in_months(facts: DataFrame, start: _dt.date | None, end: _dt.date | None = None) -> DataFrame:
+    """Stored facts restricted to the month folders from ``start`` to ``end``; other frames as they are."""
+    if start is None or MONTH not in facts.columns:
+        return facts
+    facts = facts.filter(F.col(MONTH) >= F.lit(start.replace(day=1)))
+    return facts if end is None else facts.filter(F.col(MONTH) <= F.lit(end.replace(day=1)))
+
+
+def filtered_facts(facts: DataFrame, f: dict) -> DataFrame:
+    """Rows that meet the amount and date parts, read from the date's month only."""
+    return in_months(facts, f.get("date"), f.get("date")).filter(fact_predicate(f))
+
+
 def category_predicate(f: dict) -> Column:
     """Category name equals the lower-cased value (the group form lower-cases both)."""
     if "category" not in f:
@@ -71,10 +86,13 @@ def method_predicate(f: dict) -> Column:
     return F.col("method") == F.lit(f["payment_method"].lower())
 
 
-def date_range(start, end) -> Column:
-    """Inclusive date range; start after end is an error."""
-    start = start if isinstance(start, _dt.date) else _dt.date.fromisoformat(str(start))
-    end = end if isinstance(end, _dt.date) else _dt.date.fromisoformat(str(end))
+def _date(d) -> _dt.date:
+    return d if isinstance(d, _dt.date) else _dt.date.fromisoformat(str(d))
+
+
+def date_range(facts: DataFrame, start, end) -> DataFrame:
+    """Rows in an inclusive date range; start after end is an error."""
+    start, end = _date(start), _date(end)
     if start > end:
         raise ValueError("start date must not be after end date")
-    return F.col("date").between(F.lit(start), F.lit(end))
+    return in_months(facts, start, end).filter(F.col("date").between(F.lit(start), F.lit(end)))

@@ -75,7 +75,7 @@ def group_expenses(ledger: Ledger, group_name: str | None = None,
     """Group expenses with distinct tags and participant names; amount desc.
     ``uid`` (here and in R13-R15) is the caller: only that user's groups are reported."""
     f = P.normalise(filters, P.GROUP_KEYS)
-    facts = _named(_visible(ledger.group_expenses.filter(P.fact_predicate(f)), ledger, uid), ledger, group_name)
+    facts = _named(_visible(P.filtered_facts(ledger.group_expenses, f), ledger, uid), ledger, group_name)
     if "tag" in f:  # P10: EXISTS -- keeps all tags of a matching expense
         hit = (ledger.group_expense_tags
                .join(ledger.tags.filter(F.col("tag_name") == F.lit(f["tag"].lower())), "tid")

@@ -22,11 +22,15 @@ from ledgerline.session import checkpoint_dir
 def next_id_base(ledger, table: str, rows: DataFrame | None = None) -> DataFrame:
     """One-row frame ``_base``: the highest id the table ever had (0 when none).
 
-    That is the larger of the current maximum and the table's id mark, which
+    With current id marks (every stored ledger has them) it is read from the
+    marks alone; else it is the larger of the current maximum and the mark that
     deletes leave behind (AUTOINCREMENT semantics: ids are not reused).
     ``rows`` overrides the table rows (e.g. a dimension with rows just added).
     """
     id_col = ID_COLUMNS[table]
+    if ledger.marks_current and rows is None:
+        return (ledger.id_marks.filter(F.col("table_name") == table)
+                .agg(F.coalesce(F.max("max_id"), F.lit(0)).cast("long").alias("_base")))
     ids = (rows if rows is not None else ledger.table(table)).select(F.col(id_col).cast("long").alias("_v"))
     if ledger.id_marks is not None:
         ids = ids.unionByName(ledger.id_marks.filter(F.col("table_name") == table)
@@ -36,6 +40,8 @@ def next_id_base(ledger, table: str, rows: DataFrame | None = None) -> DataFrame
 
 def mark_deleted(ledger, tables: list[str]):
     """Ledger whose id marks remember the highest id of ``tables`` before a delete."""
+    if ledger.marks_current:
+        return ledger
     spark = ledger.users.sparkSession
     marks = [ledger.table(t).agg(F.max(ID_COLUMNS[t]).cast("long").alias("max_id"))
              .select(F.lit(t).alias("table_name"), "max_id") for t in tables]

@@ -54,6 +54,14 @@ class LoadResult:
     accepted: DataFrame
     rejects: DataFrame
     extra: dict = field(default_factory=dict)
+    #: new rows per table: what storing the result appends
+    added: dict = field(default_factory=dict)
+    removed: dict = field(default_factory=dict)
+
+
+def _result(ledger: Ledger, added: dict, accepted: DataFrame, rejects: DataFrame | None, extra: dict) -> LoadResult:
+    added = {t: conform(df, t) for t, df in added.items()}
+    return LoadResult(ledger.with_rows(**added), accepted, rejects, extra, added)
 
 
 def _materialise(judged: DataFrame) -> DataFrame:
@@ -141,10 +149,8 @@ def _accept_expenses(ledger: Ledger, ok: DataFrame) -> LoadResult:
     links = ok.select("eid", "seq", F.explode("tags").alias("_name"))
     new_tags, bridge = _link_tags(ledger, links, "eid")
     accepted = ok.select(*new_exp.columns, F.array_join(F.array_sort("tags"), ", ").alias("tags"))
-    out = ledger.with_tables(expenses=ledger.expenses.unionByName(new_exp),
-                             tags=ledger.tags.unionByName(new_tags),
-                             expenses_tags=ledger.expenses_tags.unionByName(conform(bridge, "expenses_tags")))
-    return LoadResult(out, accepted, None, {"new_tags": new_tags, "new_links": bridge})
+    return _result(ledger, {"tags": new_tags, "expenses": new_exp, "expenses_tags": bridge}, accepted, None,
+                   {"new_tags": new_tags, "new_links": bridge})
 
 
 def import_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False) -> LoadResult:
@@ -283,7 +289,6 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
         "gid", F.lit(as_of).alias("date_created"), "group_name",
         (F.lit(f"Imported group from {source}") if source else
          F.concat(F.lit("Imported group from batch row "), F.col("_first").cast("string"))).alias("description"))
-    all_groups = ledger.groups.unionByName(conform(new_groups, "groups"))
     new_members = new_groups.select(F.lit(importer_uid).cast("long").alias("uid"), "gid")
 
     # categories and (Admin only) methods created from accepted rows
@@ -291,8 +296,6 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
                           "categories", "category_name", "cid")
     new_pms = _new_names(ledger, ok.filter(F.col("pid").isNull()).select("seq", F.col("pm_name").alias("_name")),
                          "payment_methods", "method", "pid")
-    cats = ledger.categories.unionByName(new_cats)
-    pms = ledger.payment_methods.unionByName(new_pms)
     # ids found before the checkpoint stay; only the new rows' ids are filled in
     ok = _fill(ok, new_cats, "cat_name", "category_name", "cid")
     ok = _fill(ok, new_pms, "pm_name", "method", "pid")
@@ -314,14 +317,10 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
     splits = (shares.filter(~own).join(users, "username").select("geid", "uid", "split_amount")
               .unionByName(shares.filter(own).select("geid", F.lit(importer_uid).cast("long").alias("uid"),
                                                      "split_amount")))
-    out = ledger.with_tables(
-        groups=all_groups, user_group=ledger.user_group.unionByName(new_members),
-        categories=cats, payment_methods=pms, tags=ledger.tags.unionByName(new_tags),
-        group_expenses=ledger.group_expenses.unionByName(new_ge),
-        group_expense_tags=ledger.group_expense_tags.unionByName(conform(bridge, "group_expense_tags")),
-        split_users=ledger.split_users.unionByName(conform(splits, "split_users")))
-    return LoadResult(out, added, rejects, {"splits": splits, "new_categories": new_cats, "new_methods": new_pms,
-                                            "new_groups": new_groups, "new_tags": new_tags})
+    rows = {"groups": new_groups, "user_group": new_members, "categories": new_cats, "payment_methods": new_pms,
+            "tags": new_tags, "group_expenses": new_ge, "group_expense_tags": bridge, "split_users": splits}
+    return _result(ledger, rows, added, rejects, {"splits": splits, "new_categories": new_cats, "new_methods": new_pms,
+                                                  "new_groups": new_groups, "new_tags": new_tags})
 
 
 # ---------------------------------------------------------------- M13
@@ -381,12 +380,8 @@ def add_group_expenses(ledger: Ledger, batch: DataFrame) -> LoadResult:
               .select("geid", "uid", (F.col("amount") / F.col("_kept")).alias("split_amount")))
     links = ok.select("geid", "seq", F.explode("tag_list").alias("_name"))
     new_tags, bridge = _link_tags(ledger, links, "geid")
-    out = ledger.with_tables(
-        group_expenses=ledger.group_expenses.unionByName(new_ge),
-        split_users=ledger.split_users.unionByName(conform(splits, "split_users")),
-        tags=ledger.tags.unionByName(new_tags),
-        group_expense_tags=ledger.group_expense_tags.unionByName(conform(bridge, "group_expense_tags")))
-    return LoadResult(out, new_ge, rejects, {"splits": splits, "new_tags": new_tags})
+    return _result(ledger, {"tags": new_tags, "group_expenses": new_ge, "split_users": splits,
+                            "group_expense_tags": bridge}, new_ge, rejects, {"splits": splits, "new_tags": new_tags})
 
 
 # ---------------------------------------------------------------- file entry points

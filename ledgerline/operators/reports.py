@@ -38,7 +38,7 @@ def _lead(uid: int | None, cols: list[str]) -> list[str]:
 def list_expenses(ledger: Ledger, filters: dict | None = None, uid: int | None = None) -> DataFrame:
     """R0 with filters P3-P11; newest first."""
     f = P.normalise(filters)
-    facts = _scoped(ledger, uid).filter(P.fact_predicate(f))
+    facts = P.filtered_facts(_scoped(ledger, uid), f)
     rows = (with_dims(facts, ledger)
             .filter(P.category_predicate(f) & P.method_predicate(f)))
     rows = with_tags(rows, ledger, tag=f.get("tag"))
@@ -52,7 +52,7 @@ def top_expenses(ledger: Ledger, n: int, start, end, uid: int | None = None) ->
     The top-n is taken on expenses with their dimensions first; only the kept
     rows meet the tag lists.
     """
-    facts = with_dims(_scoped(ledger, uid).filter(P.date_range(start, end)), ledger)
+    facts = with_dims(P.date_range(_scoped(ledger, uid), start, end), ledger)
     if uid is not None:
         top = facts.orderBy(F.desc("amount"), F.asc("eid")).limit(n)
     else:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, LongType, StringType, StructField,
                                StructType)
@@ -103,6 +104,39 @@ def check_constraints() -> dict[str, list[tuple[str, "F.Column"]]]:
     }
 
 
+# Folders of a stored table: load_id=<n> first, then this column derived from the row. Facts lie by month;
+# rows that hang on an expense lie by blocks of its id, so that a key alone names the folder.
+LOAD, MONTH, BLOCK = "load_id", "part_month", "part_block"
+ID_BLOCK = 10_000_000
+PARTITION_BY: dict[str, str] = {"expenses": MONTH, "group_expenses": MONTH, "expenses_tags": BLOCK,
+                                "split_users": BLOCK, "group_expense_tags": BLOCK}
+
+
+def month_of(date: Column) -> Column:
+    """Value of ``part_month``: the first day of the month."""
+    return F.trunc(date, "month")
+
+
+def block_of(key: Column) -> Column:
+    """Value of ``part_block`` for the id of the expense a row hangs on."""
+    return F.floor(key / F.lit(ID_BLOCK)).cast("long")
+
+
+def partition_column(table: str) -> Column | None:
+    """The derived folder column of ``table``, or None if it lies in its load folder only."""
+    by = PARTITION_BY.get(table)
+    if by is None:
+        return None
+    return month_of(F.col("date")) if by == MONTH else block_of(F.col(PRIMARY_KEYS[table][0 if table != "split_users" else 1]))
+
+
+def stored_schema(table: str) -> StructType:
+    """Schema of a stored table with its folder columns."""
+    by = PARTITION_BY.get(table)
+    extra = [StructField(LOAD, L)] + ([StructField(by, DT if by == MONTH else L)] if by else [])
+    return StructType(SCHEMAS[table].fields + extra)
+
+
 @dataclass(frozen=True)
 class Ledger:
     users: DataFrame
@@ -118,34 +152,61 @@ class Ledger:
     group_expense_tags: DataFrame
     # highest id ever given per table, kept when rows are deleted so ids are not reused
     id_marks: DataFrame | None = None
+    # True when id_marks covers every row of every table, so that new ids need no scan of the facts
+    marks_current: bool = False
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def with_tables(self, **changed: DataFrame) -> "Ledger":
+    def with_tables(self, **changed) -> "Ledger":
+        """The ledger with other tables. Tables with generated ids make the id marks stale
+        unless ``marks_current`` is given along with them."""
+        if "marks_current" not in changed and any(t in ID_COLUMNS for t in changed):
+            changed["marks_current"] = False
         return replace(self, **changed)
 
+    def with_rows(self, **added: DataFrame) -> "Ledger":
+        """The ledger with further rows per table; current id marks stay current."""
+        tables = {t: conform(self.table(t), t).unionByName(conform(df, t)) for t, df in added.items()}
+        marks = max_ids(added)
+        if self.marks_current and marks is not None:
+            tables["id_marks"] = self.id_marks.unionByName(marks)
+        return replace(self, **tables)
+
     def items(self):
         return [(t, getattr(self, t)) for t in TABLES]
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> "Ledger":
-        """Read one ledger version: ``<path>/<table>/`` parquet with the fixed schema."""
-        from pyspark.errors import AnalysisException
+    def read(spark: SparkSession, path: str, before: int | None = None) -> "Ledger":
+        """Read a stored ledger: ``<path>/<table>/load_id=<n>/...`` parquet with the fixed schema.
+
+        ``before`` reads only the loads before that one: what a load, also a
+        repeated one, is judged against. Facts keep ``part_month``, so that date
+        filters prune folders.
+        """
+        def stored(t: str) -> DataFrame:
+            df = spark.read.schema(stored_schema(t)).parquet(f"{path}/{t}")
+            df = df if before is None else df.filter(F.col(LOAD) < F.lit(before))
+            return df.drop(LOAD, BLOCK)
 
-        tables = {t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES}
         try:
-            marks = spark.read.schema(ID_MARKS_SCHEMA).parquet(f"{path}/id_marks")
-            marks.limit(0).collect()
+            marks = spark.read.schema(StructType([*ID_MARKS_SCHEMA.fields, StructField(LOAD, L)])).parquet(f"{path}/id_marks")
+            marks = (marks if before is None else marks.filter(F.col(LOAD) < F.lit(before))).drop(LOAD)
+            current = marks.select("table_name").distinct().count() == len(ID_COLUMNS)
         except AnalysisException:
-            marks = None
-        return Ledger(**tables, id_marks=marks)
+            marks, current = None, False
+        return Ledger(**{t: stored(t) for t in TABLES}, id_marks=marks, marks_current=current)
 
-    def write(self, path: str, mode: str = "errorifexists") -> str:
+    def write(self, path: str, mode: str = "errorifexists", load: int = 0) -> str:
+        """Store the whole ledger as load ``load`` of ``path``, with the highest id of every table."""
         for name, df in self.items():
-            write_table(df, name, f"{path}/{name}", mode)
+            write_table(df, name, f"{path}/{name}/{LOAD}={load}", mode)
+        spark = self.users.sparkSession
+        ids = {t: spark.read.schema(stored_schema(t)).parquet(f"{path}/{t}") for t in ID_COLUMNS}
+        marks = max_ids(ids)
         if self.id_marks is not None:
-            self.id_marks.write.mode(mode).parquet(f"{path}/id_marks")
+            marks = marks.unionByName(self.id_marks)
+        write_marks(marks, f"{path}/id_marks/{LOAD}={load}", mode)
         return path
 
     @staticmethod
@@ -172,11 +233,34 @@ CLUSTER_BY = {"expenses": ("uid", "date"), "group_expenses": ("gid", "date"), "s
 
 
 def write_table(df: DataFrame, table: str, path: str, mode: str = "errorifexists") -> None:
-    """Write one table with the fixed schema; fact tables are sorted within each file (no shuffle)."""
-    out = conform(df, table)
-    if table in CLUSTER_BY:
-        out = out.sortWithinPartitions(*CLUSTER_BY[table])
-    out.write.mode(mode).parquet(path)
+    """Write rows of one table under ``path`` with the fixed schema, sorted within each file.
+
+    Tables with a folder column are first spread by it: Spark splits a folder with many rows
+    over several tasks and merges small ones, so each folder gets few files of even size.
+    """
+    out, by = conform(df, table), PARTITION_BY.get(table)
+    if by is not None:
+        out = out.withColumn(by, partition_column(table)).hint("rebalance", by)
+    order = [c for c in (by, *CLUSTER_BY.get(table, ())) if c]
+    out = out.sortWithinPartitions(*order) if order else out
+    (out.write.partitionBy(by) if by else out.write).mode(mode).parquet(path)
+
+
+def max_ids(rows: dict[str, DataFrame]) -> DataFrame | None:
+    """(table_name, max_id) of those frames whose table has generated ids; 0 without rows."""
+    out = None
+    for t, df in rows.items():
+        if t in ID_COLUMNS:
+            one = df.agg(F.coalesce(F.max(F.col(ID_COLUMNS[t]).cast("long")), F.lit(0).cast("long")).alias("max_id")).select(
+                F.lit(t).alias("table_name"), "max_id")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def write_marks(marks: DataFrame, path: str, mode: str) -> None:
+    """One row per table."""
+    (marks.groupBy("table_name").agg(F.max("max_id").alias("max_id"))
+     .select([F.col(f.name) for f in ID_MARKS_SCHEMA.fields]).write.mode(mode).parquet(path))
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

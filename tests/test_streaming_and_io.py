@@ -1,4 +1,4 @@
-"""CSV readers, CSV round trip (group export -> group import), version writes."""
+"""CSV readers, CSV round trip (group export -> group import), export text."""
 
 import tempfile
 
@@ -9,7 +9,6 @@ from ledgerline.operators import exports as X
 from ledgerline.operators import loads as M
 from ledgerline.session import scratch_path
 from ledgerline.sources import csv_io
-from ledgerline.sources.versions import is_complete, read_version, write_version
 
 
 def test_csv_reader_maps_by_header_and_drops_extra_fields(spark):
@@ -71,25 +70,3 @@ def test_float_text_is_pythons(spark):
     xs = [0.0005, 1e-9, 1.25e-5, 0.001, -0.00012345, 1e7, 12345678.9, 9.5e14, 1e15, 1e16, 0.0, 42.0]
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", float_text("x").alias("t")).collect()
     assert [r.t for r in rows] == [str(x) for x in xs]
-
-
-def test_version_reuses_untouched_tables(spark):
-    from ledgerline.operators import changes as C
-    from ledgerline.sources.versions import _manifest
-
-    root = scratch_path(spark, "versions")
-    write_version(small_ledger(spark), root, 0)
-    v0 = read_version(spark, root, 0)
-    res = C.delete_expenses(v0, spark.createDataFrame([(1, 1, 1)], "seq long, actor_uid long, eid long"))
-    write_version(res.ledger, root, 1, previous=v0, previous_version=0)
-    m0, m1 = _manifest(spark, root, 0), _manifest(spark, root, 1)
-    assert m1["users"] == m0["users"] and m1["expenses"] != m0["expenses"]
-    v1 = read_version(spark, root, 1)
-    assert v1.expenses.count() == 5 and v1.users.count() == 5
-    assert [tuple(r) for r in v1.id_marks.collect()] == [("expenses", 6)]
-    try:
-        write_version(res.ledger, root, 1)
-        raise AssertionError("complete version overwritten")
-    except FileExistsError:
-        pass
-
