@@ -64,5 +64,7 @@ def float_text(c) -> Column:
     power = F.concat(F.when(exp < 0, F.lit("e-")).otherwise(F.lit("e+")),
                      F.when(F.abs(exp) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exp).cast("string"))
     sci = F.concat(sign, whole, F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), frac)), power)
-    return (F.when(exp.isNull(), s).when((exp >= 0) & (exp < 16), large)
+    # a comparison first: the usual amounts, plain in Spark too, never meet the patterns above
+    usual = ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)) | (x == 0)
+    return (F.when(usual, s).when(exp.isNull(), s).when((exp >= 0) & (exp < 16), large)
             .when((exp < 0) & (exp >= -4), small).otherwise(sci))

@@ -107,7 +107,10 @@ def check_constraints() -> dict[str, list[tuple[str, "F.Column"]]]:
 # Folders of a stored table: load_id=<n> first, then this column derived from the row. Facts lie by month;
 # rows that hang on an expense lie by blocks of its id, so that a key alone names the folder.
 LOAD, MONTH, BLOCK = "load_id", "part_month", "part_block"
-ID_BLOCK = 10_000_000
+ID_BLOCK = 100_000_000
+#: A block's rows are written in this many files (about 100 MB each when the block is full), also when there is one block.
+BLOCK_FILES = 8
+EXPENSE_KEY = {"expenses_tags": "eid", "split_users": "geid", "group_expense_tags": "geid"}
 PARTITION_BY: dict[str, str] = {"expenses": MONTH, "group_expenses": MONTH, "expenses_tags": BLOCK,
                                 "split_users": BLOCK, "group_expense_tags": BLOCK}
 
@@ -127,7 +130,7 @@ def partition_column(table: str) -> Column | None:
     by = PARTITION_BY.get(table)
     if by is None:
         return None
-    return month_of(F.col("date")) if by == MONTH else block_of(F.col(PRIMARY_KEYS[table][0 if table != "split_users" else 1]))
+    return month_of(F.col("date")) if by == MONTH else block_of(F.col(EXPENSE_KEY[table]))
 
 
 def stored_schema(table: str) -> StructType:
@@ -240,7 +243,12 @@ def write_table(df: DataFrame, table: str, path: str, mode: str = "errorifexists
     """
     out, by = conform(df, table), PARTITION_BY.get(table)
     if by is not None:
-        out = out.withColumn(by, partition_column(table)).hint("rebalance", by)
+        out = out.withColumn(by, partition_column(table))
+        if by == BLOCK:
+            out = (out.withColumn("_slice", F.pmod(F.col(EXPENSE_KEY[table]), F.lit(BLOCK_FILES)))
+                   .hint("rebalance", by, "_slice").drop("_slice"))
+        else:
+            out = out.hint("rebalance", by)
     order = [c for c in (by, *CLUSTER_BY.get(table, ())) if c]
     out = out.sortWithinPartitions(*order) if order else out
     (out.write.partitionBy(by) if by else out.write).mode(mode).parquet(path)

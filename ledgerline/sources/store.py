@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.schema import (BLOCK, ID_COLUMNS, LOAD, PARTITION_BY, TABLES, block_of, conform, max_ids, stored_schema,
+from ledgerline.schema import (BLOCK, EXPENSE_KEY, ID_COLUMNS, LOAD, PARTITION_BY, TABLES, block_of, conform, max_ids, stored_schema,
                                write_marks, write_table)
 from ledgerline.session import scratch_path
 
@@ -39,8 +39,8 @@ def stage_change(result, folder: str) -> list[str]:
     for t, df in result.added.items():
         conform(df, t).write.mode("overwrite").parquet(f"{folder}/added/{t}")
     for t, keys in result.removed.items():
-        if PARTITION_BY.get(t) == BLOCK and keys.columns[0] in ("eid", "geid"):
-            keys = keys.withColumn(BLOCK, block_of(F.col(keys.columns[0])))  # the key names its folder
+        if EXPENSE_KEY.get(t) in keys.columns:
+            keys = keys.withColumn(BLOCK, block_of(F.col(EXPENSE_KEY[t])))  # the key names its folder
         keys.distinct().write.mode("overwrite").parquet(f"{folder}/removed/{t}")
     return [t for t in TABLES if t in result.removed]
 
