@@ -5,9 +5,10 @@ the incidence matrix. Its n-grams are put in order of rarity (hashed counts over
 all documents), and only the first ``n - ceil(t n) + 1`` columns of a row are
 kept: two rows that are similar enough share one of those.
 
-1. Columns with a single row hold no pair. The shared columns of a row bound its
-   overlap with any other (``reach``), those from a column on bound the overlap
-   with a row that it meets there first (``left``).
+1. Columns with a single row hold no pair. Of two rows, only the one whose kept
+   columns end first can share n-grams behind them; its other shared ones are
+   columns that both keep, and from the first of these on neither row has more
+   than ``left`` columns that others keep as well.
 2. Every row is compared with one centre, the row with the fewest lone columns
    among the columns they share: a large group of near copies becomes a star.
 3. The product, blocked by columns, accumulates the columns where rows that are
@@ -156,22 +157,21 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataF
     entries = (classes.select("rep", "size", F.posexplode("columns").alias("place", "col"))
                .withColumn("rows", F.count("*").over(column)).filter("rows > 1").select("col", "rep", "size", "place"))
     entries = staged(entries, "ngram-entries")
-    # left: the row's shared columns from this one on; reach: what its overlap with any other row can be at most
+    # left: the row's shared columns from this one on; lone: its kept columns that no other row keeps
     own = Window.partitionBy("rep")
     size, shared = F.col("size"), F.count("*").over(own)
     beyond = lambda s: F.ceil(s * percent / 100) - 1  # noqa: E731  columns of a row that are not kept
     entries = staged(entries.select("col", "rep", "size", (shared - F.row_number().over(own.orderBy("place", "col")) + 1).alias("left"),
-                                    (beyond(size) + shared).alias("reach")), "ngram-entries")
+                                    (size - beyond(size) - shared).alias("lone")), "ngram-entries")
 
     def possible(x: str, y: str) -> Column:
         """Whether rows that share a column -- and none before it -- can have the overlap their sizes ask for."""
         one, two = F.col(f"{x}.size"), F.col(f"{y}.size")
-        most = F.least(F.col(f"{x}.reach"), F.col(f"{y}.reach"),
-                       F.least(F.col(f"{x}.left"), F.col(f"{y}.left")) + beyond(F.greatest(one, two)))
+        most = F.least(F.col(f"{x}.left"), F.col(f"{y}.left")) + beyond(F.greatest(one, two))
         return (100 * F.least(one, two) >= percent * F.greatest(one, two)) & ((100 + percent) * most >= percent * (one + two))
 
     texts = staged(_pack(docs).join(entries.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "ngram-texts")
-    row = F.struct((F.col("size") - F.col("reach")).alias("lone"), "rep", "size", "left", "reach")
+    row = F.struct("lone", "rep", "size", "left")
     stars = (entries.select(row.alias("x"), F.min(row).over(column).alias("c"))
              .filter((F.col("x.rep") != F.col("c.rep")) & possible("x", "c"))
              .groupBy(F.col("x.rep").alias("rep"), F.col("c.rep").alias("centre")).agg(F.count("*").alias("k"))

@@ -152,6 +152,34 @@ def test_jaccard_components(docs, rows, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def _shingles(text, n=4):
+    w = BLANK_WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def _linked(one, two):
+    return 100 * len(one & two) >= 85 * len(one | two)
+
+
+def test_jaccard_components_of_longer_and_shorter_copies(spark):
+    rng = np.random.default_rng(11)
+    words = _vocabulary(3000)
+    fresh = lambda n: list(rng.choice(words, n))
+    texts = []
+    for percent in range(3, 18):
+        for size in (60, 103, 240):
+            more = max(1, size * percent // 100)
+            for change in (lambda w: w + fresh(more), lambda w: w[:-more], lambda w: fresh(more) + w):
+                base = fresh(size)
+                texts += [" ".join(base), " ".join(change(base))]  # groups of exactly two
+    sets = [_shingles(t) for t in texts]
+    want = {i: i - 1 if i % 2 and _linked(sets[i - 1], sets[i]) else i for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    assert sum(i != c for i, c in want.items()) > 80
+    assert got == want, f"{sum(got[i] != c for i, c in want.items())} of {sum(i != c for i, c in want.items())} links are wrong"
+
+
 def test_connected_components(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 50)] + [(7, 7), (200, 300), (300, 200)]
     got = dict(components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
