@@ -13,10 +13,13 @@ kept: two rows that are similar enough share one of those.
    among the columns they share: a large group of near copies becomes a star.
 3. The product, blocked by columns, accumulates the columns where rows that are
    not connected yet can meet first and still reach the overlap their sizes ask
-   for; pairs without such a column go.
+   for; pairs without such a column go, and so do those whose accumulated count,
+   with all columns that may follow, stays below that overlap.
 4. What remains is verified on the whole n-gram sets of both texts.
 
-No link between rows of different components is skipped, so the components are exact.
+No link between rows of different components is skipped, so the components are exact;
+links inside a component that exists already are not looked for. :func:`jaccard_pairs`
+lists every link: there the product runs over all shared columns and all pairs.
 """
 
 from __future__ import annotations
@@ -147,9 +150,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return joined.mapInArrow(compare, "a long, b long, overlap long")
 
 
-def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): sets per row; class representatives ``rep`` and ``members``; links between
-    representatives that connect every component of the similarity graph. ``docs``: id, text."""
+    representatives that connect every component of the similarity graph, or ``every`` link. ``docs``: id, text."""
     sets = staged(ngram_sets(docs, n, percent), "ngram-sets")
     key = ["size", "sum1", "sum2"]
     classes = sets.filter("size > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("columns").alias("columns"))
@@ -164,13 +167,29 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataF
     entries = staged(entries.select("col", "rep", "size", (shared - F.row_number().over(own.orderBy("place", "col")) + 1).alias("left"),
                                     (size - beyond(size) - shared).alias("lone")), "ngram-entries")
 
-    def possible(x: str, y: str) -> Column:
-        """Whether rows that share a column -- and none before it -- can have the overlap their sizes ask for."""
-        one, two = F.col(f"{x}.size"), F.col(f"{y}.size")
-        most = F.least(F.col(f"{x}.left"), F.col(f"{y}.left")) + beyond(F.greatest(one, two))
+    def reached(one: Column, two: Column, kept: Column) -> Column:
+        """Whether rows of these sizes that share at most ``kept`` kept columns can have the overlap their sizes ask for."""
+        most = kept + beyond(F.greatest(one, two))
         return (100 * F.least(one, two) >= percent * F.greatest(one, two)) & ((100 + percent) * most >= percent * (one + two))
 
+    def possible(x: str, y: str) -> Column:
+        """The same for rows that share a column and none before it."""
+        return reached(F.col(f"{x}.size"), F.col(f"{y}.size"), F.least(F.col(f"{x}.left"), F.col(f"{y}.left")))
+
+    def product(rows: DataFrame, wanted: Column) -> DataFrame:
+        """Pairs (a, b) of rows that can be similar enough by the columns of ``rows``."""
+        x, y = rows.alias("x"), rows.alias("y")
+        # columns count from the first shared one on, as long as `possible` holds; behind the last, at most `after` more are shared
+        return (x.join(y, (F.col("x.col") == F.col("y.col")) & wanted & possible("x", "y"))
+                .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.size").alias("one"), F.col("y.size").alias("two"))
+                .agg(F.count("*").alias("k"), (F.min(F.least("x.left", "y.left")) - 1).alias("after"))
+                .filter(reached(F.col("one"), F.col("two"), F.col("k") + F.col("after"))))
+
+    members = sets.filter("size > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
     texts = staged(_pack(docs).join(entries.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "ngram-texts")
+    once = F.col("x.rep") < F.col("y.rep")
+    if every:
+        return sets.select("id", *key), members, staged(verified(product(entries, once).select("a", "b").distinct(), texts, n, percent), "product-links")
     row = F.struct("lone", "rep", "size", "left")
     stars = (entries.select(row.alias("x"), F.min(row).over(column).alias("c"))
              .filter((F.col("x.rep") != F.col("c.rep")) & possible("x", "c"))
@@ -184,14 +203,26 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataF
              .withColumn("component", F.coalesce("component", "rep")))
     open_columns = staged(named.withColumn("apart", F.min("component").over(column) != F.max("component").over(column))
                           .filter("apart").drop("apart"), "open-columns")
-    x, y = open_columns.alias("x"), open_columns.alias("y")
-    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    product = (x.join(y, (F.col("x.col") == F.col("y.col")) & apart & possible("x", "y"))
-               .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("k")))
-    second = staged(verified(product, texts, n, percent), "product-links")
-    links = first.unionByName(second)
-    members = sets.filter("size > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    return sets.select("id", *key), members, links
+    second = staged(verified(product(open_columns, once & (F.col("x.component") != F.col("y.component"))), texts, n, percent), "product-links")
+    return sets.select("id", *key), members, first.unionByName(second)
+
+
+def jaccard_pairs(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
+                  text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, counts) of the whole join, sets and links as in :func:`jaccard_components`.
+
+    ``links``: every linked pair of classes once, by their smallest ids (``a`` < ``b``),
+    with the ``overlap`` of their sets. ``counts``: one row per class with a text that
+    has words: ``rep``, ``members`` (rows with this set), ``n_links`` (linked classes).
+    A group of g different near copies has up to g (g - 1) / 2 links, all listed; a null
+    id shows as the smallest long.
+    """
+    arrow_batches(docs.sparkSession)
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    _, classes, links = jaccard_links(plain, n, percent, every=True)
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    counts = classes.join(ends, "rep", "left").select("rep", "members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return links, counts
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",

@@ -180,6 +180,24 @@ def test_jaccard_components_of_longer_and_shorter_copies(spark):
     assert got == want, f"{sum(got[i] != c for i, c in want.items())} of {sum(i != c for i, c in want.items())} links are wrong"
 
 
+def test_jaccard_pairs_lists_every_link(docs, rows, none):
+    reps = {}
+    for i, t, *_ in rows:
+        i = substring_dedup.NO_ID if i is None else i
+        reps.setdefault(frozenset(_shingles(t)), []).append(i)
+    reps.pop(frozenset())
+    sets = {min(ids): (s, len(ids)) for s, ids in reps.items()}
+    want = {(a, b, len(sets[a][0] & sets[b][0])) for a, b in itertools.combinations(sorted(sets), 2) if _linked(sets[a][0], sets[b][0])}
+    links, counts = ngram_join.jaccard_pairs(docs)
+    got = [(r.a, r.b, r.overlap) for r in links.collect()]
+    assert len(got) == len(want) and set(got) == want
+    connecting = ngram_join.jaccard_links(docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL"))[2].count()
+    assert len(want) > connecting  # more than connect the components
+    ends = [x for a, b, _ in want for x in (a, b)]
+    assert sorted((r.rep, r.members, r.n_links) for r in counts.collect()) == sorted((i, m, ends.count(i)) for i, (_, m) in sets.items())
+    assert all(x.count() == 0 for x in ngram_join.jaccard_pairs(none))
+
+
 def test_connected_components(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 50)] + [(7, 7), (200, 300), (300, 200)]
     got = dict(components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
