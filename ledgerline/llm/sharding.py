@@ -27,13 +27,14 @@ def _pick(values: list[int], by: Column) -> Column:
 
 
 def propagate(linked: DataFrame, shards: int, capacity: list[int], rounds: int) -> DataFrame:
-    """Rounds of label propagation over linked rows (``row``, ``gid``, ``shard``); neighbours share ``gid``.
+    """Label propagation over linked rows (``row``, ``gid``, ``shard``) until no row wants to move; neighbours share ``gid``.
 
     A round counts each group's rows per shard. The group's target is the shard
     with most of its rows among those with room; rows in its weaker shards want
     to go there. A target takes only as many as it has room for: a hash of (row,
     round) picks that share of the movers. Groups are handled as (group, shard)
-    counts, never as pairs of rows.
+    counts, never as pairs of rows. A round fills about one shard of a large group;
+    ``rounds`` only bounds their number.
     """
     for r in range(rounds):
         loads = _loads(linked, shards)
@@ -57,7 +58,7 @@ def propagate(linked: DataFrame, shards: int, capacity: list[int], rounds: int)
     return linked
 
 
-def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str = "doc_id",
+def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` in one shard: id, ``size``, ``text_crc32``, ``shard``, ``slot``; rows per shard differ by one at most.
 
@@ -66,7 +67,8 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col:
     :func:`propagate`; rows without a link cost nothing wherever they lie, so
     they -- and linked rows beyond a shard's quota -- fill the shards to the exact
     quota afterwards. A group larger than a shard's quota is split over as few
-    shards as room allows. ``slot`` numbers a shard's rows from 0 without gaps,
+    shards as room allows; propagation ends when no row wants to move, or after
+    ``rounds`` (by default two a shard and six more). ``slot`` numbers a shard's rows from 0 without gaps,
     copies next to each other. ``size`` is the UTF-8 length plus 1 (null: 1).
 
     Edge cases: rows that repeat are linked rows of their own; fewer rows than
@@ -81,7 +83,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col:
     groups = staged(rows.groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1"), "shard-groups")
     first = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
     linked = propagate(staged(join_groups(rows.select("row", "gid"), groups, ["gid"], "n").select("row", "gid", first), "shard-labels"),
-                       shards, quota, rounds)
+                       shards, quota, 2 * shards + 6 if rounds is None else rounds)
 
     loads = _loads(linked, shards)
     placed = (_ranked(linked, ["shard", "gid", "row"], "rank")

@@ -295,6 +295,14 @@ def test_balanced_shards(spark, docs, rows, none):
     assert sharding.balanced_shards(none).count() == 0
 
 
+def test_balanced_shards_of_a_group_with_half_of_all_rows(spark):
+    big = spark.range(3200).select("id", F.when(F.col("id") < 1600, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    out = sharding.balanced_shards(big, id_col="id").collect()
+    same = __import__("zlib").crc32(b"same")
+    assert len({r.shard for r in out if r.text_crc32 == same}) <= 10  # eight shards of 200, each filled to a twentieth first
+    assert [sum(r.shard == s for r in out) for s in range(16)] == [200] * 16
+
+
 def test_language_id(spark, none):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "en"), (-3, "12 !! 34", "de"), (None, "the and of that", None)], "doc_id long, text string, lang string")
