@@ -6,7 +6,9 @@ low that they serve only where no piece fits, and they make every text -- also
 one that holds the word mark itself -- decodable to its exact bytes.
 
 No piece goes past the start of a run of blanks, so texts fall apart into
-independent chunks. Forward sums are computed once per distinct chunk of a block
+independent chunks. Long chunks fall apart further between two bytes that no
+piece found there spans; nothing is cut elsewhere, so the paths are those of the
+whole text. A chunk takes one step per byte, however long it is. Forward sums are computed once per distinct chunk of a block
 of texts; every occurrence draws its own path backwards, all at once.
 """
 
@@ -28,7 +30,7 @@ MARK = "▁"
 BYTE_WEIGHT = -30.0
 #: Bytes of text sampled at once; the tables of such a block stay in the processor's caches.
 SAMPLED = 1 << 19
-#: A run without a boundary is cut after so many bytes (no piece goes past the cut).
+#: A chunk of more bytes than this is split where no piece of the text reaches across, which changes no path.
 LONGEST = 4096
 
 
@@ -102,12 +104,15 @@ class Lattice:
         opens[1:] |= alone
         start = np.flatnonzero(opens[:n])
         size = np.diff(np.concatenate([start, [n]]))
-        if len(size) and size.max() > LONGEST:
-            parts = -(-size // LONGEST)
-            first = np.repeat(np.cumsum(parts) - parts, parts)
-            step = (np.arange(len(first)) - first) * LONGEST
-            start, left = np.repeat(start, parts) + step, np.repeat(size, parts) - step
-            size = np.minimum(left, LONGEST)
+        long = np.flatnonzero(size > LONGEST)
+        if len(long):
+            s, base = size[long], np.cumsum(size[long]) - size[long]
+            at = np.repeat(start[long] - base, s) + np.arange(int(s.sum()))
+            frm, to, _ = self.arcs(data[at], base, s)
+            # bytes that an arc spans without starting at them
+            span = np.bincount(frm + 1, minlength=len(at) + 2) - np.bincount(to, minlength=len(at) + 2)
+            start = np.union1d(start, at[np.cumsum(span)[:len(at)] == 0])
+            size = np.diff(np.concatenate([start, [n]]))
         return start, size
 
     def arcs(self, data: np.ndarray, base: np.ndarray, size: np.ndarray):

@@ -258,6 +258,25 @@ def test_sampler_follows_the_weights():
     assert abs(best - max(paths.values()) / total) < 0.02
 
 
+def test_long_runs_are_split_only_where_no_piece_reaches_across():
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        lat = lattice.Lattice(lattice.load_pieces(f.read()))
+    rng = np.random.default_rng(5)
+    letters = "".join(rng.choice(list("aeinorst"), 3 * lattice.LONGEST))
+    signs = "".join(rng.choice(list("的一是不了人我在有他这中大来上国"), 2 * lattice.LONGEST))
+    for text in (letters, signs, "y" * 9000, "the " * 9 + letters):
+        data = np.frombuffer(text.encode(), np.uint8)
+        n = len(data)
+        frm, to, _ = lat.arcs(data, np.array([0]), np.array([n]))  # the lattice of the whole text
+        start, size = lat.chunks(data, np.array([0, n]))
+        assert start[0] == 0 and (start[1:] == (start + size)[:-1]).all() and start[-1] + size[-1] == n
+        inside = [(a, b) for a, b in zip(frm.tolist(), to.tolist()) if b - a > 1 and not text.encode()[a:b].strip() == b""]
+        ends = np.searchsorted(start, [b - 1 for _, b in inside], "right")
+        assert (np.searchsorted(start, [a for a, _ in inside], "right") == ends).all()
+        ids, count = lat.sample(data, np.array([0, n]), np.array([3], np.uint64))
+        assert b"".join(bytes(lat.p.data[lat.p.start[i]:lat.p.start[i] + lat.p.size[i]]) for i in ids) == text.encode() and count[0] == len(ids)
+
+
 def test_pseudonyms(spark, none):
     texts = ["card 4785380592391139, again 4785 3805 9239 1139 and 4785380592391138", "on 2024-02-29, 29.02.2024 or 02/29/2024 not 2023-02-29",
              "ip 97.51.17.173 and 999.1.1.1; ssn 123-45-6789, 000-12-3456", "+1 (017) 555-7713 joe.Doe7@mail.example.com GB82 WEST 1234 5698 7654 32",
