@@ -8,7 +8,7 @@
 
 Each stage sees all that its predecessor kept; all but the last return the columns of ``documents``.
 Null columns, empty tables, repeated rows and further columns are handled as the operators state; rows that
-share an id share its decision.
+share an id share its decision in stages 3 and 4.
 """
 
 from __future__ import annotations

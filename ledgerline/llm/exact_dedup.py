@@ -44,6 +44,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           keep: str = "max") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_duplicates` does not keep (all columns stay)."""
-    gone = exact_duplicates(docs, id_col, text_col, keep).filter(~F.col("kept")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """``docs`` without the rows that :func:`exact_duplicates` does not keep (all columns stay); a row goes by id and text."""
+    gone = (exact_duplicates(docs, id_col, text_col, keep).filter(~F.col("kept"))
+            .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_s")).distinct())
+    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.sha2(body(text_col), 256) == F.col("_s"))
+    return docs.join(gone, mine, "left_anti").select(*docs.columns)

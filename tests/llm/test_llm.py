@@ -65,6 +65,12 @@ def test_exact_duplicates(docs, rows, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
+def test_drop_exact_duplicates_decides_by_id_and_text(spark):
+    rows = [(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C"), (None, "D"), (1, "D"), (3, None), (4, ""), (4, "E")]
+    left = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in left} == {(5, "B"), (9, "A"), (None, "C"), (1, "D"), (4, ""), (4, "E")} and len(left) == 6
+
+
 def test_decontamination(spark, docs, rows, none):
     items = [(1, rows[13][1][:300].upper()), (1, "dup id"), (2, "two words"), (None, rows[14][1]), (3, ""), (4, None), (5, "%% !!"), (6, rows[10][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
