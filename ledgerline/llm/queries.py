@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from ledgerline.llm.collocations import collocations
 from ledgerline.llm.common import table
 from ledgerline.llm.decontaminate import contamination
 from ledgerline.llm.exact_dedup import exact_duplicates
@@ -16,8 +17,10 @@ from ledgerline.llm.ngram_join import jaccard_components
 from ledgerline.llm.pii import pseudonymise
 from ledgerline.llm.registry import register
 from ledgerline.llm.sharding import balanced_shards
+from ledgerline.llm.spelling import spelling_groups
 from ledgerline.llm.substring_dedup import remove_repeats
 from ledgerline.llm.token_counts import token_counts
+from ledgerline.llm.topk_search import exact_topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -136,3 +139,27 @@ def op10_substring_dedup(spark, sf_dir):
 @register("op9_ngram_jaccard")
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op12_exact_topk", sql="""
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.w, d.w) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+""")
+def op12_exact_topk(spark, sf_dir):
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.expr("id % 50 = 0"))
+
+
+@register("op13_collocations")
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents")).drop("path", "step")
