@@ -66,8 +66,7 @@ class Pseudonyms:
 
     #: One group per kind; what a group finds counts only if its rule below holds.
     FIND = re.compile(
-        r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))"
-        r"|(?<![\w.])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
+        r"(?<![\w.])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
         r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
         r"|(?<![\w.-])(?P<iso>\d{4}-\d{2}-\d{2})(?![\w-])"
         r"|(?<![\w.-])(?P<dotted>\d{2}\.\d{2}\.\d{4})(?!\w)"
@@ -75,6 +74,12 @@ class Pseudonyms:
         r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
         r"|(?<![\w.])(?P<card>\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\w)"
         r"|(?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3})(?!\w)")
+    #: An e-mail name stands before this and holds only these, from a letter or digit on.
+    DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+    ALNUM = re.compile("[A-Za-z0-9]")
+    #: Letters and digits of an e-mail name that are permuted together.
+    TOGETHER = 64
     FIRST, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
     def __init__(self, key: bytes, way: int = 1):
@@ -95,16 +100,33 @@ class Pseudonyms:
         return self.FIRST + timedelta(self._map("date", self.DAYS, x)) if 0 <= x < self.DAYS else None
 
     def email(self, s: str) -> str | None:
-        radix = [26 if c.isalpha() else 10 for c in s if c.isalnum()]
+        """A long name goes in blocks; each has its own permutation, chosen by what stands before it in the clear name."""
+        plain = [c for c in s if c.isalnum()]
+        out, before = [], b""
+        for i in range(0, len(plain), self.TOGETHER):
+            block = plain[i:i + self.TOGETHER]
+            new = self._email_block("email" + hashlib.blake2b(before, digest_size=16).hexdigest() * (i > 0), block)
+            clear = "".join(block).lower() if self.way > 0 else "".join(new)
+            before = hashlib.blake2b(before + clear.encode(), digest_size=16).digest()
+            out += new
+        it = iter(out)
+        return "".join((next(it).upper() if c.isupper() else next(it)) if c.isalnum() else c for c in s)
+
+    def _email_block(self, kind: str, block: list[str]) -> list[str]:
+        radix = [26 if c.isalpha() else 10 for c in block]
         x, n = 0, 1
-        for c, r in zip((c for c in s if c.isalnum()), radix):
+        for c, r in zip(block, radix):
             x, n = x * r + (ord(c.lower()) - 97 if r == 26 else int(c)), n * r
-        x, out = self._map("email", n, x), []
+        if kind == "email":
+            x = self._map(kind, n, x)
+        else:  # used once: not kept
+            net = Feistel(self.key, kind, n)
+            x = net.hide(x) if self.way > 0 else net.show(x)
+        out = []
         for r in reversed(radix):
             x, v = divmod(x, r)
             out.append(chr(97 + v) if r == 26 else str(v))
-        it = iter(reversed(out))
-        return "".join((next(it).upper() if c.isupper() else next(it)) if c.isalnum() else c for c in s)
+        return out[::-1]
 
     def iban(self, s: str) -> str | None:
         flat = s.replace(" ", "")
@@ -167,15 +189,39 @@ class Pseudonyms:
             return None
         return code + _redraw(s[len(code):], self._digits("phone" + code, digits))
 
+    def _found(self, text: str):
+        """(kind, start, end) from left to right. Names are read from their @ leftwards, so each character once."""
+        at, other = 0, None
+        for domain in [*self.DOMAIN.finditer(text), None]:
+            end = domain.start() if domain else len(text)
+            low = end
+            while domain and low > at and text[low - 1] in self.NAME:
+                low -= 1
+            while True:
+                if other is None or other.start() < at:
+                    other = self.FIND.search(text, at) or False
+                name = self.ALNUM.search(text, max(low, at), end) if domain else None
+                if other and other.start() < (name.start() if name else end):
+                    yield other.lastgroup, other.start(), other.end()
+                    at, other = other.end(), None
+                    continue
+                if name:
+                    yield "email", name.start(), end
+                    at = end
+                break
+            if other is False and domain is None:
+                return
+            other = other or None
+
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The new text and (kind, start, end) of each value in the old one."""
         out, spans, at = [], [], 0
-        for m in self.FIND.finditer(text):
-            new = getattr(self, m.lastgroup)(m[0])
+        for kind, start, end in self._found(text):
+            new = getattr(self, kind)(text[start:end])
             if new is not None:
-                out += [text[at:m.start()], new]
-                spans.append((m.lastgroup, m.start(), m.end()))
-                at = m.end()
+                out += [text[at:start], new]
+                spans.append((kind, start, end))
+                at = end
         return ("".join([*out, text[at:]]) if spans else text), spans
 
 
@@ -221,4 +267,4 @@ def pseudonymise(docs: DataFrame, key: bytes, way: int = 1, id_col: str = "doc_i
 
 
 def kinds() -> list[str]:
-    return list(Pseudonyms.FIND.groupindex)
+    return ["email", *Pseudonyms.FIND.groupindex]
