@@ -22,6 +22,17 @@ def body(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores put before those that ``df`` has a column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder of ``spark.checkpoint.dir`` and read back.
 

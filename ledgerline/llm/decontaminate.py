@@ -86,7 +86,7 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as strings), ``contaminated``.
+    """One row per document: id, ``text_hash`` (xxhash64 of the text), ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as strings), ``contaminated``.
 
     A document word is hit if it lies in an occurrence of any window of any item
     (``window`` consecutive words; a shorter item is one window). A document is
@@ -108,6 +108,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
                               F.greatest(a["to"], s["end"]).alias("to")),
         lambda a: a["n"])
     items_out = F.array_sort(F.transform("_items", lambda i: i.cast("string")))
-    out = grouped.select(F.col("_id").alias(id_col), "n_words", covered.cast("bigint").alias("n_hit"), items_out.alias("items"))
-    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items",
+    out = grouped.select(F.col("_id").alias(id_col), F.col("_row").alias("text_hash"), "n_words", covered.cast("bigint").alias("n_hit"), items_out.alias("items"))
+    return out.select(id_col, "text_hash", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items",
                       ((F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import body, join_groups, staged
+from ledgerline.llm.common import body, fresh, join_groups, staged
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -45,7 +45,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           keep: str = "max") -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` does not keep (all columns stay); a row goes by id and text."""
-    gone = (exact_duplicates(docs, id_col, text_col, keep).filter(~F.col("kept"))
-            .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_s")).distinct())
-    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.sha2(body(text_col), 256) == F.col("_s"))
+    one, other = fresh(docs, "_id", "_s")
+    gone = (exact_duplicates(docs.select(id_col, text_col), id_col, text_col, keep).filter(~F.col("kept"))
+            .select(F.col(id_col).alias(one), F.col("text_sha256").alias(other)).distinct())
+    mine = F.col(id_col).eqNullSafe(F.col(one)) & (F.sha2(body(text_col), 256) == F.col(other))
     return docs.join(gone, mine, "left_anti").select(*docs.columns)

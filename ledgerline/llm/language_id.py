@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import kernels as K
-from ledgerline.llm.common import arrow_batches
+from ledgerline.llm.common import arrow_batches, fresh
 
 #: Families of common language codes; a code not listed is a family of its own.
 FAMILIES = {
@@ -179,6 +179,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     arrow_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     sent = spark.sparkContext.broadcast(model)
+    text, ok_col = fresh(docs, "_text", "_ok")
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
     def label(batches):
@@ -187,8 +188,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             n = len(batch)
             lang, score = np.full(n, UNDETERMINED, object), np.zeros(n)
             if m is not None:
-                data, off = K.text_bytes(batch.column("_text"))
-                ok = batch.column("_ok").to_numpy(zero_copy_only=False)
+                data, off = K.text_bytes(batch.column(text))
+                ok = batch.column(ok_col).to_numpy(zero_copy_only=False)
                 for lo, hi in K.slices(off):
                     best, s = predict(m, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                     lang[lo:hi] = np.where(ok[lo:hi], np.array(m.languages, object)[best], UNDETERMINED)
@@ -196,7 +197,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             cols = [batch.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"), lettered.alias("_ok"))
+    rows = docs.select(*keep, F.col(text_col).alias(text), lettered.alias(ok_col))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(label, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ledgerline.llm import kernels as K
-from ledgerline.llm.common import arrow_batches
+from ledgerline.llm.common import arrow_batches, fresh
 
 MARK = "▁"
 #: Log weight of a byte piece.
@@ -228,13 +228,14 @@ def sample_encode(docs: DataFrame, model_file: str, seed: int = 1, alpha: float
     """
     pieces = _load(docs, model_file, alpha)
     keep = [c for c in docs.columns if c != out_col]
+    text, seed_col = fresh(docs, "_text", "_seed")
 
     def encode(batches):
         lattice = Lattice(pieces.value)
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column(text)
             data, off = K.text_bytes(column)
-            seeds = K.mix(batch.column("_seed").to_numpy().view(np.uint64))
+            seeds = K.mix(batch.column(seed_col).to_numpy().view(np.uint64))
             ids, sizes = [np.zeros(0, np.int32)], []
             for lo, hi in K.slices(off, SAMPLED):
                 i, s = lattice.sample(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], seeds[lo:hi])
@@ -245,7 +246,7 @@ def sample_encode(docs: DataFrame, model_file: str, seed: int = 1, alpha: float
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.concatenate([gone, [False]])), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [lists], [*keep, out_col])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"), F.xxhash64(F.lit(seed), id_col).alias("_seed"))
+    rows = docs.select(*keep, F.col(text_col).alias(text), F.xxhash64(F.lit(seed), id_col).alias(seed_col))
     return rows.mapInArrow(encode, docs.select(*keep).schema.add(out_col, ArrayType(IntegerType())))
 
 
