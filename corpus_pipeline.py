@@ -7,27 +7,31 @@
 5. ``sentencepiece``: the rest is encoded; ``doc_id``, ``lang``, ``source``, ``ids``, ``n_pieces``, ``lossless``.
 
 Each stage sees all that its predecessor kept; all but the last return the columns of ``documents``.
-Null columns, empty tables, repeated rows and further columns are handled as the operators state; rows that
-share an id share its decision in stages 3 and 4.
+Null columns, empty tables, repeated rows and further columns are handled as the operators state. Every decision
+belongs to an id (or a missing one) with its text, so rows that share only the id are judged apart; a missing id
+sorts before all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import staged, table
+from ledgerline.llm.common import body, fresh, staged, table
 from ledgerline.llm.decontaminate import contamination
 from ledgerline.llm.exact_dedup import drop_exact_duplicates
 from ledgerline.llm.language_id import UNDETERMINED, identify, learn
 from ledgerline.llm.lattice import decode, sample_encode
 from ledgerline.llm.ngram_join import jaccard_components
 from ledgerline.llm.queries import tokenizer_file
+from ledgerline.operators.ids import allocate_ids
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``gone``; rows without an id stay."""
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, gone: DataFrame, text: Column) -> DataFrame:
+    """``docs`` without the rows whose id and ``text`` (a hash of theirs) are those of ``gone`` (two columns)."""
+    one, other = fresh(docs, "_id", "_hash")
+    mine = F.col("doc_id").eqNullSafe(F.col(one)) & (text == F.col(other))
+    return docs.join(gone.toDF(one, other), mine, "left_anti").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +44,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs)
-    return _without(docs, found.filter(F.col("doc_id") != F.col("component_id")))
+    sha = F.sha2(body(), 256)
+    one_each = docs.select("doc_id", "text", sha.alias("sha")).dropDuplicates(["doc_id", "sha"])
+    # ids may repeat or be missing: rows get numbers of their own, in the order of the ids
+    keyed = staged(allocate_ids(one_each, ["doc_id", "sha"], "key", spark.range(1).select(F.lit(0).alias("_base"))), "pipeline-keys")
+    found = jaccard_components(keyed, id_col="key").filter(F.col("key") != F.col("component_id"))
+    return _without(docs, keyed.join(found.select("key"), "key", "left_semi").select("doc_id", "sha"), sha)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return _without(docs, found.select("doc_id", "text_hash"), F.xxhash64("text"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
