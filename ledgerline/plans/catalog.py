@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import money_sql as _money
-from ledgerline.functions.money import wide_money_sql
 from ledgerline.operators import audit as A
 from ledgerline.operators import dashboard as D
 from ledgerline.operators import groups as G
 from ledgerline.operators import joins as J
 from ledgerline.operators import reports as R
+from ledgerline.plans.oracle_views import money_sql as _money
 from ledgerline.plans.registry import register
 from ledgerline.schema import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS
 from ledgerline.sources.testdata import ledger_from_testdata
@@ -141,12 +140,9 @@ def q_top_expenses_per_user(spark, sf):
 
 
 @register("category_spending", f"""
-SELECT e.uid, {_money('e.amount')} AS total, c.category_name
-FROM expenses e JOIN categories c ON e.cid = c.cid
-WHERE lower(c.category_name) = lower('2-HIGH')
-GROUP BY e.uid, c.category_name
-HAVING {_money('e.amount')} IS NOT NULL AND {_money('e.amount')} <> 0
-""")
+WITH high AS (SELECT uid, category_name, {_money('amount')} AS total FROM named GROUP BY ALL)
+SELECT * FROM high WHERE category_name = '2-high' AND total <> 0
+""", VIEWS)
 def q_category_spending(spark, sf):
     return R.category_spending(ledger(spark, sf), "2-HIGH")
 
@@ -160,23 +156,18 @@ def q_above_average_expenses(spark, sf):
 
 
 @register("monthly_category_spending", f"""
-SELECT e.uid, strftime(e.date, '%Y-%m') AS month, c.category_name,
-       {_money('e.amount')} AS total, COUNT(e.eid) AS "count"
-FROM expenses e JOIN categories c ON e.cid = c.cid
-GROUP BY e.uid, strftime(e.date, '%Y-%m'), c.category_name
-""")
+WITH dated AS (SELECT uid, left(CAST(date AS VARCHAR), 7) AS month, category_name, amount FROM named)
+SELECT uid, month, category_name, {_money('amount')} AS total, count(*) AS "count" FROM dated GROUP BY ALL
+""", VIEWS)
 def q_monthly_category_spending(spark, sf):
     return R.monthly_category_spending(ledger(spark, sf))
 
 
-# amounts from 1e13 up and shares below 1e-6: the first are summed in double beside the decimals
-@register("monthly_category_spending_wide", f"""
-SELECT e.uid, strftime(e.date, '%Y-%m') AS month, c.category_name,
-       {wide_money_sql('e.amount')} AS total, COUNT(e.eid) AS "count"
-FROM (SELECT * REPLACE (amount * CASE WHEN eid % 2 = 0 THEN 1e9 ELSE 1e-12 END AS amount) FROM expenses) e
-JOIN categories c ON e.cid = c.cid
-GROUP BY e.uid, strftime(e.date, '%Y-%m'), c.category_name
-""")
+# amounts from 1e9 times to 1e-12 times the usual
+@register("monthly_category_spending_wide", """
+WITH scaled AS (SELECT uid, left(CAST(date AS VARCHAR), 7) AS month, category_name, amount * if(eid % 2 = 0, 1e9, 1e-12) AS v FROM named)
+SELECT uid, month, category_name, fsum(v) AS total, count(*) AS "count" FROM scaled GROUP BY ALL
+""", VIEWS)
 def q_monthly_category_spending_wide(spark, sf):
     L = ledger(spark, sf)
     scaled = F.col("amount") * F.when(F.col("eid") % 2 == 0, F.lit(1e9)).otherwise(F.lit(1e-12))
@@ -203,21 +194,15 @@ def q_frequent_category(spark, sf):
 
 
 @register("payment_method_usage", f"""
-SELECT e.uid, p.method, {_money('e.amount')} AS total_spent, COUNT(e.eid) AS expense_count
-FROM expenses e JOIN payment_methods p ON e.pid = p.pid
-GROUP BY e.uid, p.method
-""")
+SELECT uid, method, {_money('amount')} AS total_spent, count(*) AS expense_count FROM named GROUP BY ALL
+""", VIEWS)
 def q_payment_method_usage(spark, sf):
     return R.payment_method_usage(ledger(spark, sf))
 
 
 @register("tag_expenses", """
-SELECT e.uid, t.tag_name, COUNT(et.eid) AS expense_count
-FROM tags t
-JOIN expenses_tags et ON t.tid = et.tid
-JOIN expenses e ON e.eid = et.eid
-GROUP BY e.uid, t.tag_name
-""")
+SELECT uid, tag_name, count(*) AS expense_count FROM (SELECT eid, uid FROM named) JOIN tag_pairs USING (eid) GROUP BY ALL
+""", VIEWS)
 def q_tag_expenses(spark, sf):
     return R.tag_expenses(ledger(spark, sf))
 
@@ -315,12 +300,9 @@ def q_group_filter_tag(spark, sf):
 
 
 @register("group_category_spending", f"""
-SELECT g.group_name, {_money('ge.amount')} AS total, c.category_name
-FROM group_expenses ge JOIN categories c ON ge.cid = c.cid JOIN groups g ON g.gid = ge.gid
-WHERE LOWER(c.category_name) = lower('{SAMPLE_GROUP_CATEGORY}')
-GROUP BY g.group_name, c.category_name
-HAVING {_money('ge.amount')} IS NOT NULL AND {_money('ge.amount')} <> 0
-""")
+WITH spent AS (SELECT group_name, category_name, {_money('amount')} AS total FROM group_named GROUP BY ALL)
+SELECT * FROM spent WHERE category_name = lower('{SAMPLE_GROUP_CATEGORY}') AND total <> 0
+""", VIEWS)
 def q_group_category_spending(spark, sf):
     return G.group_category_spending(ledger(spark, sf), SAMPLE_GROUP_CATEGORY)
 

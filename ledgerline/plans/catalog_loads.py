@@ -364,27 +364,41 @@ def q_export_expenses_files(spark, sf):
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
-@register("export_group", """
-SELECT g.group_name, CAST(g.date_created AS VARCHAR) AS date_created, COALESCE(g.description, '') AS description,
-       CAST(ge.geid AS VARCHAR) AS expense_id, u.username AS creator_username,
-       CAST(ge.amount AS VARCHAR) AS amount, c.category_name, p.method AS payment_method,
-       CAST(ge.date AS VARCHAR) AS expense_date, COALESCE(ge.description, '') AS expense_description,
-       COALESCE((SELECT string_agg(t.tag_name, ', ' ORDER BY t.tag_name)
-                   FROM group_expense_tags gt JOIN tags t ON gt.tid = t.tid WHERE gt.geid = ge.geid), '') AS tags,
-       COALESCE((SELECT string_agg(u2.username, ', ' ORDER BY u2.username, su.split_amount)
-                   FROM split_users su JOIN users u2 ON su.uid = u2.uid WHERE su.geid = ge.geid), '') AS split_usernames,
-       COALESCE((SELECT string_agg(CAST(su.split_amount AS VARCHAR), ', ' ORDER BY u2.username, su.split_amount)
-                   FROM split_users su JOIN users u2 ON su.uid = u2.uid WHERE su.geid = ge.geid), '') AS split_amounts
-FROM group_expenses ge
-JOIN categories c ON ge.cid = c.cid
-JOIN payment_methods p ON ge.pid = p.pid
-JOIN groups g ON g.gid = ge.gid
-JOIN users u ON u.uid = ge.uid
-""")
+# each list is sorted once as pairs of name and share, then read by part
+_GROUP_EXPORT_SQL = f"""
+WITH shares AS (SELECT geid, list_sort(list({{'who': username, 'part': split_amount}})) AS pairs
+                FROM split_users JOIN (SELECT uid, username FROM users) USING (uid) GROUP BY geid),
+labels AS (SELECT geid, array_to_string(list_sort(list(tag_name)), ', ') AS tags
+           FROM group_expense_tags JOIN tags USING (tid) GROUP BY geid),
+about AS (SELECT gid, CAST(date_created AS VARCHAR) AS date_created, ifnull(description, '') AS about FROM groups)
+SELECT group_name, date_created, about AS description, geid::VARCHAR AS expense_id, username AS creator_username,
+       amount::VARCHAR AS amount, category_name, method AS payment_method, spent_on::VARCHAR AS expense_date,
+       ifnull(description, '') AS expense_description, ifnull(tags, '') AS tags,
+       ifnull(array_to_string(list_transform(pairs, lambda p: p.who), ', '), '') AS split_usernames,
+       ifnull(array_to_string(list_transform(pairs, lambda p: p.part::VARCHAR), ', '), '') AS split_amounts
+FROM group_named JOIN about USING (gid) JOIN (SELECT uid, username FROM users) USING (uid)
+LEFT JOIN labels USING (geid) LEFT JOIN shares USING (geid)
+"""
+
+
+@register("export_group", _GROUP_EXPORT_SQL, VIEWS)
 def q_export_group(spark, sf):
     return X.group_export(_ledger(spark, sf))
 
 
+# the default order and every sort field, written as files and read back (empty fields come back as NULL)
+@register("export_group_files", f"""
+SELECT f AS sorted_by, {", ".join(f'NULLIF("{c}", \'\') AS "{c}"' for c in X.GROUP_HEADER)}
+FROM ({_GROUP_EXPORT_SQL}), unnest({["group", *sorted(X.GROUP_SORT)]}) AS fields(f)
+""", VIEWS)
+def q_export_group_files(spark, sf):
+    path = scratch_path(spark, "group-export")
+    for name in ("group", *X.GROUP_SORT):
+        export = X.group_export(_ledger(spark, sf), sort_field=None if name == "group" else name)
+        csv_io.write_csv(export, f"{path}/sorted_by={name}")
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 # ---------------------------------------------------------------- J8 lookups, J9 new names
 
 @register("lookup_ids", f"""

@@ -44,6 +44,13 @@ LEDGER_CTES = {
 }
 
 
+def money_sql(expr: str) -> str:
+    """The exact sum of doubles in SQL text, rounded once: one 128-bit integer of 2^-64 units, read back from its
+    decimal digits. Exact for amounts of 2^-11 and more and sums below 2^63."""
+    unit = "18446744073709551616.0"
+    return f"CAST(CAST(SUM(CAST(({expr}) * {unit} AS HUGEINT)) AS VARCHAR) AS DOUBLE) / {unit}"
+
+
 def with_ledger(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the ledger CTEs (and optional extra CTEs after them)."""
     ctes = dict(LEDGER_CTES)
