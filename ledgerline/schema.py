@@ -114,6 +114,11 @@ EXPENSE_KEY = {"expenses_tags": "eid", "split_users": "geid", "group_expense_tag
 PARTITION_BY: dict[str, str] = {"expenses": MONTH, "group_expenses": MONTH, "expenses_tags": BLOCK,
                                 "split_users": BLOCK, "group_expense_tags": BLOCK}
 
+#: ``id_blocks`` names, for every stored table with an expense id, the folders that hold an id of each block of this many ids.
+INDEX, INDEX_BLOCK = "id_blocks", 1_000_000
+INDEX_KEY = {"expenses": "eid", "group_expenses": "geid", **EXPENSE_KEY}
+INDEX_SCHEMA = _schema(("table_name", S, False), ("block", L, False), ("folder", S, False))
+
 
 def month_of(date: Column) -> Column:
     """Value of ``part_month``: the first day of the month."""
@@ -210,6 +215,7 @@ class Ledger:
         if self.id_marks is not None:
             marks = marks.unionByName(self.id_marks)
         write_marks(marks, f"{path}/id_marks/{LOAD}={load}", mode)
+        write_index(spark, path, load, list(INDEX_KEY), mode)
         return path
 
     @staticmethod
@@ -271,6 +277,25 @@ def write_marks(marks: DataFrame, path: str, mode: str) -> None:
      .select([F.col(f.name) for f in ID_MARKS_SCHEMA.fields]).write.mode(mode).parquet(path))
 
 
+def folder_of(table: str) -> Column:
+    """A stored row's folder below its load, as text."""
+    return F.col(PARTITION_BY[table]).cast("string")
+
+
+def index_block(key: Column) -> Column:
+    return F.floor(key / F.lit(INDEX_BLOCK)).cast("long")
+
+
+def write_index(spark: SparkSession, root: str, load: int, tables: list[str], mode: str = "overwrite") -> None:
+    """The blocks of ids that load ``load`` holds, read from the key columns of its written files."""
+    rows = spark.createDataFrame([], INDEX_SCHEMA)
+    for t in tables:
+        held = spark.read.schema(stored_schema(t)).parquet(f"{root}/{t}").filter(F.col(LOAD) == F.lit(load))
+        rows = rows.unionByName(held.select(F.lit(t).alias("table_name"), index_block(F.col(INDEX_KEY[t])).alias("block"),
+                                            folder_of(t).alias("folder")).distinct())
+    rows.write.mode(mode).parquet(f"{root}/{INDEX}/{LOAD}={load}")
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Select and cast the columns of ``table`` in schema order."""
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])

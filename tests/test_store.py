@@ -132,3 +132,60 @@ def test_users_and_roles_over_a_stored_ledger(spark, tmp_path):
     want = _rows(drop.ledger)
     store.save(drop, root, 3)
     assert _rows(Ledger.read(spark, root)) == want
+
+
+def _batch(spark, i):
+    rows = [(1, 1, 5.0 + i, "food", "cash", D(2024, 3, 5), None, ["fresh"]), (2, 2, 6.0, "food", "cash", D(2024, 4 + i % 2, 1), None, [])]
+    return spark.createDataFrame(rows, TYPED)
+
+
+def test_deletes_of_ids_open_the_folders_of_their_blocks_only(spark, tmp_path, monkeypatch):
+    from ledgerline import schema
+
+    monkeypatch.setattr(schema, "INDEX_BLOCK", 2)  # the small ledger's ids then lie in several blocks
+    root = _stored(spark, tmp_path)
+    for n in (1, 2, 3):
+        store.save(M.add_expenses(Ledger.read(spark, root, before=n), _batch(spark, n)), root, n)
+    led = Ledger.read(spark, root, before=4)
+    newest = max(r.eid for r in led.expenses.collect())
+    keys = spark.createDataFrame([(newest,)], "eid long")
+    opened = store.folders_with(spark, root, "expenses", keys, 4)
+    assert any("concat_ws" in line for line in _plan(opened).splitlines() if "PartitionFilters" in line)
+    assert {r[0] for r in opened.select("load_id").distinct().collect()} == {3}
+    all_files = _files(f"{root}/expenses")
+    owner = led.expenses.filter(f"eid = {newest}").first().uid
+    gone = spark.createDataFrame([(1, owner, newest)], "seq long, actor_uid long, eid long")
+    res = C.delete_expenses(led, gone)
+    want = _rows(res.ledger)
+    store.save(res, root, 4)
+    assert _rows(Ledger.read(spark, root)) == want
+    after = _files(f"{root}/expenses")
+    assert all(after[f] == t for f, t in all_files.items() if "load_id=3" not in f)
+
+
+def test_folding_loads_keeps_every_row_in_few_files(spark, tmp_path):
+    root, n = _stored(spark, tmp_path), 6
+    for i in range(1, n + 1):
+        store.save(M.add_expenses(Ledger.read(spark, root, before=i), _batch(spark, i)), root, i)
+    want, marks = _rows(Ledger.read(spark, root)), sorted(map(str, Ledger.read(spark, root).id_marks.groupBy("table_name").max("max_id").collect()))
+    folder = str(tmp_path / "fold")
+    store.stage_fold(spark, root, 0, n, folder)
+    for _ in range(2):  # an interrupted fold is applied again
+        store.apply_fold(spark, folder, root, n)
+        led = Ledger.read(spark, root)
+        assert _rows(led) == want and led.marks_current
+    assert sorted(map(str, led.id_marks.groupBy("table_name").max("max_id").collect())) == marks
+    months = [os.path.dirname(f) for f in _files(f"{root}/expenses")]
+    assert all("load_id=6" in m for m in months) and len(set(months)) == len(months)  # one file a month here
+    # the ledger goes on: a load, a delete by id, and another fold
+    res = M.add_expenses(Ledger.read(spark, root, before=n + 1), _batch(spark, 9))
+    want = _rows(res.ledger)
+    store.save(res, root, n + 1)
+    store.fold(spark, root, 3, n + 1)
+    assert _rows(Ledger.read(spark, root)) == want
+    led = Ledger.read(spark, root, before=n + 2)
+    one = led.expenses.orderBy("eid").first()
+    res = C.delete_expenses(led, spark.createDataFrame([(1, one.uid, one.eid)], "seq long, actor_uid long, eid long"))
+    want = _rows(res.ledger)
+    store.save(res, root, n + 2)
+    assert _rows(Ledger.read(spark, root)) == want
