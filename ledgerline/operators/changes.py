@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.money import exact_sum
 from ledgerline.functions.parse import parse_amount, parse_date
 from ledgerline.functions.text import norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, mark_deleted, next_id_base
@@ -75,9 +76,10 @@ def _judge_with_dups(b: DataFrame, rules: list[tuple[Column, str]], key: list[st
     others are batch duplicates (as if the rows were applied one after another)."""
     pre = b.withColumn("reason", _first_failing(*rules))
     passing = pre.filter(F.col("reason").isNull())
-    first = passing.groupBy(*key).agg(F.min("seq").alias("_first"))
-    return (pre.join(first, key, "left")
-            .withColumn("reason", F.when(F.col("reason").isNull() & (F.col("seq") != F.col("_first")),
+    # the batch meets the winners on its unique seq: a key in every row is one row here
+    first = passing.groupBy(*key).agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_first"))
+    return (pre.join(first, "seq", "left")
+            .withColumn("reason", F.when(F.col("reason").isNull() & F.col("_first").isNull(),
                                          F.lit(R_DUPLICATE_IN_BATCH)).otherwise(F.col("reason")))
             .drop("_first"))
 
@@ -172,7 +174,7 @@ def _without(ledger: Ledger, removed: dict[str, DataFrame]) -> dict[str, DataFra
 
 def _last_per_key(df: DataFrame, key: list[str]) -> DataFrame:
     last = df.groupBy(*key).agg(F.max("seq").alias("seq"))
-    return df.join(last, key + ["seq"], "left_semi")
+    return df.join(last.select("seq"), "seq", "left_semi")
 
 
 def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False) -> ChangeResult:
@@ -252,7 +254,7 @@ def delete_expenses(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     b = batch.join(ledger.expenses.select("eid", F.col("uid").alias("_owner"), month_of(F.col("date")).alias(MONTH)), "eid", "left")
     reason = _first_failing((F.col("_owner").isNull(), R_NOT_FOUND),
                             (F.col("_owner") != F.col("actor_uid"), R_NOT_OWNER))
-    judged = b.withColumn("reason", reason)
+    judged = _materialise(b.withColumn("reason", reason))
     dated = judged.filter(F.col("reason").isNull()).select("eid", MONTH).distinct()
     gone = dated.select("eid")
     ledger = mark_deleted(ledger, ["expenses"])
@@ -270,7 +272,7 @@ def update_users(ledger: Ledger, batch: DataFrame) -> ChangeResult:
         (~F.coalesce(F.col("field").isin(*USER_FIELDS), F.lit(False)), R_BAD_FIELD),
         (F.col("_known").isNull(), R_NOT_FOUND),
         (~F.coalesce(F.col("value").isin(*ROLES), F.lit(False)), R_BAD_VALUE))
-    judged = b.withColumn("reason", reason)
+    judged = _materialise(b.withColumn("reason", reason))
     ok = _last_per_key(judged.filter(F.col("reason").isNull()), ["uid", "field"])
     new = ledger.users.join(ok.select("uid", F.col("value").alias("_role")), "uid", "left").select(
         "uid", "username", F.coalesce("_role", "role").alias("role"))
@@ -308,7 +310,7 @@ def update_groups(ledger: Ledger, batch: DataFrame) -> ChangeResult:
         (~F.col("_scope"), R_NO_SCOPE),
         (is_rename & (F.col("value").isNull() | (strip("value") == "")), R_BAD_VALUE),
         (is_rename & (F.col("_taken").isNotNull() | F.col("_clash").isNotNull()), R_EXISTS))
-    judged = b.withColumn("reason", reason)
+    judged = _materialise(b.withColumn("reason", reason))
     ok = _last_per_key(judged.filter(F.col("reason").isNull()), ["gid", "field"])
     names = ok.filter(is_rename).select("gid", F.col("value").alias("_name"))
     descs = ok.filter(F.col("field") == "description").select("gid", F.col("value").alias("_desc"),
@@ -323,22 +325,41 @@ def update_groups(ledger: Ledger, batch: DataFrame) -> ChangeResult:
 
 
 def delete_users(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> ChangeResult:
-    """Batch (seq, uid). Without cascade other tables keep their rows (the FK audit lists them)."""
+    """Batch (seq, uid). Without cascade other tables keep their rows (the FK audit lists them).
+
+    With cascade the users' expenses, memberships and the group expenses they created go. In the
+    other group expenses their shares pass to the remaining participants in proportion to their own
+    shares (evenly if those are 0), so that shares still add up; an expense nobody is left in goes.
+    """
     b = batch.join(ledger.users.select("uid", F.lit(True).alias("_known")), "uid", "left")
-    judged = b.withColumn("reason", F.when(F.col("_known").isNull(), F.lit(R_NOT_FOUND)))
+    judged = _materialise(b.withColumn("reason", F.when(F.col("_known").isNull(), F.lit(R_NOT_FOUND))))
     gone = judged.filter(F.col("reason").isNull()).select("uid").distinct()
-    ledger = mark_deleted(ledger, ["users", "expenses"] if cascade else ["users"])
+    ledger = mark_deleted(ledger, ["users", "expenses", "group_expenses"] if cascade else ["users"])
     removed = {"users": gone}
-    if cascade:
-        dead = ledger.expenses.join(gone, "uid", "left_semi").select("eid")
-        removed |= {"expenses": gone, "expenses_tags": dead, "user_group": gone, "split_users": gone}
-    return _changed(ledger, _without(ledger, removed), _rejects(judged), removed)
+    if not cascade:
+        return _changed(ledger, _without(ledger, removed), _rejects(judged), removed)
+    dead = ledger.expenses.join(gone, "uid", "left_semi").select("eid")
+    created = ledger.group_expenses.join(gone, "uid", "left_semi").select("geid")
+    left = ledger.split_users.join(gone, "uid", "left_semi").select("geid").distinct().join(created, "geid", "left_anti")
+    # one row per expense that lost a participant: its amount, and what those who stay hold of it
+    stay = ledger.split_users.join(left, "geid", "left_semi").join(gone, "uid", "left_anti")
+    held = stay.groupBy("geid").agg(exact_sum("split_amount").alias("_held"), F.count("uid").alias("_n"))
+    lost = _materialise(ledger.group_expenses.select("geid", "amount").join(left, "geid", "left_semi").join(held, "geid", "left"))
+    shares = conform(stay.join(lost, "geid").withColumn("split_amount", F.when(
+        F.col("_held") > 0, F.col("split_amount") * F.col("amount") / F.col("_held")).otherwise(F.col("amount") / F.col("_n"))),
+        "split_users")
+    empty = created.unionByName(lost.filter(F.col("_n").isNull()).select("geid"))
+    removed |= {"expenses": gone, "expenses_tags": dead, "user_group": gone, "group_expense_tags": empty,
+                "split_users": created.unionByName(lost.select("geid")), "group_expenses": empty}
+    tables = _without(ledger, removed)
+    tables["split_users"] = conform(tables["split_users"], "split_users").unionByName(shares)
+    return _changed(ledger, tables, _rejects(judged), removed, {"split_users": shares})
 
 
 def delete_tags(ledger: Ledger, batch: DataFrame, cascade: bool = False) -> ChangeResult:
     """Batch (seq, tag_name), matched after strip + lower."""
     b = batch.withColumn("tag_name", norm_name("tag_name")).join(ledger.tags, "tag_name", "left")
-    judged = b.withColumn("reason", F.when(F.col("tid").isNull(), F.lit(R_NOT_FOUND)))
+    judged = _materialise(b.withColumn("reason", F.when(F.col("tid").isNull(), F.lit(R_NOT_FOUND))))
     gone = judged.filter(F.col("reason").isNull()).select("tid").distinct()
     ledger = mark_deleted(ledger, ["tags"])
     removed = {"tags": gone}
@@ -354,7 +375,7 @@ def delete_groups(ledger: Ledger, batch: DataFrame) -> ChangeResult:
     splits, expense tags, expenses and memberships."""
     b = _scope_ok(ledger, batch.join(ledger.groups.select("gid", "group_name"), "group_name", "left"))
     reason = _first_failing((F.col("gid").isNull(), R_UNKNOWN_GROUP), (~F.col("_scope"), R_NO_SCOPE))
-    judged = b.withColumn("reason", reason)
+    judged = _materialise(b.withColumn("reason", reason))
     gids = judged.filter(F.col("reason").isNull()).select("gid").distinct()
     geids = ledger.group_expenses.join(gids, "gid", "left_semi").select("geid")
     ledger = mark_deleted(ledger, ["groups", "group_expenses"])

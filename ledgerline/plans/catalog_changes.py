@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from ledgerline.operators import changes as C
 from ledgerline.operators import loads as M
 from ledgerline.operators import reports as R
-from ledgerline.plans.catalog import VIEWS
+from ledgerline.plans.catalog import VIEWS, _list_sql
 from ledgerline.plans.catalog_loads import _amount_sql, _strip_sql
+from ledgerline.plans.oracle_views import money_sql
 from ledgerline.plans.registry import register
+from ledgerline.schema import Ledger
+from ledgerline.session import scratch_path
 from ledgerline.sources import batches as B
+from ledgerline.sources import store
 from ledgerline.sources.testdata import ledger_from_testdata, read_table
 
 AS_OF = _dt.date(2001, 7, 15)
@@ -382,10 +386,27 @@ def q_change_update_groups(spark, sf):
 SELECT * FROM users WHERE uid NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
 """)
 def q_change_delete_users(spark, sf):
+    return C.delete_users(_led(spark, sf), _user_delete_batch(spark, sf)).ledger.users
+
+
+def _user_delete_batch(spark, sf):
     c = read_table(spark, sf, "customer")
-    b = c.filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
+    return c.filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
         F.col("c_custkey").cast("long").alias("seq"), F.col("c_custkey").cast("long").alias("uid"))
-    return C.delete_users(_led(spark, sf), b).ledger.users
+
+
+# shares of group expenses after their creators and participants went: those who stay hold the whole amount
+@register("change_delete_users_cascade", f"""
+WITH gone AS (SELECT c_custkey AS uid FROM customer WHERE c_mktsegment = 'AUTOMOBILE'),
+kept AS (SELECT geid, amount FROM group_expenses ANTI JOIN gone USING (uid)),
+stay AS (SELECT geid, uid, split_amount FROM split_users ANTI JOIN gone USING (uid)),
+held AS (SELECT geid, {money_sql('split_amount')} AS held FROM stay GROUP BY geid),
+hurt AS (SELECT DISTINCT geid, TRUE AS hurt FROM split_users SEMI JOIN gone USING (uid))
+SELECT geid, uid, if(hurt, split_amount * amount / held, split_amount) AS split_amount
+FROM stay JOIN kept USING (geid) JOIN held USING (geid) LEFT JOIN hurt USING (geid)
+""")
+def q_change_delete_users_cascade(spark, sf):
+    return C.delete_users(_led(spark, sf), _user_delete_batch(spark, sf), cascade=True).ledger.split_users
 
 
 @register("change_delete_tags", f"""
@@ -428,6 +449,18 @@ def q_change_delete_groups_splits(spark, sf):
     return C.delete_groups(_led(spark, sf), b).ledger.split_users
 
 
+# ---------------------------------------------------------------- S1 stored ledgers
+
+# stored, its later expenses appended as load 1, read back
+@register("list_expenses_stored", _list_sql(), VIEWS)
+def q_list_expenses_stored(spark, sf):
+    led, root = _led(spark, sf), scratch_path(spark, "stored-ledger")
+    late = F.col("date") >= F.lit(_dt.date(2000, 1, 1))
+    led.with_tables(expenses=led.expenses.filter(~late)).write(root)
+    store.append_rows(root, 1, {"expenses": led.expenses.filter(late)})
+    return R.list_expenses(Ledger.read(spark, root))
+
+
 # ---------------------------------------------------------------- M13 even splits
 
 def _group_add_batch(spark, sf):

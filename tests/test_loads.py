@@ -1,6 +1,5 @@
 """Loads, changes and audit on hand-written ledgers (FIXTURES.md section 4)."""
 
-
 import pytest
 from fixtures import D, small_ledger
 
@@ -244,7 +243,16 @@ def test_delete_user_with_and_without_cascade(spark):
     full = C.delete_users(led, batch, cascade=True).ledger
     assert full.expenses.filter("uid = 2").count() == 0
     assert {r.eid for r in full.expenses_tags.collect()} == {1}  # expense 3 (bob's) lost its tag link
-    assert full.user_group.filter("uid = 2").count() == 0 and full.split_users.filter("uid = 2").count() == 0
+    assert full.user_group.filter("uid = 2").count() == 0
+    # bob created 11, so it goes; in 10 his 30.0 pass to the other two
+    assert {tuple(r) for r in full.split_users.collect()} == {(10, 1, 45.0), (10, 3, 45.0)}
+    assert {r.geid for r in full.group_expenses.collect()} == {10}
+    odd = small_ledger(spark, split_users=[(10, 2, 90.0), (11, 1, 0.0), (11, 2, 30.0)], group_expenses=[
+        (10, 1, 1, 90.0, 1, 1, D(2024, 3, 2), None), (11, 1, 1, 30.0, 2, 2, D(2024, 3, 3), None)])
+    one = C.delete_users(odd, batch, cascade=True).ledger  # nobody is left in 10; in 11 a share of 0 takes all
+    assert [tuple(r) for r in one.split_users.collect()] == [(11, 1, 30.0)] and one.group_expenses.count() == 1
+    for after in (full, one):
+        assert A.foreign_keys(after).unionByName(A.split_balance(after)).filter("violations > 0").count() == 0
     tags = C.delete_tags(led, spark.createDataFrame([(1, " A "), (2, "zzz")], "seq long, tag_name string"),
                          cascade=True)
     assert reasons(tags) == {2: "not found"}
