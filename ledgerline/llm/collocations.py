@@ -6,46 +6,265 @@ behind it counts as the end of its piece there. The count of a shorter phrase
 is the flow out of its node, the sum of all edges that begin with it, plus the
 pieces that end on it: each length is derived from the next longer one.
 Nodes with one edge in and one edge out of the same weight are compacted into paths.
+
+A phrase is no more frequent than its rarest word, so words below the least
+count end a piece. The most frequent of the others have numbers, and an edge
+of such words is a pair of integers; edges with further frequent words, if
+there are more than ``head``, are strings and are counted beside them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import body, staged
+from ledgerline.llm import kernels as K
+from ledgerline.llm.common import HEAVY, arrow_batches, staged
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PIECE_END, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+#: Words [^\x20\x09]+ in pieces between [.,;:!?\x0A-\x0D].
+PIECE_END = K.byte_table(b".,;:!?\n\x0b\x0c\r")
+WORDY = ~(PIECE_END | K.byte_table(b" \t"))
 #: Parts of a language in the first step of its top list.
 SALTS = 64
+#: Numbered words at most; edges that are combined in a task before they leave it; bytes of words that are broadcast.
+HEAD, COMBINED, BROADCAST_BYTES = 1 << 20, 1 << 20, 32 << 20
+
+
+def _parts(data: np.ndarray, off: np.ndarray, size: int, ahead: int):
+    """(first row, offsets, bytes, bytes in which phrases start) of parts of about ``size`` bytes.
+
+    A long text is cut between words; its parts hold ``ahead`` further words where phrases only end.
+    """
+    for lo, hi in K.slices(off, size):
+        a, b = int(off[lo]), int(off[hi])
+        if hi - lo > 1 or b - a <= size:
+            yield lo, off[lo:hi + 1] - a, data[a:b], b - a
+            continue
+        while a < b:
+            to = min(b, a + size)
+            while to < b and WORDY[data[to]]:
+                to += 1
+            end, more = to, 1 << 10
+            while end < b and int(np.count_nonzero(np.diff(WORDY[data[to:end]].astype(np.int8)) < 0)) < ahead:
+                end, more = min(b, to + more), more * 2
+            yield lo, np.array([0, end - a]), data[a:end], to - a
+            a = to
+
+
+def _strings(w: K.Words, data: np.ndarray) -> pa.Array:
+    """The folded words."""
+    size = w.end - w.start
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    byte = np.repeat(w.start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(K.FOLD[data[byte]]))
+
+
+def _tokens(batch: pa.RecordBatch, ahead: int, block: int):
+    """Per part: words, their bytes, language of each, hash of word and language, whether the next word follows in the piece, phrase starts."""
+    data, off = K.text_bytes(batch.column(1))
+    lang = batch.column(0).dictionary_encode()
+    seeds = np.array([int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") for v in lang.dictionary.to_pylist()], K.U64)
+    codes = lang.indices.to_numpy(zero_copy_only=False)
+    for lo, rows, part, to in _parts(data, off, block, ahead):
+        w = K.words(part, rows, WORDY, K.FOLD)
+        if len(w.start):
+            code = codes[lo + w.row]
+            ends = np.cumsum(PIECE_END[part], dtype=np.int64)
+            linked = np.zeros(len(w.start), bool)
+            linked[:-1] = (w.row[1:] == w.row[:-1]) & (ends[w.start[1:]] == ends[w.end[:-1] - 1])
+            yield w, part, code, K.mix(w.hash ^ seeds[code]).view(np.int64), linked, int(np.searchsorted(w.start, to)), lang.dictionary
+
+
+def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    arrow_batches(docs.sparkSession)
+    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("t"))
 
 
-def graph_edges(docs: DataFrame, longest: int = 4, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang``, ``p`` (words joined by a blank), ``m`` (their number), ``f``: edges (``m`` = longest) and piece ends (fewer)."""
-    pieces = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
-                         F.explode(F.split(F.translate(body(text_col), UPPER, LOWER), PIECE_END)).alias("piece"))
-    whole = pieces.groupBy("lang", "piece").agg(F.count("*").alias("f"))  # a line that is everywhere is one row from here on
-    listed = whole.select("lang", "f", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 0)
-    at = listed.select("lang", "f", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    cut = at.select("lang", "f", F.array_join(F.slice("w", F.col("i"), F.lit(longest)), " ").alias("p"),
-                    F.least(F.size("w") - F.col("i") + 1, F.lit(longest)).alias("m"))
-    return cut.groupBy("lang", "p", "m").agg(F.sum("f").alias("f"))
+def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> DataFrame:
+    """``lang``, ``word``, ``key`` (hash of both), ``n``."""
+    def count(batches):
+        for b in batches:
+            for w, data, code, key, _, to, langs in _tokens(b, 0, block):
+                found = _strings(w, data).dictionary_encode()
+                both = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + code
+                both, first, n = np.unique(both[:to], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(both % len(langs))), found.dictionary.take(pa.array(both // len(langs))).cast(pa.string()),
+                                                  pa.array(key[first]), pa.array(n)], ["lang", "word", "key", "n"])
+
+    return (_rows(docs, text_col, lang_col).mapInArrow(count, "lang string, word string, key long, n long")
+            .groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("n").alias("n")))
+
+
+def _numbers(keys: np.ndarray, order: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Number of each word (from 1, by frequency), 0 for words without."""
+    if not len(keys):
+        return np.zeros(len(of), np.int64)
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    return np.where(keys[at] == of, order[at] + 1, 0)
+
+
+def _combined(a: np.ndarray, b: np.ndarray, f: np.ndarray):
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.add.reduceat(f[order], first) if len(first) else f
+
+
+def numbered_edges(docs: DataFrame, head: np.ndarray, text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> DataFrame:
+    """``a``, ``b``, ``f``: edges of four numbered words, two in each integer; 0 stands behind the last word of a piece.
+
+    ``head`` holds the words' keys, most frequent first. A word without a number ends its piece.
+    """
+    order = np.argsort(head)
+    keys = head[order]
+
+    def edges(batches):
+        held, rows = [], 0
+        for b in batches:
+            for w, _, _, key, linked, to, _ in _tokens(b, 3, block):
+                x = [_numbers(keys, order, key)]
+                for _ in range(3):
+                    x.append(np.concatenate((np.where(linked[:-1], x[-1][1:], 0), [0])))
+                for j in (1, 2, 3):  # nothing follows an end
+                    x[j] = np.where(x[j - 1] > 0, x[j], 0)
+                at = np.flatnonzero(x[0][:to])
+                held.append(_combined(x[0][at] << 32 | x[1][at], x[2][at] << 32 | x[3][at], np.ones(len(at), np.int64)))
+                rows += len(held[-1][0])
+                if rows >= COMBINED:
+                    yield out(held)
+                    held, rows = [], 0
+        if held:
+            yield out(held)
+
+    def out(held):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(*map(np.concatenate, zip(*held)))], ["a", "b", "f"])
+
+    return _rows(docs, text_col, lang_col).mapInArrow(edges, "a long, b long, f long")
+
+
+def _hot(heavy: int):
+    """Whether the three words of ``a`` and ``c`` are all among the ``heavy`` most frequent ones."""
+    return F.expr("a >> 32").between(1, heavy) & F.expr("a & 4294967295").between(1, heavy) & F.col("c").between(1, heavy)
+
+
+def numbered_counts(edges: DataFrame, min_count: int, heavy: int) -> DataFrame:
+    """``x1`` to ``x4`` (numbers, null behind the last), ``m``, ``f``: phrases of one to four numbered words with ``f >= min_count``.
+
+    Edges lie by their first three words, so that three words are counted where
+    the edges are. Where all three are among the ``heavy`` most frequent words,
+    edges lie by the fourth too, and the sums of three are added up once more;
+    any other three words hold less of the corpus than the last of the heavy.
+    """
+    zero = F.lit(0).cast("long")
+    wide = edges.select("a", F.expr("b >> 32").alias("c"), F.expr("b & 4294967295").alias("d"), "f")
+    placed = wide.withColumn("s", F.when(_hot(heavy), F.col("d")).otherwise(zero)).repartition("a", "c", "s")
+    both = placed.select("a", "c", "s", "f", F.explode(F.when(F.col("d") > 0, F.array(F.col("d"), zero)).otherwise(F.array(zero))).alias("d"))
+    summed = both.groupBy("a", "c", "s", "d").agg(F.sum("f").alias("f"))
+    level = staged(summed.filter((F.col("d") == 0) | (F.col("f") >= min_count)), "phrase-edges")
+    four = level.filter("d > 0").select("a", "c", "d", "f")
+    flow = level.filter("d = 0").select("a", "c", "f")
+    again = flow.filter(_hot(heavy)).groupBy("a", "c").agg(F.sum("f").alias("f"))
+    three = flow.filter(~_hot(heavy)).unionByName(again).filter("c > 0").select("a", "c", zero.alias("d"), "f")
+    pairs = staged(flow.groupBy("a").agg(F.sum("f").alias("f")), "phrase-pairs")
+    two = pairs.filter("a & 4294967295 > 0").select("a", zero.alias("c"), zero.alias("d"), "f")
+    one = pairs.groupBy(F.expr("a >> 32 << 32").alias("a")).agg(F.sum("f").alias("f")).select("a", zero.alias("c"), zero.alias("d"), "f")
+    frequent = reduce(DataFrame.unionByName, [x.filter(F.col("f") >= min_count).withColumn("m", F.lit(m)) for m, x in enumerate((one, two, three, four), 1)])
+    return frequent.select(F.expr("a >> 32").alias("x1"), F.expr("nullif(a & 4294967295, 0)").alias("x2"),
+                           F.expr("nullif(c, 0)").alias("x3"), F.expr("nullif(d, 0)").alias("x4"), "m", "f")
+
+
+def spelled(numbered: DataFrame, words: DataFrame, head: np.ndarray) -> DataFrame:
+    """``lang``, ``p``, ``f``, ``m`` of numbered phrases."""
+    spark = numbered.sparkSession
+    numbers = spark.createDataFrame(pa.table({"key": head, "x": np.arange(1, len(head) + 1)}), "key long, x long")
+    names = staged(words.join(numbers, "key").select("x", "lang", "word"), "phrase-words")
+    if (names.agg(F.sum(F.octet_length("word") + 40)).first()[0] or 0) <= BROADCAST_BYTES:
+        names = F.broadcast(names)
+    numbered = staged(numbered, "phrase-numbers")
+    out = []
+    for m in range(1, 5):
+        x = numbered.filter(F.col("m") == m)
+        for j in range(1, m + 1):
+            x = x.join(names.select(F.col("x").alias(f"x{j}"), F.col("word").alias(f"w{j}"), *["lang"] * (j == 1)), f"x{j}")
+        out.append(x.select("lang", F.concat_ws(" ", *[f"w{j}" for j in range(1, m + 1)]).alias("p"), "f", "m"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def graph_edges(docs: DataFrame, longest: int = 4, text_col: str = "text", lang_col: str = "lang", head: np.ndarray = np.zeros(0, np.int64),
+                block: int = K.BLOCK) -> DataFrame:
+    """``lang``, ``p`` (words joined by a blank), ``m`` (their number), ``t``, ``f``: edges (``m`` = longest) and piece ends (fewer).
+
+    Only those with a word outside ``head``; ``t`` is the place of the first such word.
+    """
+    order = np.argsort(head)
+    keys = head[order]
+
+    def edges(batches):
+        for b in batches:
+            for w, data, code, key, linked, to, langs in _tokens(b, longest - 1, block):
+                inside, number = np.ones(len(linked), bool), _numbers(keys, order, key)
+                t, m = np.zeros(len(linked), np.int64), np.zeros(len(linked), np.int64)
+                at = np.arange(len(linked))
+                index = []
+                for j in range(longest):
+                    here = np.minimum(at + j, len(at) - 1)
+                    m += inside
+                    t = np.where(inside & (t == 0) & (number[here] == 0), j + 1, t)
+                    index.append(pa.array(here, mask=~inside))
+                    inside = inside & linked[here]
+                some = np.flatnonzero((t > 0) & (at < to))
+                if not len(some):
+                    continue
+                words, some_rows = _strings(w, data), pa.array(some)
+                p = pc.binary_join_element_wise(*[words.take(i.take(some_rows)) for i in index], pa.scalar(" ", pa.large_string()), null_handling="skip").dictionary_encode()
+                both = p.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + code[some]
+                both, first, f = np.unique(both, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(both % len(langs))), p.dictionary.take(pa.array(both // len(langs))).cast(pa.string()),
+                                                  pa.array(m[some][first]), pa.array(t[some][first]), pa.array(f)], ["lang", "p", "m", "t", "f"])
+
+    return (_rows(docs, text_col, lang_col).mapInArrow(edges, "lang string, p string, m long, t long, f long")
+            .groupBy("lang", "p", "m", "t").agg(F.sum("f").alias("f")))
 
 
 def phrase_counts(edges: DataFrame, longest: int = 4) -> list[DataFrame]:
-    """Counts (``lang``, ``p``, ``f``) of all phrases of 1 to ``longest`` words, from the edges' flow and the piece ends."""
-    level = edges.filter(F.col("m") == longest).select("lang", "p", "f")
-    out = [level]
+    """Counts (``lang``, ``p``, ``t``, ``f``) of the edges' phrases of 1 to ``longest`` words that hold their word ``t``: the flow and the piece ends."""
+    out = [edges.filter(F.col("m") == longest).select("lang", "p", "t", "f")]
     for m in range(longest - 1, 0, -1):
-        flow = out[-1].select("lang", F.substring_index("p", " ", m).alias("p"), "f")
-        ends = edges.filter(F.col("m") == m).select("lang", "p", "f")
-        out.append(staged(flow.unionByName(ends).groupBy("lang", "p").agg(F.sum("f").alias("f")), f"phrases-{m}"))
+        flow = out[-1].filter(F.col("t") <= m).select("lang", F.substring_index("p", " ", m).alias("p"), "t", "f")
+        ends = edges.filter(F.col("m") == m).select("lang", "p", "t", "f")
+        out.append(staged(flow.unionByName(ends).groupBy("lang", "p", "t").agg(F.sum("f").alias("f")), f"phrases-{m}"))
     return out[::-1]
 
 
+def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, head: int = HEAD,
+                     text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Phrases of 1 to ``longest`` words with ``f >= min_count`` (``lang``, ``p``, ``f``, ``m``), and all words of each language (``lang``, ``n``).
+
+    At most ``head`` words are numbered, the most frequent ones whose hash is
+    theirs alone; phrases with any other word are counted as strings. Only
+    phrases of up to four words are numbered.
+    """
+    words = staged(word_counts(docs, text_col, lang_col, block), "phrase-word-counts")
+    alone = words.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k")).filter((F.col("k") == 1) & (F.col("n") >= min_count))
+    chosen = alone.orderBy(F.desc("n"), "key").limit(head if longest == 4 else 0).select("key", "n").toArrow()
+    keys, n = (chosen.column(c).to_numpy() for c in ("key", "n"))
+    total, frequent = words.agg(F.sum("n"), F.count(F.when(F.col("n") >= min_count, 1))).first()
+    found = []
+    if len(keys):
+        heavy = int(np.count_nonzero(n * HEAVY >= total))
+        found.append(spelled(numbered_counts(numbered_edges(docs, keys, text_col, lang_col, block), min_count, heavy), words, keys))
+    if frequent > len(keys) or not found:
+        counts = phrase_counts(staged(graph_edges(docs, longest, text_col, lang_col, keys, block), "phrase-strings"), longest)
+        found += [c.filter(F.col("f") >= min_count).select("lang", "p", "f", F.lit(m).alias("m")) for m, c in enumerate(counts, 1)]
+    return staged(reduce(DataFrame.unionByName, found), "phrases"), words.groupBy("lang").agg(F.sum("n").alias("n"))
+
+
 def compact_paths(edges: DataFrame, longest: int = 4) -> DataFrame:
     """``lang``, ``p``, ``path`` (first edge of its compacted path), ``step`` (edges since then).
 
@@ -73,23 +292,19 @@ def compact_paths(edges: DataFrame, longest: int = 4) -> DataFrame:
 
 
 def collocations(docs: DataFrame, top: int = 2000, min_count: int = 30, keep_below: int = 80, longest: int = 4,
-                 text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+                 head: int = HEAD, text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> DataFrame:
     """The ``top`` phrases of each language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``, ``path``, ``step``.
 
     A phrase of 2 to ``longest`` words with ``a >= min_count`` occurrences scores
     ``floor(2000000 a / (l + r))`` at its lowest cut (ties: first). It is dropped if
     a longer one of those holds it and has at least ``keep_below`` percent of its
-    occurrences. ``path`` and ``step`` place the longest phrases on their compacted path.
+    occurrences. ``head`` (see :func:`frequent_phrases`) and ``block`` (bytes of a step) change no result. ``path`` and ``step`` place the longest phrases on their compacted path.
 
     Edge cases: a null text is empty, a null language is ``und``; repeated rows
     count again; words are whole at any length; other columns are ignored;
     texts without words give no rows, and so does an empty table.
     """
-    edges = staged(graph_edges(docs, longest, text_col, lang_col), "phrase-edges")
-    counts = phrase_counts(edges, longest)
-    totals = counts[0].groupBy("lang").agg(F.sum("f").alias("n"))
-    known = staged(reduce(DataFrame.unionByName, [c.filter(F.col("f") >= min_count).select("lang", "p", "f", F.lit(m).alias("m"))
-                                                  for m, c in enumerate(counts, start=1)]), "phrases")
+    known, totals = frequent_phrases(docs, min_count, longest, head, text_col, lang_col, block)
     phrases = known.filter("m >= 2")
     word = F.split("p", " ")
     inner = phrases.filter("m >= 3").select("lang", "f", F.explode(F.flatten(F.transform(

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import collocations as C
+from ledgerline.llm import kernels as K
 from ledgerline.llm import spelling, topk_search
 
 SCHEMA = "doc_id long, text string, lang string, word string, p string, id string, n string"
@@ -138,14 +140,26 @@ def _phrases(rows, least, top):
     return out
 
 
-@pytest.mark.parametrize("least, top", [(3, 2000), (2, 7)])
-def test_collocations(spark, texts, least, top):
+@pytest.mark.parametrize("least, top, head, block", [(3, 2000, 1 << 20, 1 << 21), (2, 7, 1 << 20, 1 << 21), (3, 2000, 25, 60), (3, 2000, 0, 60)])
+def test_collocations(spark, texts, least, top, head, block):
     docs = spark.createDataFrame(texts, SCHEMA)
-    got = C.collocations(docs, top=top, min_count=least).drop("path", "step")
+    got = C.collocations(docs, top=top, min_count=least, head=head, block=block).drop("path", "step")
     assert {tuple(r) for r in got.collect()} == _phrases(texts, least, top)
     assert C.collocations(docs.limit(0)).count() == 0
 
 
+def test_long_texts_are_cut_between_words():
+    text = ("ab, c\td  e f" * 40 + " " + "x" * 300 + " y z ") * 3
+    docs = pa.RecordBatch.from_arrays([pa.array(["en", None, "en"]).fill_null("und"), pa.array(["one two", text, ""])], ["lang", "t"])
+    whole = [(len(w.start), to) for w, *_, to, _ in C._tokens(docs, 3, 1 << 21)]
+    data, off = K.text_bytes(docs.column(1))
+    for size in (7, 50, 1000):
+        parts = list(C._parts(data, off, size, 3))
+        assert b"".join(p[:to].tobytes() for _, _, p, to in parts) == data.tobytes()
+        assert len(parts) > 2 and all(len(p) - to < 1 << 11 for _, _, p, to in parts)
+    assert whole[0][0] == whole[0][1]
+
+
 def test_paths(spark):
     line = "a b c d e f g h"
     edges = C.graph_edges(spark.createDataFrame([(line + ". " + line, "en"), ("x b c d y", "en")], "text string, lang string")).filter("m = 4")
