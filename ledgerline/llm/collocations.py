@@ -32,8 +32,10 @@ PIECE_END = K.byte_table(b".,;:!?\n\x0b\x0c\r")
 WORDY = ~(PIECE_END | K.byte_table(b" \t"))
 #: Parts of a language in the first step of its top list.
 SALTS = 64
-#: Numbered words at most; edges that are combined in a task before they leave it; bytes of words that are broadcast.
-HEAD, COMBINED, BROADCAST_BYTES = 1 << 20, 1 << 20, 32 << 20
+#: Numbered words at most; edges that a worker combines at once; rows it hands over at once; bytes of words that are broadcast.
+HEAD, COMBINED, HANDED, BROADCAST_BYTES = 1 << 20, 1 << 18, 1 << 16, 32 << 20
+#: Bytes of text that one step works on.
+BLOCK = 1 << 20
 
 
 def _parts(data: np.ndarray, off: np.ndarray, size: int, ahead: int):
@@ -86,7 +88,7 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("t"))
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """``lang``, ``word``, ``key`` (hash of both), ``n``."""
     def count(batches):
         for b in batches:
@@ -116,7 +118,7 @@ def _combined(a: np.ndarray, b: np.ndarray, f: np.ndarray):
     return a[first], b[first], np.add.reduceat(f[order], first) if len(first) else f
 
 
-def numbered_edges(docs: DataFrame, head: np.ndarray, text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> DataFrame:
+def numbered_edges(docs: DataFrame, head: np.ndarray, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """``a``, ``b``, ``f``: edges of four numbered words, two in each integer; 0 stands behind the last word of a piece.
 
     ``head`` holds the words' keys, most frequent first. A word without a number ends its piece.
@@ -137,13 +139,15 @@ def numbered_edges(docs: DataFrame, head: np.ndarray, text_col: str = "text", la
                 held.append(_combined(x[0][at] << 32 | x[1][at], x[2][at] << 32 | x[3][at], np.ones(len(at), np.int64)))
                 rows += len(held[-1][0])
                 if rows >= COMBINED:
-                    yield out(held)
+                    yield from out(held)
                     held, rows = [], 0
         if held:
-            yield out(held)
+            yield from out(held)
 
     def out(held):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(*map(np.concatenate, zip(*held)))], ["a", "b", "f"])
+        columns = _combined(*map(np.concatenate, zip(*held)))
+        for lo in range(0, len(columns[0]), HANDED):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + HANDED]) for c in columns], ["a", "b", "f"])
 
     return _rows(docs, text_col, lang_col).mapInArrow(edges, "a long, b long, f long")
 
@@ -197,7 +201,7 @@ def spelled(numbered: DataFrame, words: DataFrame, head: np.ndarray) -> DataFram
 
 
 def graph_edges(docs: DataFrame, longest: int = 4, text_col: str = "text", lang_col: str = "lang", head: np.ndarray = np.zeros(0, np.int64),
-                block: int = K.BLOCK) -> DataFrame:
+                block: int = BLOCK) -> DataFrame:
     """``lang``, ``p`` (words joined by a blank), ``m`` (their number), ``t``, ``f``: edges (``m`` = longest) and piece ends (fewer).
 
     Only those with a word outside ``head``; ``t`` is the place of the first such word.
@@ -243,7 +247,7 @@ def phrase_counts(edges: DataFrame, longest: int = 4) -> list[DataFrame]:
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, head: int = HEAD,
-                     text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> tuple[DataFrame, DataFrame]:
+                     text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``longest`` words with ``f >= min_count`` (``lang``, ``p``, ``f``, ``m``), and all words of each language (``lang``, ``n``).
 
     At most ``head`` words are numbered, the most frequent ones whose hash is
@@ -292,7 +296,7 @@ def compact_paths(edges: DataFrame, longest: int = 4) -> DataFrame:
 
 
 def collocations(docs: DataFrame, top: int = 2000, min_count: int = 30, keep_below: int = 80, longest: int = 4,
-                 head: int = HEAD, text_col: str = "text", lang_col: str = "lang", block: int = K.BLOCK) -> DataFrame:
+                 head: int = HEAD, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """The ``top`` phrases of each language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``, ``path``, ``step``.
 
     A phrase of 2 to ``longest`` words with ``a >= min_count`` occurrences scores
