@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import small, staged
+from ledgerline.llm.common import BROADCAST_ROWS, small, staged
 
 #: Words once A-Z are lower case are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; upper-case letters belong to words before that.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -60,32 +60,56 @@ def window_prefixes(docs: DataFrame, windows: DataFrame, text_col: str = "text")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Every occurrence of an item window in a document, and one row with ``len`` 0 for each document.
 
     Columns: ``_id``, ``_row`` (hash of the text), ``n_words``, ``start`` (word index), ``len``, ``items``.
+    Up to ``limit`` windows are broadcast to the words; more of them are joined by a shuffle (see :func:`_spread_hits`).
     """
     windows = staged(item_windows(items, window), "item-windows")
     prefixes = staged(window_prefixes(docs, windows, text_col), "window-prefixes")
-    # the empty word behind the last one finds this row, so that documents without a hit stay
+    keep = F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_row")
     ids = prefixes.schema["items"].dataType.simpleString()
+    none = F.expr(f"CAST(array() AS {ids})")
+    if prefixes.count() > limit:
+        return _spread_hits(docs, prefixes, text_col, none, *keep)
+    # the empty word behind the last one finds this row, so that documents without a hit stay
     every = prefixes.sparkSession.range(1).select(
-        F.lit("").alias("win"), F.lit(0).alias("len"), F.expr(f"CAST(array() AS {ids})").alias("items"),
-        F.lit("").alias("_key"), F.lit(0).alias("_off"))
-    tokens = _tokens(docs, text_col, F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_row")).select(
-        "_id", "_row", "_words", "_pos", F.lower("_word").alias("_key"))
-    start = F.col("_pos") - F.col("_off")
+        F.lit("").alias("win"), F.lit(0).alias("len"), none.alias("items"), F.lit("").alias("_key"), F.lit(0).alias("_off"))
+    tokens = _tokens(docs, text_col, *keep).select("_id", "_row", "_words", "_pos", F.lower("_word").alias("_key"))
     # only functions with generated code here: the join then runs inside one stage of generated code,
     # and a word list is never copied for a word without a match
-    same = _ascii_lower(F.array_join(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ")) == F.col("win")
-    fits = (start >= 0) & (start + F.col("len") <= F.size("_words"))
-    table = prefixes.unionByName(every)
-    return (tokens.join(small(table), "_key").filter(fits & same)
-            .select("_id", "_row", F.size("_words").alias("n_words"), start.alias("start"), "len", "items"))
+    return (tokens.join(F.broadcast(prefixes.unionByName(every)), "_key").filter(_occurs())
+            .select("_id", "_row", F.size("_words").alias("n_words"), _start().alias("start"), "len", "items"))
+
+
+def _start() -> Column:
+    return F.col("_pos") - F.col("_off")
+
+
+def _occurs() -> Column:
+    """Whether the window ``win``, whose word ``_off`` is the document's word ``_pos``, lies there."""
+    cut = F.array_join(F.slice("_words", F.greatest(_start(), F.lit(0)) + 1, F.col("len")), " ")
+    return (_start() >= 0) & (_start() + F.col("len") <= F.size("_words")) & (_ascii_lower(cut) == F.col("win"))
+
+
+def _spread_hits(docs: DataFrame, prefixes: DataFrame, text_col: str, none: Column, *keep: Column) -> DataFrame:
+    """The hits by shuffles: words travel as (document, place, key); a word list only once, to its document's candidates."""
+    listed = docs.select(*keep, _words(text_col).alias("_words"))
+    places = listed.select("_id", "_row", F.size("_words").alias("n_words"), F.posexplode("_words").alias("_pos", "_key"))
+    places = places.withColumn("_key", F.lower("_key"))
+    fits = (_start() >= 0) & (_start() + F.col("len") <= F.col("n_words"))
+    found = places.join(prefixes, "_key").filter(fits).select("_id", "_row", "_pos", "_off", "len", "win", "items")
+    found = staged(found, "window-candidates").withColumnsRenamed({"_id": "_i", "_row": "_r"})
+    texts = listed.dropDuplicates(["_id", "_row"])
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_row").eqNullSafe(F.col("_r"))
+    hits = texts.join(found, same).filter(_occurs())
+    every = listed.select("_id", "_row", F.size("_words").alias("n_words"), F.lit(0).alias("start"), F.lit(0).alias("len"), none.alias("items"))
+    return hits.select("_id", "_row", F.size("_words").alias("n_words"), _start().alias("start"), "len", "items").unionByName(every)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: id, ``text_hash`` (xxhash64 of the text), ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as strings), ``contaminated``.
 
     A document word is hit if it lies in an occurrence of any window of any item
@@ -97,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     rows that repeat id and text are one document; other columns are ignored;
     no items: nothing is hit.
     """
-    hits = window_hits(docs, items, window, id_col, text_col)
+    hits = window_hits(docs, items, window, id_col, text_col, limit)
     spans = F.array_sort(F.collect_set(F.when(F.col("len") > 0, F.struct("start", (F.col("start") + F.col("len")).alias("end")))))
     grouped = hits.groupBy("_id", "_row").agg(
         F.max("n_words").cast("bigint").alias("n_words"), spans.alias("_spans"),

@@ -71,10 +71,11 @@ def test_drop_exact_duplicates_decides_by_id_and_text(spark):
     assert {tuple(r) for r in left} == {(5, "B"), (9, "A"), (None, "C"), (1, "D"), (4, ""), (4, "E")} and len(left) == 6
 
 
-def test_decontamination(spark, docs, rows, none):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_decontamination(spark, docs, rows, none, limit):
     items = [(1, rows[13][1][:300].upper()), (1, "dup id"), (2, "two words"), (None, rows[14][1]), (3, ""), (4, None), (5, "%% !!"), (6, rows[10][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, limit=limit).collect() if r.doc_id is not None}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = [(i, w[k:k + n]) for i, t in items for w in [lower(t)] if w for n in [min(13, len(w))] for k in range(len(w) - n + 1)]
@@ -90,7 +91,7 @@ def test_decontamination(spark, docs, rows, none):
         r = got[i]
         assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(found)), i
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
-    assert decontaminate.contamination(none, bench).count() == 0
+    assert decontaminate.contamination(none, bench, limit=limit).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
