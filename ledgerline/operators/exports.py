@@ -23,6 +23,9 @@ GROUP_HEADER = ["group_name", "date_created", "description", "expense_id", "crea
                 "category_name", "payment_method", "expense_date", "expense_description", "tags",
                 "split_usernames", "split_amounts"]
 
+GROUP_ROW = ["group_name", "date_created", "group_description", "geid", "username", "amount", "category_name",
+             "method", "date", "description", "tags", "split_usernames", "split_amounts"]
+
 PERSONAL_SORT = {"date": "date", "amount": "amount", "category": "category_name",
                  "payment_method": "method", "tags": "tags", "user": "username"}
 GROUP_SORT = {"date": "date", "amount": "amount", "category": "category_name",
@@ -64,18 +67,29 @@ def split_lists(ledger: Ledger) -> DataFrame:
         F.array_join(F.transform("s", lambda x: float_text(x["split_amount"])), ", ").alias("split_amounts"))
 
 
-def group_export(ledger: Ledger, group_name: str | None = None,
-                 sort_field: str | None = None) -> DataFrame:
-    """One row per group expense with group, tags and aligned split lists."""
+def group_export_rows(ledger: Ledger, group_name: str | None = None) -> DataFrame:
+    """The joined rows of S5 in no order: what every sort of the same groups has in common."""
     facts = in_group(ledger.group_expenses, ledger, group_name)
-    rows = (with_dims(facts, ledger)
+    return (with_dims(facts, ledger)
             .join(ledger.groups.withColumnRenamed("description", "group_description"), "gid")
             .join(ledger.users.select("uid", "username"), "uid")
             .join(tag_lists(ledger, group=True), "geid", "left")
-            .join(split_lists(ledger), "geid", "left"))
+            .join(split_lists(ledger), "geid", "left")
+            .select(*GROUP_ROW))
+
+
+def group_export(ledger: Ledger, group_name: str | None = None,
+                 sort_field: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """One row per group expense with group, tags and aligned split lists.
+
+    ``rows`` are the stored :func:`group_export_rows` of the same ledger and groups: a caller
+    that writes several sorts then joins and aggregates once, and only sorts each time.
+    """
+    if sort_field is not None and sort_field.lower() not in GROUP_SORT:
+        raise ValueError(f"sort field must be one of {', '.join(GROUP_SORT)}")
+    if rows is None:
+        rows = group_export_rows(ledger, group_name)
     if sort_field is not None:
-        if sort_field.lower() not in GROUP_SORT:
-            raise ValueError(f"sort field must be one of {', '.join(GROUP_SORT)}")
         rows = rows.orderBy(F.asc_nulls_first(GROUP_SORT[sort_field.lower()]), "geid")
     else:
         rows = rows.orderBy("group_name", "geid")

@@ -392,10 +392,12 @@ SELECT f AS sorted_by, {", ".join(f'NULLIF("{c}", \'\') AS "{c}"' for c in X.GRO
 FROM ({_GROUP_EXPORT_SQL}), unnest({["group", *sorted(X.GROUP_SORT)]}) AS fields(f)
 """, VIEWS)
 def q_export_group_files(spark, sf):
-    path = scratch_path(spark, "group-export")
+    path, stored, L = scratch_path(spark, "group-export"), scratch_path(spark, "group-export-rows"), _ledger(spark, sf)
+    X.group_export_rows(L).write.parquet(stored)
+    rows = spark.read.parquet(stored)
     for name in ("group", *X.GROUP_SORT):
-        export = X.group_export(_ledger(spark, sf), sort_field=None if name == "group" else name)
-        csv_io.write_csv(export, f"{path}/sorted_by={name}")
+        export = X.group_export(L, sort_field=None if name == "group" else name, rows=rows)
+        csv_io.write_csv(export, f"{path}/sorted_by={name}", compression="gzip")
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 

@@ -74,11 +74,15 @@ def read_group_csv(spark: SparkSession, path: str, multiline: bool = False) -> D
     return _read_by_name(spark, path, GROUP_CSV_COLUMNS, GROUP_CSV_REQUIRED, multiline)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> str:
-    """Write a text frame as CSV with a header; the frame's sort order is kept per part file."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists",
+              compression: str = "none") -> str:
+    """Write a text frame as CSV with a header; the frame's sort order is kept per part file.
+
+    ``compression`` names a codec of Spark's CSV writer (``gzip``, ...) for files that Spark reads back.
+    """
     out = df.coalesce(1) if single_file else df
     (out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
      .option("emptyValue", "").option("nullValue", "")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("compression", compression).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return path
