@@ -25,6 +25,20 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_keyed_stages_grow_with_the_lines(spark, tables, monkeypatch):
+    monkeypatch.setattr(testdata, "ROWS_PER_TASK", 10)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        led = testdata.ledger_from_testdata(spark, tables)
+        assert testdata.key_partitions(testdata.read_table(spark, tables, "lineitem")) == 26
+        assert led.expenses_tags.select("eid").distinct().count() == 60
+        assert led.expenses_tags.groupBy("eid").count().rdd.getNumPartitions() == 26
+        assert led.split_users.groupBy("geid").count().rdd.getNumPartitions() == 26
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_group_export_files_join_once(spark, tables, monkeypatch):
     led, calls = testdata.ledger_from_testdata(spark, tables), []
     plain = {f: [tuple(r) for r in X.group_export(led, sort_field=f).collect()] for f in (None, *X.GROUP_SORT)}
