@@ -188,7 +188,8 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
     exp = conform(ledger.expenses, "expenses")
     cats = name_lookup(ledger.categories, "category_name", "cid", False)
     pms = name_lookup(ledger.payment_methods, "method", "pid", ci_methods)
-    b = (batch.join(exp.select("eid", F.col("uid").alias("_owner"), F.col("date").alias("_old")), "eid", "left")
+    b = (ledger.keyed(batch, "eid")
+         .join(exp.select("eid", F.col("uid").alias("_owner"), F.col("date").alias("_old")), "eid", "left")
          .withColumn("_amount", parse_amount("value"))
          .withColumn("_date", parse_date("value"))
          .withColumn("_lower", F.lower(F.col("value")))
@@ -214,7 +215,7 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
         return F.max_by(F.col(col), F.when(f == field, F.col("seq")))
 
     # one aggregation per expense gathers the last change of every field (no join per field)
-    changes = ok.groupBy("eid").agg(
+    changes = ledger.keyed(ok, "eid").groupBy("eid").agg(
         last("amount", "_amount").alias("_new_amount"), last("date", "_date").alias("_new_date"),
         last("description", "value").alias("_new_description"), last("category", "_cid").alias("_new_cid"),
         last("payment_method", "_pid").alias("_new_pid"), last("tags", "_tags").alias("_new_tags"),
@@ -229,7 +230,7 @@ def update_expenses(ledger: Ledger, batch: DataFrame, ci_methods: bool = False)
     from ledgerline.operators.loads import _link_tags
     new_tags, bridge = _link_tags(ledger, tag_rows.filter(F.col("_name") != ""), "eid")
     bridge, retag = conform(bridge, "expenses_tags"), retag.select("eid")
-    links = ledger.expenses_tags.join(retag, "eid", "left_anti").unionByName(bridge)
+    links = ledger.keyed(ledger.expenses_tags.join(retag, "eid", "left_anti").unionByName(bridge), "eid")
     before = ledger.with_rows(tags=new_tags)
     return _changed(before, {"expenses": _updated(exp.join(changes, "eid", "left")), "expenses_tags": links},
                     _rejects(judged),

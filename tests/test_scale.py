@@ -4,9 +4,10 @@ import datetime as dt
 
 import pytest
 
+from ledgerline.operators import changes
 from ledgerline.operators import exports as X
-from ledgerline.plans import catalog_loads
-from ledgerline.sources import testdata
+from ledgerline.plans import catalog, catalog_changes, catalog_loads
+from ledgerline.sources import batches, testdata
 
 
 @pytest.fixture()
@@ -55,3 +56,37 @@ def test_group_export_files_join_once(spark, tables, monkeypatch):
     for f, expected in plain.items():
         got = out.filter(out.sorted_by == (f or "group")).drop("sorted_by").collect()
         assert sorted(tuple(v or "" for v in r) for r in got) == sorted(expected)
+
+
+def test_staged_mapping_is_computed_once_and_equal(spark, tables):
+    plain = testdata.ledger_from_testdata(spark, tables)
+    names = ("expenses_tags", "group_expenses", "split_users", "user_group", "group_expense_tags")
+    staged = testdata.ledger_from_testdata(spark, tables, stage=names)
+    for t, rows in plain.items():
+        assert sorted(map(str, rows.collect())) == sorted(map(str, staged.table(t).collect())), t
+    for t in names:
+        assert all("mapped-" in f for f in staged.table(t).inputFiles()), t
+    assert staged.split_users.filter("geid >= 60").isEmpty()  # the lines without an order
+
+
+@pytest.mark.parametrize("query, module", [
+    ("audit_planted", catalog), ("list_expenses_stored", catalog_changes), ("change_add_group_expenses", catalog_changes),
+    ("import_group_splits", catalog_loads)])
+def test_queries_that_read_the_ledger_often_map_it_once(spark, tables, monkeypatch, query, module):
+    mapped, calls = testdata.ledger_from_testdata, []
+    for m in (module, batches):
+        monkeypatch.setattr(m, "ledger_from_testdata", lambda *a, **k: calls.append(k.get("stage")) or mapped(*a, **k))
+    getattr(module, f"q_{query}")(spark, tables).collect()
+    assert len(calls) == 1 and {"group_expenses", "split_users"} <= set(calls[0])
+
+
+def test_updates_are_dealt_by_expense(spark, tables, monkeypatch):
+    monkeypatch.setattr(testdata, "ROWS_PER_TASK", 10)
+    led = testdata.ledger_from_testdata(spark, tables)
+    batch = spark.createDataFrame([(1, 3, 3, "tags", "brand#1, fresh"), (2, 4, 4, "tags", "")],
+                                  "seq long, actor_uid long, eid long, field string, value string")
+    out = changes.update_expenses(led, batch).ledger
+    assert out.expenses_tags.rdd.getNumPartitions() == led.key_parts == 26
+    names = out.expenses_tags.join(out.tags, "tid")
+    assert sorted(r.tag_name for r in names.filter("eid = 3").collect()) == ["brand#1", "fresh"]
+    assert names.filter("eid = 4").isEmpty() and names.select("eid").distinct().count() == 59
