@@ -454,7 +454,8 @@ def q_change_delete_groups_splits(spark, sf):
 # stored, its later expenses appended as load 1, read back
 @register("list_expenses_stored", _list_sql(), VIEWS)
 def q_list_expenses_stored(spark, sf):
-    led, root = _led(spark, sf), scratch_path(spark, "stored-ledger")
+    led = ledger_from_testdata(spark, sf, stage=("expenses_tags", "group_expenses", "split_users"))
+    root = scratch_path(spark, "stored-ledger")
     late = F.col("date") >= F.lit(_dt.date(2000, 1, 1))
     led.with_tables(expenses=led.expenses.filter(~late)).write(root)
     store.append_rows(root, 1, {"expenses": led.expenses.filter(late)})
@@ -463,8 +464,7 @@ def q_list_expenses_stored(spark, sf):
 
 # ---------------------------------------------------------------- M13 even splits
 
-def _group_add_batch(spark, sf):
-    full = _led(spark, sf)
+def _group_add_batch(spark, sf, full):
     o = read_table(spark, sf, "orders")
     k = F.col("o_orderkey")
     names = (full.split_users.join(full.users.select("uid", "username"), "uid")
@@ -546,4 +546,5 @@ JOIN users u ON u.username = a.username
 WHERE EXISTS (SELECT 1 FROM user_group m WHERE m.uid = u.uid AND m.gid = a.gid)
 """, _M13_CTES)
 def q_change_add_group_expenses(spark, sf):
-    return M.add_group_expenses(B.base_ledger(spark, sf), _group_add_batch(spark, sf)).ledger.split_users
+    full = ledger_from_testdata(spark, sf, stage=("group_expenses", "split_users", "user_group"))
+    return M.add_group_expenses(B.base_ledger(spark, sf, full), _group_add_batch(spark, sf, full)).ledger.split_users

@@ -282,16 +282,22 @@ def q_src_group_csv(spark, sf):
     return csv_io.read_group_csv(spark, path).drop("seq")
 
 
+def _import_group(spark, sf, importer_uid):
+    """M15 of the batch into the base ledger, both of one mapping."""
+    full = ledger_from_testdata(spark, sf, stage=("group_expenses", "split_users"))
+    return M.import_group(B.base_ledger(spark, sf, full), B.group_batch(spark, sf, full), importer_uid)
+
+
 @register("import_group", """
 SELECT geid, uid, gid, amount, cid, pid, date, description, seq FROM gb_accepted
 """, GROUP_CTES)
 def q_import_group(spark, sf):
-    return M.import_group(B.base_ledger(spark, sf), B.group_batch(spark, sf), B.IMPORTER_UID).accepted
+    return _import_group(spark, sf, B.IMPORTER_UID).accepted
 
 
 @register("import_group_rejects", "SELECT seq, reason FROM gb_judged WHERE reason IS NOT NULL", GROUP_CTES)
 def q_import_group_rejects(spark, sf):
-    return M.import_group(B.base_ledger(spark, sf), B.group_batch(spark, sf), B.IMPORTER_UID).rejects
+    return _import_group(spark, sf, B.IMPORTER_UID).rejects
 
 
 # an ordinary user who is a member of one group only: rows of all other groups are refused
@@ -309,7 +315,7 @@ SELECT seq, COALESCE(reason, 'accepted') AS outcome FROM gb_judged
 """, _MEMBER_CTES)
 def q_import_group_member(spark, sf):
     """M15's scope rule: every row of the batch with its outcome, accepted ones included."""
-    res = M.import_group(B.base_ledger(spark, sf), B.group_batch(spark, sf), MEMBER_UID)
+    res = _import_group(spark, sf, MEMBER_UID)
     return (res.accepted.select("seq", F.lit("accepted").alias("outcome"))
             .unionByName(res.rejects.withColumnRenamed("reason", "outcome")))
 
@@ -321,13 +327,12 @@ JOIN gb_accepted a ON a.geid = s.geid
 JOIN users u ON u.username = s.username
 """, GROUP_CTES)
 def q_import_group_splits(spark, sf):
-    return M.import_group(B.base_ledger(spark, sf), B.group_batch(spark, sf), B.IMPORTER_UID).extra["splits"]
+    return _import_group(spark, sf, B.IMPORTER_UID).extra["splits"]
 
 
 @register("import_group_new_categories", "SELECT cid, category_name FROM new_cats", GROUP_CTES)
 def q_import_group_new_categories(spark, sf):
-    return M.import_group(B.base_ledger(spark, sf), B.group_batch(spark, sf),
-                          B.IMPORTER_UID).extra["new_categories"]
+    return _import_group(spark, sf, B.IMPORTER_UID).extra["new_categories"]
 
 
 # ---------------------------------------------------------------- S4 / S5 sinks
