@@ -45,11 +45,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sha = F.sha2(body(), 256)
-    one_each = docs.select("doc_id", "text", sha.alias("sha")).dropDuplicates(["doc_id", "sha"])
-    # ids may repeat or be missing: rows get numbers of their own, in the order of the ids
-    keyed = staged(allocate_ids(one_each, ["doc_id", "sha"], "key", spark.range(1).select(F.lit(0).alias("_base"))), "pipeline-keys")
+    one_each = docs.select(F.col("doc_id").alias("id"), sha.alias("sha")).distinct()
+    # ids may repeat or be missing: rows get numbers of their own, in the order of the ids. The texts meet them
+    # once; rows that repeat share a number
+    keys = staged(allocate_ids(one_each, ["id", "sha"], "key", spark.range(1).select(F.lit(0).alias("_base"))), "pipeline-keys")
+    keyed = staged(docs.select("doc_id", "text", sha.alias("mine"))
+                   .join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mine") == F.col("sha"))).select("key", "text"),
+                   "pipeline-keyed")
     found = jaccard_components(keyed, id_col="key").filter(F.col("key") != F.col("component_id"))
-    return _without(docs, keyed.join(found.select("key"), "key", "left_semi").select("doc_id", "sha"), sha)
+    return _without(docs, keys.join(found.select("key"), "key", "left_semi").select("id", "sha"), sha)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,14 @@ SAMPLED = 1 << 19
 LONGEST = 4096
 
 
+def _ordered(key: np.ndarray) -> np.ndarray:
+    """The stable order of keys of at least 0: a sort of plain numbers, each with its place in the lower bits."""
+    bits = int(len(key)).bit_length()
+    if not len(key) or int(key.max()) >> (62 - bits):
+        return np.argsort(key, kind="stable")
+    return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 class Pieces(NamedTuple):
     data: np.ndarray      # bytes of all pieces, one behind the other
     start: np.ndarray     # of each id; control pieces are empty
@@ -88,8 +96,10 @@ class Lattice:
         h = K.mix((run[p.start[ids] + p.size[ids]] - run[p.start[ids]]) * down[p.start[ids]])
         order = np.argsort(h)
         self.hash, self.id = h[order], ids[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(h >> K.U64(44)).astype(np.int64)] = True
+        # place of the first hash of every leading 20 bits, and the most hashes that share them
+        held = np.bincount((h >> K.U64(44)).astype(np.int64), minlength=1 << 20)
+        self.sieve, self.deep = held > 0, int(held.max())
+        self.first = np.minimum(np.cumsum(held) - held, len(h) - 1).astype(np.int32)
         self.lengths = np.unique(p.size[ids])
 
     def chunks(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +138,12 @@ class Lattice:
             if not len(at):
                 break
             h = K.mix((run[at + length] - run[at]) * down[at])
-            maybe = np.flatnonzero(self.sieve[(h >> K.U64(44)).astype(np.int64)])
-            pos = np.minimum(np.searchsorted(self.hash, h[maybe]), len(self.hash) - 1)
-            hit = (self.hash[pos] == h[maybe]) & (self.p.size[self.id[pos]] == length)
+            lead = (h >> K.U64(44)).astype(np.int64)
+            maybe = np.flatnonzero(self.sieve[lead])
+            h, pos = h[maybe], self.first[lead[maybe]]
+            for _ in range(self.deep - 1):
+                pos = np.minimum(pos + (self.hash[pos] < h), len(self.hash) - 1)
+            hit = (self.hash[pos] == h) & (self.p.size[self.id[pos]] == length)
             frm.append(at[maybe[hit]])
             to.append(at[maybe[hit]] + length)
             ids.append(self.id[pos[hit]])
@@ -159,7 +172,7 @@ class Lattice:
         depth = to - (base + np.arange(len(base)))[own]
         alpha = np.zeros(total + len(usize))
         value = np.empty(len(frm))
-        order = np.lexsort((to, depth))
+        order = _ordered(depth * (len(alpha) + 1) + to)
         frm, to, ids, depth = frm[order], to[order], ids[order], depth[order]
         w = self.p.weight[ids]
         cut = np.searchsorted(depth, np.arange(1, depth[-1] + 2))
@@ -171,7 +184,7 @@ class Lattice:
             k = np.diff(np.concatenate([head, [b - a]]))
             alpha[t[head]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, k)), head))
             value[a:b] = v
-        order = np.argsort(to, kind="stable")
+        order = _ordered(to)
         frm, to, ids = frm[order], to[order], ids[order].astype(np.int32)
         p = np.exp(value[order] - alpha[to])
         head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -182,6 +195,7 @@ class Lattice:
         rank = np.zeros(len(alpha), np.int64)
         rank[to[head]] = np.arange(len(head))
         ladder = np.repeat(np.arange(len(head)), k) + np.minimum(within, 1.0)
+        leaps = [1 << i for i in reversed(range(int(k.max() - 1).bit_length()))]
         # backward sampling of every occurrence
         row = np.searchsorted(off, start, "right") - 1
         in_row = np.arange(len(start)) - np.searchsorted(row, row)
@@ -191,8 +205,11 @@ class Lattice:
         live, n, steps = np.arange(len(start)), np.zeros(len(start), np.int64), []
         while len(live):
             u = K.unit(K.mix(draw[live] + n[live].astype(K.U64) * K.U64(0xD1B54A32D192ED03)))
-            arc = np.searchsorted(ladder, rank[node] + u, "right")
-            arc = np.minimum(arc, head[rank[node]] + k[rank[node]] - 1)
+            at = rank[node]
+            arc, last, u = head[at], head[at] + k[at] - 1, at + u
+            for leap in leaps:  # the first arc of the node whose step of the ladder lies above the draw, or its last
+                on = np.minimum(arc + leap, last)
+                arc = np.where(ladder[on - 1] <= u, on, arc)
             steps.append((live, ids[arc]))
             n[live] += 1
             node = frm[arc]
