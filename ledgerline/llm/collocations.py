@@ -11,6 +11,8 @@ A phrase is no more frequent than its rarest word, so words below the least
 count end a piece. The most frequent of the others have numbers, and an edge
 of such words is a pair of integers; edges with further frequent words, if
 there are more than ``head``, are strings and are counted beside them.
+Nor is a phrase more frequent than its rarest pair: pairs of numbered words are
+counted first, and an edge goes on only as long as its pairs are frequent.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ PIECE_END = K.byte_table(b".,;:!?\n\x0b\x0c\r")
 WORDY = ~(PIECE_END | K.byte_table(b" \t"))
 #: Parts of a language in the first step of its top list.
 SALTS = 64
-#: Numbered words at most; edges that a worker combines at once; rows it hands over at once; bytes of words that are broadcast.
-HEAD, COMBINED, HANDED, BROADCAST_BYTES = 1 << 20, 1 << 18, 1 << 16, 32 << 20
+#: Numbered words at most; edges, and pairs or words, that a worker combines at once; rows it hands over at once; bytes of words that are broadcast.
+HEAD, COMBINED, COUNTED, HANDED, BROADCAST_BYTES = 1 << 20, 1 << 18, 1 << 19, 1 << 16, 32 << 20
+#: Bits of the table of frequent pairs: 16 to 32 a pair, at most 2 ** TABLE_BITS.
+TABLE_BITS = 27
 #: Bytes of text that one step works on.
 BLOCK = 1 << 20
 
@@ -91,13 +95,24 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """``lang``, ``word``, ``key`` (hash of both), ``n``."""
     def count(batches):
+        held, rows = [], 0
         for b in batches:
             for w, data, code, key, _, to, langs in _tokens(b, 0, block):
                 found = _strings(w, data).dictionary_encode()
                 both = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + code
                 both, first, n = np.unique(both[:to], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(both % len(langs))), found.dictionary.take(pa.array(both // len(langs))).cast(pa.string()),
-                                                  pa.array(key[first]), pa.array(n)], ["lang", "word", "key", "n"])
+                held.append(pa.RecordBatch.from_arrays([langs.take(pa.array(both % len(langs))), found.dictionary.take(pa.array(both // len(langs))).cast(pa.string()),
+                                                        pa.array(key[first]), pa.array(n)], ["lang", "word", "key", "n"]))
+                rows += len(both)
+                if rows >= COUNTED:
+                    yield from out(held)
+                    held, rows = [], 0
+        if held:
+            yield from out(held)
+
+    def out(held):
+        summed = pa.Table.from_batches(held).group_by(["lang", "word", "key"], use_threads=False).aggregate([("n", "sum")])
+        yield from summed.select(["lang", "word", "key", "n_sum"]).rename_columns(["lang", "word", "key", "n"]).to_batches(HANDED)
 
     return (_rows(docs, text_col, lang_col).mapInArrow(count, "lang string, word string, key long, n long")
             .groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("n").alias("n")))
@@ -118,10 +133,77 @@ def _combined(a: np.ndarray, b: np.ndarray, f: np.ndarray):
     return a[first], b[first], np.add.reduceat(f[order], first) if len(first) else f
 
 
-def numbered_edges(docs: DataFrame, head: np.ndarray, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
-    """``a``, ``b``, ``f``: edges of four numbered words, two in each integer; 0 stands behind the last word of a piece.
+def _followed(number: np.ndarray, linked: np.ndarray, words: int) -> list[np.ndarray]:
+    """Numbers of each word and of the ``words - 1`` behind it; 0 from the end of its piece, or a word without a number, on."""
+    x = [number]
+    for _ in range(words - 1):
+        x.append(np.concatenate((np.where(linked[:-1], x[-1][1:], 0), [0])))
+    for j in range(1, words):
+        x[j] = np.where(x[j - 1] > 0, x[j], 0)
+    return x
+
+
+def numbered_pairs(docs: DataFrame, head: np.ndarray, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
+    """``a`` (two numbers in one integer), ``f``: all pairs of numbered words. ``head`` holds the words' keys, most frequent first."""
+    order = np.argsort(head)
+    keys = head[order]
+
+    def pairs(batches):
+        held, rows = [], 0
+        for b in batches:
+            for _, _, _, key, linked, to, _ in _tokens(b, 1, block):
+                x = _followed(_numbers(keys, order, key), linked, 2)
+                at = np.flatnonzero(x[1][:to])
+                held.append(x[0][at] << 32 | x[1][at])
+                rows += len(at)
+                if rows >= COUNTED:
+                    yield from out(held)
+                    held, rows = [], 0
+        if held:
+            yield from out(held)
+
+    def out(held):
+        a, f = np.unique(np.concatenate(held), return_counts=True)
+        for lo in range(0, len(a), HANDED):
+            yield pa.RecordBatch.from_arrays([pa.array(a[lo:lo + HANDED]), pa.array(f[lo:lo + HANDED])], ["a", "f"])
+
+    return _rows(docs, text_col, lang_col).mapInArrow(pairs, "a long, f long").groupBy("a").agg(F.sum("f").alias("f"))
+
+
+def _slots(a: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(a.astype(K.U64)) & K.U64((1 << bits) - 1)).astype(np.int64)
+
+
+def pair_table(pairs: DataFrame) -> np.ndarray:
+    """Bits at the hashes of ``a``, 32 in each entry.
+
+    A set bit may belong to another pair: the table only tells which pairs
+    can't be among ``pairs``. It has a bounded size, whatever their number.
+    """
+    bits = min(TABLE_BITS, max(10, (16 * pairs.count()).bit_length()))
+
+    def entries(batches):
+        for b in batches:
+            at = np.unique(_slots(b.column(0).to_numpy(), bits))
+            w, first = np.unique(at >> 5, return_index=True)
+            if len(w):
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 31), first))], ["w", "v"])
+
+    found = pairs.select("a").mapInArrow(entries, "w long, v long").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
+    table = np.zeros(1 << bits - 5, np.uint32)
+    table[found.column("w").to_numpy()] = found.column("v").to_numpy().astype(np.uint32)
+    return table
+
+
+def _may_hold(table: np.ndarray, a: np.ndarray) -> np.ndarray:
+    at = _slots(a, len(table).bit_length() + 4)
+    return (table[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def numbered_edges(docs: DataFrame, head: np.ndarray, table: np.ndarray, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
+    """``a``, ``b``, ``f``: edges of three or four numbered words, two in each integer; 0 stands behind the last.
 
-    ``head`` holds the words' keys, most frequent first. A word without a number ends its piece.
+    A word without a number ends its piece, and so does a pair that is not in ``table``.
     """
     order = np.argsort(head)
     keys = head[order]
@@ -129,13 +211,11 @@ def numbered_edges(docs: DataFrame, head: np.ndarray, text_col: str = "text", la
     def edges(batches):
         held, rows = [], 0
         for b in batches:
-            for w, _, _, key, linked, to, _ in _tokens(b, 3, block):
-                x = [_numbers(keys, order, key)]
-                for _ in range(3):
-                    x.append(np.concatenate((np.where(linked[:-1], x[-1][1:], 0), [0])))
-                for j in (1, 2, 3):  # nothing follows an end
-                    x[j] = np.where(x[j - 1] > 0, x[j], 0)
-                at = np.flatnonzero(x[0][:to])
+            for _, _, _, key, linked, to, _ in _tokens(b, 3, block):
+                number = _numbers(keys, order, key)
+                first, second = _followed(number, linked, 2)
+                x = _followed(number, (second > 0) & _may_hold(table, first << 32 | second), 4)
+                at = np.flatnonzero(x[2][:to])
                 held.append(_combined(x[0][at] << 32 | x[1][at], x[2][at] << 32 | x[3][at], np.ones(len(at), np.int64)))
                 rows += len(held[-1][0])
                 if rows >= COMBINED:
@@ -157,42 +237,41 @@ def _hot(heavy: int):
     return F.expr("a >> 32").between(1, heavy) & F.expr("a & 4294967295").between(1, heavy) & F.col("c").between(1, heavy)
 
 
-def numbered_counts(edges: DataFrame, min_count: int, heavy: int) -> DataFrame:
-    """``x1`` to ``x4`` (numbers, null behind the last), ``m``, ``f``: phrases of one to four numbered words with ``f >= min_count``.
+def numbered_counts(edges: DataFrame, pairs: DataFrame, min_count: int, heavy: int) -> DataFrame:
+    """``x1`` to ``x4`` (numbers, null behind the last), ``m``, ``f``: phrases of two to four numbered words with ``f >= min_count``.
 
-    Edges lie by their first three words, so that three words are counted where
-    the edges are. Where all three are among the ``heavy`` most frequent words,
-    edges lie by the fourth too, and the sums of three are added up once more;
-    any other three words hold less of the corpus than the last of the heavy.
+    ``pairs`` are those of two. Edges lie by their first three words, so that
+    three words are counted where the edges are. Where all three are among the
+    ``heavy`` most frequent words, edges lie by the fourth too, and the sums of
+    three are added up once more; any other three words hold less of the corpus
+    than the last of the heavy.
     """
     zero = F.lit(0).cast("long")
     wide = edges.select("a", F.expr("b >> 32").alias("c"), F.expr("b & 4294967295").alias("d"), "f")
     placed = wide.withColumn("s", F.when(_hot(heavy), F.col("d")).otherwise(zero)).repartition("a", "c", "s")
     both = placed.select("a", "c", "s", "f", F.explode(F.when(F.col("d") > 0, F.array(F.col("d"), zero)).otherwise(F.array(zero))).alias("d"))
     summed = both.groupBy("a", "c", "s", "d").agg(F.sum("f").alias("f"))
-    level = staged(summed.filter((F.col("d") == 0) | (F.col("f") >= min_count)), "phrase-edges")
+    level = staged(summed.filter((F.col("f") >= min_count) | ((F.col("d") == 0) & _hot(heavy))), "phrase-edges")
     four = level.filter("d > 0").select("a", "c", "d", "f")
     flow = level.filter("d = 0").select("a", "c", "f")
     again = flow.filter(_hot(heavy)).groupBy("a", "c").agg(F.sum("f").alias("f"))
-    three = flow.filter(~_hot(heavy)).unionByName(again).filter("c > 0").select("a", "c", zero.alias("d"), "f")
-    pairs = staged(flow.groupBy("a").agg(F.sum("f").alias("f")), "phrase-pairs")
-    two = pairs.filter("a & 4294967295 > 0").select("a", zero.alias("c"), zero.alias("d"), "f")
-    one = pairs.groupBy(F.expr("a >> 32 << 32").alias("a")).agg(F.sum("f").alias("f")).select("a", zero.alias("c"), zero.alias("d"), "f")
-    frequent = reduce(DataFrame.unionByName, [x.filter(F.col("f") >= min_count).withColumn("m", F.lit(m)) for m, x in enumerate((one, two, three, four), 1)])
-    return frequent.select(F.expr("a >> 32").alias("x1"), F.expr("nullif(a & 4294967295, 0)").alias("x2"),
+    three = flow.filter(~_hot(heavy)).unionByName(again).select("a", "c", zero.alias("d"), "f")
+    two = pairs.select("a", zero.alias("c"), zero.alias("d"), "f")
+    frequent = reduce(DataFrame.unionByName, [x.filter(F.col("f") >= min_count).withColumn("m", F.lit(m)) for m, x in enumerate((two, three, four), 2)])
+    return frequent.select(F.expr("a >> 32").alias("x1"), F.expr("a & 4294967295").alias("x2"),
                            F.expr("nullif(c, 0)").alias("x3"), F.expr("nullif(d, 0)").alias("x4"), "m", "f")
 
 
 def spelled(numbered: DataFrame, words: DataFrame, head: np.ndarray) -> DataFrame:
-    """``lang``, ``p``, ``f``, ``m`` of numbered phrases."""
+    """``lang``, ``p``, ``f``, ``m`` of numbered words and phrases."""
     spark = numbered.sparkSession
     numbers = spark.createDataFrame(pa.table({"key": head, "x": np.arange(1, len(head) + 1)}), "key long, x long")
-    names = staged(words.join(numbers, "key").select("x", "lang", "word"), "phrase-words")
+    names = staged(words.join(numbers, "key").select("x", "lang", "word", "n"), "phrase-words")
+    out = [names.select("lang", F.col("word").alias("p"), F.col("n").alias("f"), F.lit(1).alias("m"))]
     if (names.agg(F.sum(F.octet_length("word") + 40)).first()[0] or 0) <= BROADCAST_BYTES:
         names = F.broadcast(names)
     numbered = staged(numbered, "phrase-numbers")
-    out = []
-    for m in range(1, 5):
+    for m in range(2, 5):
         x = numbered.filter(F.col("m") == m)
         for j in range(1, m + 1):
             x = x.join(names.select(F.col("x").alias(f"x{j}"), F.col("word").alias(f"w{j}"), *["lang"] * (j == 1)), f"x{j}")
@@ -262,7 +341,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, hea
     found = []
     if len(keys):
         heavy = int(np.count_nonzero(n * HEAVY >= total))
-        found.append(spelled(numbered_counts(numbered_edges(docs, keys, text_col, lang_col, block), min_count, heavy), words, keys))
+        pairs = staged(numbered_pairs(docs, keys, text_col, lang_col, block).filter(F.col("f") >= min_count), "phrase-pairs")
+        edges = numbered_edges(docs, keys, pair_table(pairs), text_col, lang_col, block)
+        found.append(spelled(numbered_counts(edges, pairs, min_count, heavy), words, keys))
     if frequent > len(keys) or not found:
         counts = phrase_counts(staged(graph_edges(docs, longest, text_col, lang_col, keys, block), "phrase-strings"), longest)
         found += [c.filter(F.col("f") >= min_count).select("lang", "p", "f", F.lit(m).alias("m")) for m, c in enumerate(counts, 1)]
