@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.schema import ID_COLUMNS, ID_MARKS_SCHEMA
-from ledgerline.session import checkpoint_dir
+from ledgerline.session import checkpoint_dir, staged
 
 
 def next_id_base(ledger, table: str, rows: DataFrame | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def mark_deleted(ledger, tables: list[str]):
 
 
 def allocate_ids(rows: DataFrame, order_cols: list[str], id_col: str, base: DataFrame,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, stage: bool = False) -> DataFrame:
     """Add ``id_col`` = base + 1, base + 2, ... in ``order_cols`` order (which must be unique).
 
     Rows are range-partitioned and sorted inside each partition; the position
@@ -62,7 +62,8 @@ def allocate_ids(rows: DataFrame, order_cols: list[str], id_col: str, base: Data
     index in the upper bits, row index in the lower ones) of that same sorted
     stage, so no further shuffle is needed. The numbered rows are checkpointed
     once, so partition sizes and the rows they offset come from one
-    materialised copy.
+    materialised copy. ``stage`` writes that copy as compressed columns instead
+    (of types that parquet has): a fraction of the disk, and of a known size.
     """
     spark = rows.sparkSession
     checkpoint_dir(spark)
@@ -73,8 +74,8 @@ def allocate_ids(rows: DataFrame, order_cols: list[str], id_col: str, base: Data
     numbered = (ranged.sortWithinPartitions(*order_cols)
                 .withColumn("_part", F.spark_partition_id())
                 .withColumn("_rn", F.monotonically_increasing_id()
-                            - F.shiftleft(F.col("_part").cast("long"), 33) + 1)
-                .checkpoint(eager=True))
+                            - F.shiftleft(F.col("_part").cast("long"), 33) + 1))
+    numbered = staged(numbered, "numbered") if stage else numbered.checkpoint(eager=True)
     sizes = numbered.groupBy("_part").agg(F.max("_rn").alias("_n"))
     # one row per partition: a proven bound for the single-partition running sum and the broadcast
     offsets = sizes.select(

@@ -24,7 +24,7 @@ from ledgerline.functions.parse import parse_amount, parse_amount_list, parse_da
 from ledgerline.functions.text import has_duplicates, norm_name, split_list, strip
 from ledgerline.operators.ids import allocate_ids, next_id_base
 from ledgerline.schema import Ledger, conform
-from ledgerline.session import checkpoint_dir
+from ledgerline.session import checkpoint_dir, staged
 
 # Reject reasons.
 R_INVALID_AMOUNT = "invalid amount"
@@ -96,8 +96,9 @@ def _new_names(ledger: Ledger, names: DataFrame, table: str, name_col: str, id_c
     missing = (names.groupBy(F.col("_name").alias(name_col)).agg(F.min("seq").alias("_first"))
                .join(dim.select(name_col), name_col, "left_anti"))
     if missing.isEmpty():  # the usual case: one short job instead of an allocation
-        return dim.sparkSession.createDataFrame([], dim.select(id_col, name_col).schema)
-    return allocate_ids(missing, ["_first", name_col], id_col, next_id_base(ledger, table)).select(
+        return dim.select(id_col, name_col).filter(F.lit(False))  # known to be empty: joins with it are dropped
+    # staged, so the planner knows their size
+    return allocate_ids(missing, ["_first", name_col], id_col, next_id_base(ledger, table), stage=True).select(
         id_col, name_col)
 
 
@@ -108,9 +109,9 @@ def _fill(rows: DataFrame, new: DataFrame, name: str, dim_name: str, id_col: str
             .withColumn(id_col, F.coalesce(id_col, "_new_id")).drop("_new_name", "_new_id"))
 
 
-def _link_tags(ledger: Ledger, links: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, seq, _name) tag uses -> (new tags rows, (key, tid) links)."""
-    new_tags = _new_names(ledger, links.select("seq", "_name"), "tags", "tag_name", "tid")
+def _link_tags(ledger: Ledger, links: DataFrame, key: str, uses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, seq, _name) tag uses -> (new tags rows, (key, tid) links); ``uses``: the same (seq, _name) without the key."""
+    new_tags = _new_names(ledger, (links if uses is None else uses).select("seq", "_name"), "tags", "tag_name", "tid")
     all_tags = ledger.tags.unionByName(new_tags)
     bridge = (links.join(all_tags.withColumnRenamed("tag_name", "_name"), "_name")
               .select(key, "tid"))
@@ -277,14 +278,18 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
         (has_duplicates(F.col("tag_list")), R_REPEATED_TAG),
         (has_duplicates(F.col("names")), R_REPEATED_PARTICIPANT),
         (F.exists("shares", lambda s: s < 0), R_NEGATIVE_SHARE))
-    judged = _materialise(b.withColumn("reason", reason))
+    # a number of its own for every row: what is split off below meets its row again by it, whatever seq repeats
+    judged = staged(b.select(
+        F.monotonically_increasing_id().alias("_row"), "seq", reason.alias("reason"), "_importer", "gid", "cid", "pid",
+        "cat_name", "pm_name", "amount_v", "date_v", "tag_list", "names", "shares",
+        *(F.col(c).cast("string").alias(c) for c in ("group_name", "creator_username", "expense_description"))), "judged")
     rejects = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
     ok = judged.filter(F.col("reason").isNull())
 
     # groups: missing ones are created (importer becomes a member)
     new_groups = ok.filter(F.col("gid").isNull()).groupBy("group_name").agg(F.min("seq").alias("_first"))
-    new_groups = (new_groups.withColumn("gid", F.lit(None).cast("long")) if new_groups.isEmpty() else
-                  allocate_ids(new_groups, ["_first", "group_name"], "gid", next_id_base(ledger, "groups")))
+    new_groups = (new_groups.withColumn("gid", F.lit(None).cast("long")).filter(F.lit(False)) if new_groups.isEmpty() else
+                  allocate_ids(new_groups, ["_first", "group_name"], "gid", next_id_base(ledger, "groups"), stage=True))
     new_groups = new_groups.select(
         "gid", F.lit(as_of).alias("date_created"), "group_name",
         (F.lit(f"Imported group from {source}") if source else
@@ -296,22 +301,27 @@ def import_group(ledger: Ledger, batch: DataFrame, importer_uid: int, as_of=None
                           "categories", "category_name", "cid")
     new_pms = _new_names(ledger, ok.filter(F.col("pid").isNull()).select("seq", F.col("pm_name").alias("_name")),
                          "payment_methods", "method", "pid")
-    # ids found before the checkpoint stay; only the new rows' ids are filled in
-    ok = _fill(ok, new_cats, "cat_name", "category_name", "cid")
-    ok = _fill(ok, new_pms, "pm_name", "method", "pid")
-    ok = _fill(ok, new_groups, "group_name", "group_name", "gid")
-    ok = (ok.join(users.select(F.col("uid").alias("_cuid"), F.col("username").alias("creator_username")),
-                "creator_username", "left")
-          .withColumn("uid", F.coalesce("_cuid", F.lit(importer_uid).cast("long"))))
-
-    ok = allocate_ids(ok, ["seq"], "geid", next_id_base(ledger, "group_expenses"))
-    added = ok.select("geid", "uid", "gid", F.col("amount_v").alias("amount"), "cid", "pid",
-                      F.col("date_v").alias("date"), F.col("expense_description").alias("description"), "seq")
+    # creators and ids are looked up for (row, seq) alone; no list or text of a row is dealt for them
+    found = (ok.select("_row", "seq", "creator_username")
+             .join(users.select(F.col("uid").alias("_cuid"), F.col("username").alias("creator_username")),
+                   "creator_username", "left")
+             .select("_row", "seq", F.coalesce("_cuid", F.lit(importer_uid).cast("long")).alias("uid")))
+    ids = allocate_ids(found, ["seq"], "geid", next_id_base(ledger, "group_expenses"), stage=True).drop("seq")
+    # ids found before the rows were stored stay; only the new rows' ids are filled in
+    facts = _fill(ok, new_cats, "cat_name", "category_name", "cid")
+    facts = _fill(facts, new_pms, "pm_name", "method", "pid")
+    facts = _fill(facts, new_groups, "group_name", "group_name", "gid")
+    added = facts.join(ids, "_row").select(
+        "geid", "uid", "gid", F.col("amount_v").alias("amount"), "cid", "pid",
+        F.col("date_v").alias("date"), F.col("expense_description").alias("description"), "seq")
     new_ge = added.drop("seq")
-    links = ok.select("geid", "seq", F.explode("tag_list").alias("_name"))
-    new_tags, bridge = _link_tags(ledger, links, "geid")
+    geids = ids.select("_row", "geid")
+    links = (ok.select("_row", "seq", "tag_list").join(geids, "_row")
+             .select("geid", "seq", F.explode("tag_list").alias("_name")))
+    new_tags, bridge = _link_tags(ledger, links, "geid", ok.select("seq", F.explode("tag_list").alias("_name")))
     # the importer is in every row: that share needs no join, so one hot name never meets the users table
-    shares = (ok.select("geid", "_importer", F.explode(F.arrays_zip("names", "shares")).alias("z"))
+    shares = (ok.select("_row", "_importer", "names", "shares").join(geids, "_row")
+              .select("geid", "_importer", F.explode(F.arrays_zip("names", "shares")).alias("z"))
               .select("geid", "_importer", F.col("z.names").alias("username"), F.col("z.shares").alias("split_amount")))
     own = F.col("username") == F.col("_importer")
     splits = (shares.filter(~own).join(users, "username").select("geid", "uid", "split_amount")
